@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimgrid import fixed as X
 
@@ -42,7 +43,7 @@ def norm(c: Column) -> Column:
     return F.lower(squeeze(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; there is no built-in for it."""
     return s.str.normalize("NFC")

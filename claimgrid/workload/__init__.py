@@ -6,7 +6,7 @@ import importlib
 
 from claimgrid.workload.registry import ORACLES, QUERIES
 
-MODULES = ["q_state"]
+MODULES = ["q_state", "q_reconcile"]
 
 
 def _load():
