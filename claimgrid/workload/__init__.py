@@ -6,7 +6,7 @@ import importlib
 
 from claimgrid.workload.registry import ORACLES, QUERIES
 
-MODULES = ["q_state", "q_reconcile"]
+MODULES = ["q_state", "q_reconcile", "q_amend"]
 
 
 def _load():

@@ -176,6 +176,32 @@ SELECT o_orderkey AS id, {HD.format('o_custkey')} AS ma_hd, CASE WHEN o_orderkey
        'P1' || {_s('o_orderkey % 7')} AS ma_kt, CASE WHEN o_orderkey % 4 < 2 THEN 'ĐỎ' ELSE 'VÀNG' END AS muc_do
 FROM {{orders}} WHERE o_orderkey % 5 <> 0"""
 
+def _vnday(d):
+    return f"lpad({_s(f'day({d})')}, 2, '0') || '/' || lpad({_s(f'month({d})')}, 2, '0') || '/' || {_s(f'year({d})')}"
+
+
+DERIVED["forms"] = f"""
+SELECT a.id AS form_id, a.ma_hd, CASE WHEN a.id % 29 = 0 THEN '' ELSE ' pl' || {_s('a.id % 100')} || ' ' END AS so_pl,
+       CASE WHEN a.id % 17 = 0 THEN '' WHEN a.id % 19 = 0 THEN '31/02/2020' ELSE {_vnday('a.ngay_ky')} END AS ngay_ky,
+       CASE WHEN a.id % 3 = 0 THEN '' ELSE {_vnday('a.ngay_hieu_luc')} END AS ngay_hieu_luc,
+       CASE WHEN a.id % 23 = 0 THEN 'Chờ' WHEN a.id % 5 = 0 THEN 'Dự thảo' ELSE 'Đã ký' END AS trang_thai,
+       CASE WHEN a.id % 31 = 0 THEN '?' WHEN a.id % 4 = 0 THEN 'Không' ELSE 'Có' END AS doi_boq,
+       CASE WHEN a.id % 6 = 1 THEN {_s('CAST(a.gt_sau_vat AS BIGINT)')} END AS gt_truoc_vat,
+       CASE WHEN a.id % 6 > 1 THEN {_s('CAST(a.gt_sau_vat AS BIGINT)')} END AS gt_sau_vat,
+       CASE WHEN a.id % 2 = 0 THEN {_s('CAST(a.gt_sau_vat AS BIGINT)')} END AS gt_hd_sau_pl, a.can_cu
+FROM amendments a JOIN (SELECT ma_hd, max(id) AS id FROM amendments GROUP BY ma_hd) m ON a.id = m.id"""
+DERIVED["store_amendments"] = """
+SELECT a.* FROM amendments a LEFT JOIN forms f ON f.form_id = a.id WHERE f.form_id IS NULL"""
+DERIVED["form_lines"] = """
+SELECT b.pl_id AS form_id, b.id AS dong, CASE WHEN b.id % 13 = 0 THEN 'XOA' ELSE b.thao_tac END AS thao_tac,
+       CASE WHEN b.thao_tac = 'THEM' AND b.id % 3 > 0 THEN '' ELSE b.ma_hm END AS ma_hm, b.nhom, b.ten,
+       CASE WHEN b.id % 11 = 0 THEN '' ELSE b.dvt END AS dvt, b.kl, b.don_gia, b.thanh_tien_ghi
+FROM boq_changes b JOIN forms f ON f.form_id = b.pl_id WHERE f.form_id % 4 <> 0 OR f.form_id % 8 = 0"""
+DERIVED["form_params"] = """
+SELECT f.form_id, CAST(3 AS BIGINT) AS dong, CASE WHEN f.form_id % 7 = 0 THEN 'XX1' WHEN f.form_id % 7 = 1 THEN 'TT-02' ELSE c.ma_ts END AS ma_ts, c.gia_tri_cu AS cu,
+       CASE WHEN f.form_id % 5 = 0 THEN '' ELSE c.gia_tri_moi END AS moi, c.trich_dan AS trich
+FROM param_changes c JOIN forms f ON f.form_id = c.pl_id"""
+
 # --- contract texts: about thirty paragraphs per customer ------------------------------------------------------
 _c = "c_custkey"
 _PARAS = [
@@ -369,7 +395,7 @@ def ctes(sql: str, dialect: str, path: str = "") -> str:
 
 # Derived tables that stand for stored tables of the contract store: written once per session, then read like any
 # other table (a user of the library has them as tables to begin with).
-STORED = {"lines", "boq_base", "boq_changes", "boq_log", "period_items", "periods", "claim_items", "claim_totals", "contract_text", "cells"}
+STORED = {"forms", "lines", "boq_base", "boq_changes", "boq_log", "period_items", "periods", "claim_items", "claim_totals", "contract_text", "cells"}
 _WRITTEN: dict = {}
 
 
