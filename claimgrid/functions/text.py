@@ -84,7 +84,7 @@ def mask_pii(text: Column, party_a: Column, party_b: Column) -> Column:
     """Hide both party names (longer than five characters, any case), people and long numbers."""
     for name, tag in ((party_a, X.PARTY_TAGS["TC-06"]), (party_b, X.PARTY_TAGS["TC-07"])):
         pat = F.concat(F.lit("(?iu)"), _quote_pattern(name))
-        text = F.when(F.length(name) > 5, F.regexp_replace(text, pat, F.lit(tag))).otherwise(text)
+        text = F.when(F.length(name) > 5, F.regexp_replace(text, pat, F.lit(tag))).otherwise(text)      # name NULL: unchanged
     return mask_numbers_and_people(text)
 
 

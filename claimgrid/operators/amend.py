@@ -201,7 +201,7 @@ def check_amendments(forms, a_rows, b_rows, contracts, amendments, boq, params,
     f = read_forms(forms, contracts)
     rows, value = state_before(f, boq, amendments)
     rows = cut_lineage(rows)                               # read by four branches
-    lines = check_lines(f, b_rows, rows, boq, paid)
+    lines = cut_lineage(check_lines(f, b_rows, rows, boq, paid))   # read by the line and the form findings
     pr = check_params(f, a_rows, params, changes, amendments)
     fm = check_forms(f, lines, value, amendments)
     ent = F.col("form_id").cast("string")

@@ -87,6 +87,19 @@ ALL_SQL = PRELUDE + ", allf AS (" + " UNION ALL ".join(f"SELECT * FROM ({q}) z{i
 
 
 def checked(w):
+    """All checks run once; the queries read the stored findings, forms, lines and parameters."""
+    cache = {}
+
+    def part(name):
+        def make():
+            if not cache:
+                cache.update(_checked(w))
+            return cache[name]
+        return w.memo("amend-" + name, make)
+    return {n: part(n) for n in ("lines", "findings", "forms", "params")}
+
+
+def _checked(w):
     paid = state.latest_paid(w.period_items, w.periods)
     return amend.check_amendments(w.forms, w.form_params, w.form_lines, w.contracts, w.store_amendments, w.boq_log, w.params, w.param_changes, paid)
 

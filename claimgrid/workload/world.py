@@ -242,6 +242,26 @@ DERIVED["contract_text"] = (
     + "|".join(f"{i}~CASE WHEN {cond} THEN {e} END" if cond else f"{i}~{e}" for i, (e, cond) in enumerate(_PARAS))
     + "|FROM {customer}}}) t WHERE text IS NOT NULL")
 
+def _ans(code, value, unit="", clause="", quote="", note="", cond=None):
+    j = (f"'\"{code}\": {{\"gia_tri\": \"' || {value} || '\", \"don_vi\": \"{unit}\", \"dieu_khoan\": \"{clause}\", \"trich_dan\": \"' || {quote or chr(39) * 2} || '\", \"ghi_chu\": \"{note}\"}}, '")
+    return f"CASE WHEN {cond} THEN {j} ELSE '' END" if cond else j
+
+
+DERIVED["ai_raw"] = (
+    f"SELECT {HD.format(_c)} AS doc_id, 'Kết quả trích: {{' || " + " || ".join([
+        _ans("TC-07", "'[BEN_B]'", quote="'Bên nhận thầu (BÊN B): [BEN_B]'"),
+        _ans("TT-20", f"{_s(_c + ' % 15 + 80')} || ',5'", "%", "Điều 3", f"'thanh toán cho Nhà thầu tối đa ' || {_s(_c + ' % 15 + 80')} || ',5% giá trị nghiệm thu'"),
+        _ans("TT-21", f"{_s(_c + ' % 9 + 3')} || '%'", "%", "Điều 3", f"'Bên A giữ lại ' || {_s(_c + ' % 5 + 3')} || '% giá trị mỗi đợt.'", "hai chỗ khác nhau"),
+        _ans("TT-22", _s(_c + " % 30 + 7"), "ngày", "Điều 3", "'Thời gian thanh toán được quy định ở phần sau'"),
+        _ans("TT-31", "'5%'", "%", "Điều 5", "'Bảo lãnh bảo hành năm phần trăm'", cond=f"{_c} % 2 = 0"),
+        _ans("TT-33", "'Không áp dụng'", "", "Điều 5", "'THỜI HẠN bảo hành là'", cond=f"{_c} % 3 = 0"),
+        _ans("TT-50", "'tiến độ chung'", "", "Điều 4", ""),
+        _ans("TT-42", "'KHÔNG TÌM THẤY'"),
+    ]) + f" || '\"TT-99\": {{\"gia_tri\": \"x\"}}}} hết.' AS raw FROM {{customer}}")
+
+DERIVED["contract_docs"] = f"SELECT {HD.format(_c)} AS doc_id, concat_ws(chr(10), " + ", ".join(
+    f"CASE WHEN {cond} THEN {e} END" if cond else e for e, cond in _PARAS) + ") AS text FROM {customer}"
+
 # --- cell grids: one workbook per block of 400 orders ----------------------------------------------------------
 ROWS = 400
 _k = "o_orderkey"
@@ -435,6 +455,15 @@ class World:
             _WRITTEN[key] = out
         return _WRITTEN[key]
 
+    def memo(self, name: str, make) -> DataFrame:
+        """A result that several queries read: written once per session as a table."""
+        key = (self.spark.sparkContext.applicationId, self.path, "memo:" + name)
+        if key not in _WRITTEN:
+            out = f"{shared_dir(self.spark)}/claimgrid-store/{uuid.uuid4().hex}"
+            make().write.parquet(out)
+            _WRITTEN[key] = out
+        return self.spark.read.parquet(_WRITTEN[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.path}/{name}.parquet")
