@@ -95,8 +95,9 @@ def rule_hits(paras: DataFrame, rules: list | None = None) -> DataFrame:
     for code, kind, pat in rules or X.RULES:
         n, s = _value(kind, pat, t)
         lab = F.regexp_extract(t, I + pat, group_no(pat, "lab")) if "(?<lab>" in pat else F.lit(None).cast("string")
-        cands.append(F.when(t.rlike(I + pat), F.struct(F.lit(code).alias("ma"), n.alias("v_num"), s.alias("v_str"), lab.alias("lab"))))
-    hits = paras.select("doc_id", "pos", "section", "text", F.explode(F.array_compact(F.array(*cands))).alias("h"))
+        word = F.col("__low").contains(X.RULE_WORD[code]) if code in X.RULE_WORD else F.lit(True)
+        cands.append(F.when(word & t.rlike(I + pat), F.struct(F.lit(code).alias("ma"), n.alias("v_num"), s.alias("v_str"), lab.alias("lab"))))
+    hits = paras.withColumn("__low", F.lower(t)).select("doc_id", "pos", "section", "text", F.explode(F.array_compact(F.array(*cands))).alias("h"))
     return hits.select("doc_id", "pos", "section", "text", "h.*").filter(F.col("v_num").isNotNull() | F.col("v_str").isNotNull())
 
 

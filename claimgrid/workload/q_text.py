@@ -156,7 +156,7 @@ def _(w):
     return extract.parse_answers(w.ai_raw)
 
 
-MASK_SQL = f"""regexp_replace(regexp_replace(regexp_replace(CASE WHEN length(pa) > 5 THEN replace(t1, pa, '[BEN_A]') ELSE t1 END, '\\b(Ông|Bà|Ông/Bà)\\s*:?\\s*(([A-ZĐ][0-9A-Za-z_À-ỹ]*)(\\s+[A-ZĐ][0-9A-Za-z_À-ỹ]*){{1,4}})', '\\1 [CA_NHAN]', 'g'), '\\b\\d{{9,}}\\b', '[SO]', 'g'), '\\b0\\d{{2,3}}[ .]?\\d{{3,4}}[ .]?\\d{{3,4}}\\b', '[SO]', 'g')"""
+MASK_SQL = f"""regexp_replace(regexp_replace(regexp_replace(CASE WHEN length(pa) > 5 THEN replace(t1, pa, '[BEN_A]') ELSE t1 END, '(Ông|Bà|Ông/Bà)\\s*:?\\s*(([A-ZĐ][0-9A-Za-z_À-ỹ]*)(\\s+[A-ZĐ][0-9A-Za-z_À-ỹ]*){{1,4}})', '\\1 [CA_NHAN]', 'g'), '\\b\\d{{9,}}\\b', '[SO]', 'g'), '\\b0\\d{{2,3}}[ .]?\\d{{3,4}}[ .]?\\d{{3,4}}\\b', '[SO]', 'g')"""
 MASKED = f"""pt AS (SELECT doc_id, max(v_str) FILTER (ma = 'TC-06') AS pa, max(v_str) FILTER (ma = 'TC-07') AS pb FROM ex GROUP BY doc_id),
 mk AS (SELECT doc_id, text, {MASK_SQL.replace('t1', "CASE WHEN length(pb) > 5 THEN replace(text, pb, '[BEN_B]') ELSE text END")} AS masked FROM contract_docs JOIN pt USING (doc_id))"""
 CMP = f"""{ROWS}, {AI}, {MASKED},
@@ -242,7 +242,7 @@ def _(w):
 
 
 @query("F-08_required_missing", f"""{ROWS}, ms AS (SELECT doc_id, list(ma ORDER BY ma) FILTER (v_num IS NULL AND v_str IS NULL AND ma IN ('TT-01', 'TT-02', 'TT-03', 'TT-04', 'TT-10', 'TT-20', 'TT-21')) AS m FROM ex GROUP BY doc_id)
-  SELECT doc_id, coalesce(array_to_string(CASE WHEN list_contains(m, 'TT-20') <> list_contains(m, 'TT-21') THEN list_filter(m, x -> x NOT IN ('TT-20', 'TT-21')) ELSE m END, ','), '') AS thieu FROM ms""")
+  SELECT doc_id, coalesce(array_to_string(CASE WHEN list_contains(m, 'TT-20') <> list_contains(m, 'TT-21') THEN list_filter(m, lambda x: x NOT IN ('TT-20', 'TT-21')) ELSE m END, ','), '') AS thieu FROM ms""")
 def _(w):
     return extract.missing_mandatory(rows(w)).select("doc_id", F.array_join("thieu", ",").alias("thieu"))
 
@@ -271,7 +271,7 @@ SCORED = f"""{ROWS}, {GOLD}, sc AS (SELECT *, CASE WHEN v IS NULL OR v = '' THEN
    WHEN ma = 'TT-20' THEN CASE WHEN abs({canon_n('v')} - 0.805) < 1e-9 OR abs({canon_n('v')} * 100 - 0.805 * 100) < 1e-9 THEN 'Một phần' ELSE 'Sai' END
    WHEN ma IN ('TT-32', 'TT-22') THEN CASE WHEN abs({canon_n('v')} - 12) < 1e-9 OR abs({canon_n('v')} * 100 - 12) < 1e-9 THEN 'Đúng' ELSE 'Sai' END
    ELSE CASE WHEN r >= 0.8 THEN 'Đúng' WHEN r >= 0.4 THEN 'Một phần' ELSE 'Sai' END END AS cham
-   FROM (SELECT *, len(list_intersect(gw, kw)) / len(gw) AS r FROM (SELECT *, list_distinct(list_filter(regexp_extract_all({sql_fold('g')}, '[a-z0-9]+'), x -> x NOT IN ('va', 'cua', 'cac', 'the', 'theo', 'la', 'tu', 'ngay', 'ben'))) AS gw,
+   FROM (SELECT *, len(list_intersect(gw, kw)) / len(gw) AS r FROM (SELECT *, list_distinct(list_filter(regexp_extract_all({sql_fold('g')}, '[a-z0-9]+'), lambda x: x NOT IN ('va', 'cua', 'cac', 'the', 'theo', 'la', 'tu', 'ngay', 'ben'))) AS gw,
      list_distinct(regexp_extract_all({sql_fold("v || ' ' || trich")}, '[a-z0-9]+')) AS kw FROM res) a) b)"""
 
 
@@ -285,7 +285,7 @@ def _(w):
     return extract.score_summary(graded(w), ["ma"])
 
 
-@query("U-04_token_overlap", f"""SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+'), x -> x IN ('the', 'and', 'der', 'les')))) AS BIGINT) AS n_shared, CAST(len(list_distinct(list_filter(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+'), x -> x NOT IN ('the', 'and', 'der', 'les', 'of')))) AS BIGINT) AS n_only FROM documents""")
+@query("U-04_token_overlap", f"""SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+'), lambda x: x IN ('the', 'and', 'der', 'les')))) AS BIGINT) AS n_shared, CAST(len(list_distinct(list_filter(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+'), lambda x: x NOT IN ('the', 'and', 'der', 'les', 'of')))) AS BIGINT) AS n_only FROM documents""")
 def _(w):
     s, o = extract.token_overlap(F.col("text"), F.lit("the and der les"), ["of"])
     return w.documents.select("doc_id", F.size(s).cast("bigint").alias("n_shared"), F.size(o).cast("bigint").alias("n_only"))
