@@ -6,7 +6,7 @@ import importlib
 
 from claimgrid.workload.registry import ORACLES, QUERIES
 
-MODULES = ["q_state", "q_reconcile", "q_amend", "q_text", "q_documents"]
+MODULES = ["q_state", "q_reconcile", "q_amend", "q_text", "q_documents", "q_grid"]
 
 
 def _load():

@@ -91,12 +91,6 @@ def _(w):
     return documents.request_lines(documents.checklist_status(w.checklist, index(w))).withColumn("uu_tien", F.col("uu_tien").cast("bigint"))
 
 
-@query("SRC-04_checklist", "SELECT ma, bat_buoc, CAST(uu_tien AS BIGINT) AS uu_tien, CAST(len(string_split(tu_khoa, '|')) AS BIGINT) AS n_kw FROM checklist, (SELECT 1 FROM documents LIMIT 1)")
-def _(w):
-    kw = documents.read_keywords(w.checklist).groupBy("ma").agg(F.count("*").alias("n_kw"))
-    return w.checklist.join(kw, "ma").select("ma", "bat_buoc", F.col("uu_tien").cast("bigint").alias("uu_tien"), "n_kw")
-
-
 Q = """q AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Còn thiếu tài liệu nhóm B? ' WHEN 1 THEN 'Mục A01 thế nào: ' WHEN 2 THEN 'Mục Z99: ' ELSE '' END || substr(text, 1, 40) AS question FROM conversations)"""
 
 
@@ -127,20 +121,20 @@ def _(w):
 BM = f"""WITH {CHUNKS}, {TOKENS}, na AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tk),
 tf AS (SELECT file, j, len(ts) AS len, term, count(*) AS tf FROM (SELECT file, j, ts, unnest(ts) AS term FROM tk) t GROUP BY file, j, len(ts), term),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-qt AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest(regexp_extract_all({sql_fold('substr(text, 1, 80)')}, '[a-z0-9]+')) AS term FROM benchmark) t GROUP BY ALL),
+qt AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+')) AS term FROM benchmark) t GROUP BY ALL),
 sc AS (SELECT query_id, file, j, round(sum(qn * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term) CROSS JOIN na GROUP BY query_id, file, j)
 """
 
 
 @query("E-12_bm25_search", BM + "SELECT query_id, file, j, score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, j) AS rank FROM sc WHERE score > 0) t WHERE rank <= 5")
 def _(w):
-    q = w.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("question"))
+    q = w.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return documents.bm25(docs(w), q).select("query_id", "file", "j", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("T-02_top_passages", BM + "SELECT query_id, file, j, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file, j) AS rank FROM sc WHERE score > 0) t WHERE rank <= 3")
 def _(w):
-    q = w.benchmark.select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("question"))
+    q = w.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return documents.bm25(docs(w), q, 3).select("query_id", "file", "j", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -213,10 +207,10 @@ per_text("X-11_typed_ai_value", f"CASE WHEN trim(s) = '' THEN NULL WHEN regexp_f
 per_text("X-12_fix_missing_percent", f"CASE WHEN regexp_full_match(s, '\\d+([.,]\\d+)?') AND ({_VN}) > 1 THEN s || '%' ELSE s END", lambda c: N.add_missing_percent(c, F.lit("%/ngày")))
 
 
-@query("X-14_numbers_in_text", "SELECT doc_id, CAST(len(x) AS BIGINT) AS n, x[1] AS first FROM (SELECT doc_id, regexp_extract_all(substr(text, 1, 30000), '\\d+') AS x FROM (SELECT doc_id, regexp_replace(text, '[.,]', ' ', 'g') AS text FROM documents) a) b")
+@query("X-14_numbers_in_text", "SELECT doc_id, CAST(len(x) AS BIGINT) AS n, x[1] AS first FROM (SELECT doc_id, regexp_extract_all(text, '\\d+') AS x FROM (SELECT doc_id, regexp_replace(text, '[.,]', ' ', 'g') AS text FROM documents) a) b")
 def _(w):
     clean = F.regexp_replace("text", "[.,]", " ")
-    nums = N.numbers_in_text(F.substring(clean, 1, 30000), F.lit(False))
+    nums = N.numbers_in_text(clean, F.lit(False))
     return w.documents.select("doc_id", F.size(nums).cast("bigint").alias("n"), F.try_element_at(F.regexp_extract_all(clean, F.lit(r"(\d+)"), 1), F.lit(1)).alias("first"))
 
 
