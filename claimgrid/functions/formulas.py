@@ -52,14 +52,17 @@ def _groups(c: Column, pattern: str, names: dict) -> Column:
     return F.arrays_zip(*arrays)
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once and use it several times in body (a lambda variable is evaluated once per row)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _or(a: Column, b: Column) -> Column:
     return F.when(a == "", b).otherwise(a)
 
 
 def parse_refs(formula: Column, sheet: Column) -> Column:
     """Array of references {sheet, c1, r1, c2, r2, ext}: sheet-qualified ones first, then local ones."""
-    body = blank_strings(formula)
-
     def qualified(m):
         raw = F.when(m["q"] != "", F.replace(m["q"], F.lit("''"), F.lit("'"))).otherwise(m["u"])
         ext = F.regexp_extract(raw, r"^\[(\d+)\]", 1)
@@ -74,18 +77,24 @@ def parse_refs(formula: Column, sheet: Column) -> Column:
             col_index(_or(m["cb"], m["ca"])).alias("c2"), _or(m["rb"], m["ra"]).cast("int").alias("r2"),
             F.lit(None).cast("int").alias("ext"))
 
-    q = F.transform(_groups(body, X.QUOTED_REF, {"q": 1, "u": 2, "ca": 4, "ra": 6, "cb": 8, "rb": 10}), qualified)
-    rest = F.regexp_replace(body, X.QUOTED_REF, " ")
-    loc = F.transform(_groups(rest, X.LOCAL_REF, {"ca": 2, "ra": 4, "cb": 6, "rb": 8}), local)
-    return F.concat(q.cast(f"array<{_REF}>"), loc.cast(f"array<{_REF}>"))
+    def both(body):
+        q = F.transform(_groups(body, X.QUOTED_REF, {"q": 1, "u": 2, "ca": 4, "ra": 6, "cb": 8, "rb": 10}), qualified)
+        loc = _let(F.regexp_replace(body, X.QUOTED_REF, " "), lambda rest: F.transform(
+            _groups(rest, X.LOCAL_REF, {"ca": 2, "ra": 4, "cb": 6, "rb": 8}), local))
+        return F.concat(q.cast(f"array<{_REF}>"), loc.cast(f"array<{_REF}>"))
+
+    return _let(blank_strings(formula), both)
 
 
 def _replace_each(c: Column, pattern: str, groups: dict, token) -> Column:
     """Replace every match by token(match): the text between matches interleaved with the tokens."""
-    parts = F.split(c, pattern, -1)
-    toks = F.transform(_groups(c, pattern, groups), token)
-    return F.concat(F.array_join(F.zip_with(F.slice(parts, F.lit(1), F.size(toks)), toks, lambda a, b: F.concat(a, b)), ""),
-                    F.element_at(parts, -1))
+    def join(body):
+        toks = F.transform(_groups(body, pattern, groups), token)
+        return _let(F.struct(F.split(body, pattern, -1).alias("parts"), toks.alias("toks")), lambda x: F.concat(
+            F.array_join(F.zip_with(F.slice(x["parts"], F.lit(1), F.size(x["toks"])), x["toks"], lambda a, b: F.concat(a, b)), ""),
+            F.element_at(x["parts"], -1)))
+
+    return _let(c, join)
 
 
 def formula_pattern(formula: Column, row: Column, col: Column) -> Column:

@@ -16,6 +16,7 @@ from claimgrid.functions.similarity import edit_similarity, similarity
 from claimgrid.functions.text import fold, squeeze
 from claimgrid.operators.quality import collect_findings, finding
 from claimgrid.operators.scan import block, first_per, scan
+from claimgrid.session import cut_lineage
 
 KEY = ["file", "sheet"]
 VISIBLE = F.col("sheet_state") == "visible"
@@ -204,8 +205,8 @@ def diff_grids(cells: DataFrame) -> DataFrame:
     """Cells that differ between a hidden sheet and its visible twin (values; numbers within 1e-9 are equal)."""
     tw = twins(cells)
     val = ["row", "col", "v_num", "v_str"]
-    a = cells.join(tw, (cells["file"] == tw["file"]) & (cells["sheet"] == tw["visible"])).select(cells["file"], "hidden", *val)
-    b = cells.join(tw, (cells["file"] == tw["file"]) & (cells["sheet"] == tw["hidden"])).select(cells["file"], "hidden", *[F.col(c).alias("h_" + c) if c.startswith("v_") else F.col(c) for c in val])
+    a = cells.join(tw.withColumnRenamed("visible", "sheet"), KEY).select("file", "hidden", *val)
+    b = cells.join(tw.select("file", "hidden", F.col("hidden").alias("sheet")), KEY).select("file", "hidden", *[F.col(c).alias("h_" + c) if c.startswith("v_") else F.col(c) for c in val])
     j = a.join(b, ["file", "hidden", "row", "col"], "full_outer")
     same_n = F.coalesce(F.abs(F.col("v_num") - F.col("h_v_num")) < 1e-9, F.col("v_num").isNull() & F.col("h_v_num").isNull())
     return j.filter(~(same_n & F.col("v_str").eqNullSafe(F.col("h_v_str"))))
@@ -296,11 +297,11 @@ def carry_groups(items: DataFrame, keys=("file", "sheet"), pos="dong") -> DataFr
     """Two-level group path from the rows without a unit."""
     keys = list(keys)
     g = F.col("dvt") == ""
-    a = scan(items, keys, block(F.col(pos)), [pos], sums={"n_g": F.when(g, 1).otherwise(0)})
+    a = scan(cut_lineage(items), keys, block(F.col(pos)), [pos], sums={"n_g": F.when(g, 1).otherwise(0)})
     top = g & ((F.col("n_g") == 1) | F.col("stt").rlike(r"^[A-Z]\.?$"))
     a = a.withColumn("top", top)
     a = scan(a, keys, block(F.col(pos)), [pos], sums={"n_top": F.when(F.col("top"), 1).otherwise(0)}, fills={"g1": F.when(F.col("top"), F.col("ten"))})
-    a = scan(a, keys + ["n_top"], block(F.col(pos)), [pos], fills={"g2": F.when(g & ~F.col("top"), F.col("ten"))})
+    a = scan(cut_lineage(a), keys + ["n_top"], block(F.col(pos)), [pos], fills={"g2": F.when(g & ~F.col("top"), F.col("ten"))})
     return a.withColumn("nhom", F.coalesce(F.concat_ws(" / ", "g1", "g2"), F.lit(""))).drop("n_g", "top", "n_top", "g1", "g2")
 
 

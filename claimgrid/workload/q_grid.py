@@ -86,7 +86,7 @@ _PAT_CASE = """CASE WHEN sheet = 'Chi tiet' AND col = 6 THEN '=<Dien giai>!C[-2]
   WHEN sheet = 'Chi tiet' AND col = 7 THEN '=C[-2]R[0]+C[-1]R[0]' || CASE WHEN ends_with(formula, '+1') THEN '+1' ELSE '' END
   WHEN sheet = 'Chi tiet' THEN '=ROUND(C[' || CASE col WHEN 9 THEN -5 ELSE -4 END || ']R[0]*C[' || (8 - col) || ']R[0],0)' || CASE WHEN ends_with(formula, '1.08') THEN '*1.08' ELSE '' END
   WHEN contains(formula, '[1]') THEN '=<[1]Goc>!C[-2]R[0]' WHEN contains(formula, '#REF') THEN '=#REF!*2' WHEN contains(formula, '(2)') THEN '=<Dien giai (2)>!C[-3]R[0]'
-  WHEN starts_with(formula, '=E') THEN '=C[1]R[0]*C[2]R[0]' WHEN starts_with(formula, '=0.5') THEN '=0.5*<Chi tiet>!C[0]R[0]' WHEN starts_with(formula, '=''Chi') THEN '=<Chi tiet>!C[0]R[0]' END"""
+  WHEN starts_with(formula, '=E') THEN '=C[1]R[0]*C[2]R[0]' WHEN ends_with(formula, '*0.5') THEN '=<Chi tiet>!C[0]R[0]*0.5' WHEN starts_with(formula, '=''Chi') THEN '=<Chi tiet>!C[0]R[0]' END"""
 
 
 @query("X-17_formula_pattern", f"SELECT file, sheet, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, replace({_PAT_CASE}, ' ', '') AS pattern FROM cells WHERE formula IS NOT NULL AND sheet <> 'Tong hop'")
@@ -95,7 +95,7 @@ def _(w):
     return f.select("file", "sheet", *b("row", "col"), S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")).alias("pattern"))
 
 
-LITS = """lt AS (SELECT file, sheet, row, col, CASE WHEN ends_with(formula, '*1.08') OR contains(formula, '*1.08-') THEN '1.08' WHEN starts_with(formula, '=0.5*') THEN '0.5' WHEN ends_with(formula, '*5%') THEN '5%' WHEN formula = '=#REF!*2' THEN '2' END AS literal
+LITS = """lt AS (SELECT file, sheet, row, col, CASE WHEN ends_with(formula, '*1.08') OR contains(formula, '*1.08-') THEN '1.08' WHEN ends_with(formula, '*0.5') THEN '0.5' WHEN ends_with(formula, '*5%') THEN '5%' WHEN formula = '=#REF!*2' THEN '2' END AS literal
   FROM cells WHERE formula IS NOT NULL AND sheet_state = 'visible')"""
 
 
