@@ -19,7 +19,10 @@ from claimgrid.operators.scan import block, first_per, scan
 from claimgrid.session import cut_lineage
 
 KEY = ["file", "sheet"]
-VISIBLE = F.col("sheet_state") == "visible"
+
+
+def visible() -> Column:
+    return F.col("sheet_state") == "visible"
 
 
 def formulas(cells: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFra
 # --- formula patterns ------------------------------------------------------------------------------------------
 def patterned(cells: DataFrame) -> DataFrame:
     """Visible formulas that are not totals, with their relative pattern."""
-    f = formulas(cells).filter(VISIBLE & ~S.is_total(F.col("formula")))
+    f = formulas(cells).filter(visible() & ~S.is_total(F.col("formula")))
     return f.withColumn("pattern", S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")))
 
 
@@ -168,7 +171,7 @@ def wrong_row_links(cells: DataFrame, measure: str = "ratio") -> DataFrame:
     cross = refs.filter((F.col("r_sheet") != F.col("sheet")) & F.col("ext").isNull())
     pairs = cross.filter("r1 = r2").groupBy("file", "sheet", "r_sheet").agg(F.count("*").alias("n_links")).filter("n_links >= 20")
     known = sheets(cells).select("file", F.col("sheet").alias("r_sheet"))
-    one = (cross.filter(VISIBLE & F.expr("c1 = c2 and r1 = r2")).join(known, ["file", "r_sheet"], "left_semi")
+    one = (cross.filter(visible() & F.expr("c1 = c2 and r1 = r2")).join(known, ["file", "r_sheet"], "left_semi")
            .groupBy("file", "sheet", "row", "col").agg(F.min(F.struct("ref_no", "r_sheet", "r1", "c1")).alias("f"), F.max(F.struct("r_sheet", "r1")).alias("mx"),
                                                       F.min(F.struct("r_sheet", "r1")).alias("mn"), F.first("formula").alias("formula"), F.first("v_num").alias("v_num"))
            .filter(F.col("mx") == F.col("mn")).select("file", "sheet", "row", "col", "formula", "v_num", "f.r_sheet", "f.r1", "f.c1"))
@@ -189,7 +192,7 @@ def wrong_row_links(cells: DataFrame, measure: str = "ratio") -> DataFrame:
 def hidden_ref_counts(cells: DataFrame) -> DataFrame:
     """References from visible sheets to hidden ones."""
     hid = sheets(cells).filter("sheet_state <> 'visible'").select("file", F.col("sheet").alias("r_sheet"))
-    return (references(cells).filter(VISIBLE & F.col("ext").isNull()).join(hid, ["file", "r_sheet"], "left_semi")
+    return (references(cells).filter(visible() & F.col("ext").isNull()).join(hid, ["file", "r_sheet"], "left_semi")
             .groupBy("file", "sheet", "r_sheet").agg(F.count("*").alias("n")))
 
 
@@ -214,13 +217,13 @@ def diff_grids(cells: DataFrame) -> DataFrame:
 
 def text_numbers(cells: DataFrame) -> DataFrame:
     """Numbers kept as text to the right of the name column, on visible sheets."""
-    t = cells.filter(VISIBLE & F.col("formula").isNull() & S.is_number_text(F.col("v_str")))
+    t = cells.filter(visible() & F.col("formula").isNull() & S.is_number_text(F.col("v_str")))
     return t.join(name_column(cells), KEY).filter(F.col("col") > F.col("name_col"))
 
 
 def literal_census(cells: DataFrame, path_columns: DataFrame | None = None) -> DataFrame:
     """Literals typed into formulas: kind, count, count on the lineage columns, and a few example cells."""
-    lit = formulas(cells).filter(VISIBLE).select("file", "sheet", "row", "col", F.explode(S.embedded_literals(F.col("formula"))).alias("literal"))
+    lit = formulas(cells).filter(visible()).select("file", "sheet", "row", "col", F.explode(S.embedded_literals(F.col("formula"))).alias("literal"))
     if path_columns is not None:
         lit = lit.join(path_columns.select("file", "sheet", "col", F.lit(1).alias("on_path")), ["file", "sheet", "col"], "left")
     else:
@@ -233,7 +236,7 @@ def labelled_totals(cells: DataFrame) -> DataFrame:
     """Summary figures found by their labels: first number within six cells to the right."""
     t = fold(F.col("v_str"))
     hits = F.array_compact(F.array(*[F.when(t.rlike(p) & (~t.contains("luy ke") if k == "gt_hd" else F.lit(True)), F.lit(k)) for k, p in X.SUMMARY_LABELS]))
-    lab = (cells.filter(VISIBLE & (F.col("row") <= 80) & (F.col("col") <= 12) & F.col("formula").isNull() & (t != "") & (F.length(t) <= 140))
+    lab = (cells.filter(visible() & (F.col("row") <= 80) & (F.col("col") <= 12) & F.col("formula").isNull() & (t != "") & (F.length(t) <= 140))
            .select("file", "sheet", "sheet_idx", "row", F.col("col").alias("l_col"), F.col("v_str").alias("nhan"), F.explode(hits).alias("label")))
     # column offsets are exploded so that the join is an equi join
     want = lab.withColumn("col", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.col("l_col") + i)))

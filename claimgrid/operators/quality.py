@@ -9,7 +9,10 @@ from claimgrid import fixed as X
 from claimgrid.operators import state
 from claimgrid.schemas import FINDING_COLUMNS, TOL, money_tolerance, pyround
 
-LINE_VALUE = pyround(F.coalesce("kl", F.lit(0.0)) * F.coalesce("don_gia", F.lit(0.0)))
+def line_value() -> Column:
+    """Quantity x price, rounded half-even."""
+    return pyround(F.coalesce("kl", F.lit(0.0)) * F.coalesce("don_gia", F.lit(0.0)))
+
 
 
 def finding(check: str, level, entity, message, n=None, amount=None) -> list:
@@ -35,7 +38,7 @@ def order_findings(df: DataFrame) -> DataFrame:
 
 def boq_total_check(contracts: DataFrame, base: DataFrame) -> DataFrame:
     """Base lines with VAT against the contract value."""
-    tot = base.groupBy("ma_hd").agg(F.sum(LINE_VALUE).alias("total"), F.count("*").alias("n_lines"))
+    tot = base.groupBy("ma_hd").agg(F.sum(line_value()).alias("total"), F.count("*").alias("n_lines"))
     j = contracts.withColumn("contract_value", state.base_value_with_vat(contracts)).join(tot, "ma_hd", "left")
     gap = F.abs(F.col("boq_value") - F.col("contract_value")) > money_tolerance(F.col("contract_value"))
     return (j.withColumn("boq_value", F.col("total") * (1 + F.coalesce("vat", F.lit(0.0))))
@@ -48,7 +51,7 @@ def base_boq_findings(contracts: DataFrame, base: DataFrame) -> DataFrame:
     gap = chk.filter("verdict = 'B01'").select(*finding(
         "B01", X.RED, F.col("ma_hd"), "base lines x (1 + VAT) differ from the contract value",
         amount=F.col("boq_value") - F.col("contract_value")))
-    off = F.col("thanh_tien_ghi") - LINE_VALUE
+    off = F.col("thanh_tien_ghi") - line_value()
     line = base.filter(F.abs(off) > TOL["line_total"]).select(*finding(
         "B02", X.YELLOW, F.concat_ws("/", "ma_hd", "ma_hm"), "stated total is not quantity x price", amount=off))
     return collect_findings(none, gap, line)
@@ -98,7 +101,7 @@ def contract_controls(contracts, amendments, boq, params, findings, periods, on:
     """Control columns of the contract overview: values, gap, items, last period, red flags, unconfirmed parameters."""
     value = state.contract_value(contracts, amendments, on)
     live = state.effective_rows(boq, amendments, on).filter("state = 'live'")
-    lines = live.groupBy("ma_hd").agg(F.sum(LINE_VALUE).alias("total"), F.count("*").alias("n_items"))
+    lines = live.groupBy("ma_hd").agg(F.sum(line_value()).alias("total"), F.count("*").alias("n_items"))
     red = standing_findings(findings, amendments).filter(F.col("muc_do") == X.RED).groupBy("ma_hd").agg(F.count("*").alias("n_red"))
     open_ = unconfirmed(params).groupBy("ma_hd").agg(F.count("*").alias("n_unconfirmed"))
     j = (value.join(lines, "ma_hd", "left").join(red, "ma_hd", "left").join(open_, "ma_hd", "left")

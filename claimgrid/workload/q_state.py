@@ -9,7 +9,11 @@ from claimgrid.operators import quality, state
 from claimgrid.workload.registry import query
 
 DAY = "1999-06-30"
-DAYC = F.to_date(F.lit(DAY))
+
+
+def dayc():
+    return F.to_date(F.lit(DAY))
+
 SIGNED_SQL = f"trang_thai = 'Đã ký' AND ngay_hieu_luc <= DATE '{DAY}'"
 
 
@@ -47,7 +51,7 @@ ROW_OUT = "ma_hd, ma_hm, state, ten, dvt, kl, don_gia, khoa, nguon, CAST(n_chang
 
 @query("W-01_effective_rows", f"WITH {STATES_SQL} SELECT {ROW_OUT} FROM states")
 def _(w):
-    e = state.effective_rows(w.boq_log, w.amendments, DAYC)
+    e = state.effective_rows(w.boq_log, w.amendments, dayc())
     return e.select("ma_hd", "ma_hm", "state", "ten", "dvt", "kl", "don_gia", "khoa", "nguon", *big("n_changes"), "bo_boi")
 
 
@@ -57,14 +61,14 @@ def _(w):
   last_value(don_gia IGNORE NULLS) OVER (PARTITION BY ma_hd, ma_hm, seg ORDER BY rn) AS don_gia_after
   FROM kept WHERE thao_tac <> 'BO'""")
 def _(w):
-    h = state.history(state.change_log(w.boq_log, state.applicable(w.amendments, DAYC)))
+    h = state.history(state.change_log(w.boq_log, state.applicable(w.amendments, dayc())))
     return h.select("ma_hd", "ma_hm", *big("seg", "step"), F.split("note", ": KL ")[0].alias("label"), "kl_after", "don_gia_after")
 
 
 @query("U-01_union_prefer", f"""WITH {STATES_SQL} SELECT {ROW_OUT} FROM states s WHERE state = 'live' OR NOT EXISTS
   (SELECT 1 FROM states t WHERE t.state = 'live' AND t.ma_hd = s.ma_hd AND t.ma_hm = s.ma_hm)""")
 def _(w):
-    e = state.effective_rows(w.boq_log, w.amendments, DAYC)
+    e = state.effective_rows(w.boq_log, w.amendments, dayc())
     u = state.union_prefer(e.filter("state = 'live'"), e.filter("state = 'removed'"))
     return u.select("ma_hd", "ma_hm", "state", "ten", "dvt", "kl", "don_gia", "khoa", "nguon", *big("n_changes"), "bo_boi")
 
@@ -88,19 +92,19 @@ def _(w):
 
 @query("F-02_applicable", f"SELECT id, ma_hd, so_pl, ngay_ky, ngay_hieu_luc FROM amendments WHERE {SIGNED_SQL} AND id <> 7")
 def _(w):
-    return state.applicable(w.amendments, DAYC, F.lit(7)).select("id", "ma_hd", "so_pl", "ngay_ky", "ngay_hieu_luc")
+    return state.applicable(w.amendments, dayc(), F.lit(7)).select("id", "ma_hd", "so_pl", "ngay_ky", "ngay_hieu_luc")
 
 
 @query("F-03_pending", f"""SELECT id, ma_hd, so_pl, trang_thai, ngay_hieu_luc FROM amendments
   WHERE trang_thai <> 'Đã hủy' AND (trang_thai = 'Dự thảo' OR ngay_hieu_luc > DATE '{DAY}')""")
 def _(w):
-    return state.pending(w.amendments, DAYC).select("id", "ma_hd", "so_pl", "trang_thai", "ngay_hieu_luc")
+    return state.pending(w.amendments, dayc()).select("id", "ma_hd", "so_pl", "trang_thai", "ngay_hieu_luc")
 
 
 @query("F-07_before", f"""SELECT id, ma_hd, so_pl, ngay_hieu_luc FROM amendments WHERE trang_thai = 'Đã ký'
   AND (ngay_hieu_luc < DATE '{DAY}' OR (ngay_hieu_luc = DATE '{DAY}' AND so_pl <= 'PL5'))""")
 def _(w):
-    return state.at_or_before(w.amendments, DAYC, F.lit("PL5")).select("id", "ma_hd", "so_pl", "ngay_hieu_luc")
+    return state.at_or_before(w.amendments, dayc(), F.lit("PL5")).select("id", "ma_hd", "so_pl", "ngay_hieu_luc")
 
 
 @query("W-02_effective_params", f"""WITH ch AS (SELECT a.ma_hd, c.ma_ts, c.gia_tri_moi, a.so_pl,
@@ -110,7 +114,7 @@ def _(w):
     coalesce(c.so_pl, 'HĐ gốc') AS nguon, CAST(coalesce(c.n, 0) AS BIGINT) AS n_changes
   FROM params p FULL JOIN (SELECT * FROM ch WHERE rn = 1) c ON p.ma_hd = c.ma_hd AND p.ma_ts = c.ma_ts""")
 def _(w):
-    e = state.effective_params(w.params, w.param_changes, w.amendments, DAYC)
+    e = state.effective_params(w.params, w.param_changes, w.amendments, dayc())
     return e.select("ma_hd", "ma_ts", "gia_tri", "nguon", *big("n_changes"))
 
 
@@ -118,7 +122,7 @@ def _(w):
    CAST(row_number() OVER (PARTITION BY a.ma_hd, c.ma_ts ORDER BY ngay_hieu_luc, ngay_ky, so_pl, c.pl_id) AS BIGINT) AS step
    FROM param_changes c JOIN amendments a ON c.pl_id = a.id WHERE {SIGNED_SQL}""")
 def _(w):
-    h = state.param_history(w.param_changes, w.amendments, DAYC)
+    h = state.param_history(w.param_changes, w.amendments, dayc())
     return h.select("ma_hd", "ma_ts", "so_pl", "ngay_hieu_luc", "gia_tri_cu", "gia_tri_moi", *big("step"))
 
 
@@ -130,7 +134,7 @@ CHAIN_SQL = f"""run AS (SELECT a.*, CAST(sum(CAST(gt_sau_vat AS DECIMAL(24, 3)))
 
 @query("W-04_value_chain", f"WITH {CHAIN_SQL} SELECT ma_hd, id, so_pl, CAST(step AS BIGINT) AS step, base_value + (cum - gt_sau_vat) AS value_before, base_value + cum AS value_after FROM chain")
 def _(w):
-    v = state.value_chain(w.contracts, w.amendments, DAYC)
+    v = state.value_chain(w.contracts, w.amendments, dayc())
     return v.select("ma_hd", "id", "so_pl", *big("step"), "value_before", "value_after")
 
 
@@ -138,7 +142,7 @@ def _(w):
   SELECT ma_hd, id, CASE WHEN abs(base_value + (cum - gt_sau_vat) + gt_sau_vat - stated) > greatest(1000.0, abs(stated) * 1e-5) THEN 'ĐỎ' ELSE 'ĐẠT' END AS level
   FROM st WHERE stated IS NOT NULL""")
 def _(w):
-    v = state.value_chain(w.contracts, w.amendments, DAYC)
+    v = state.value_chain(w.contracts, w.amendments, dayc())
     v = v.withColumn("gt_hd_sau_pl", F.when(F.col("id") % 3 == 1, F.col("value_after"))
                      .when(F.col("id") % 3 == 2, F.col("value_after") + 5000000))
     return quality.chain_check(v).select("ma_hd", "id", "level")
@@ -170,7 +174,7 @@ def _(w):
    CAST(coalesce(n, 0) AS BIGINT) AS n_pl FROM contracts LEFT JOIN (SELECT ma_hd, CAST(sum(CAST(gt_sau_vat AS DECIMAL(24, 3))) AS DOUBLE) AS d, count(*) AS n
    FROM amendments WHERE {SIGNED_SQL} GROUP BY ma_hd) USING (ma_hd)""")
 def _(w):
-    v = state.contract_value(w.contracts, w.amendments, DAYC)
+    v = state.contract_value(w.contracts, w.amendments, dayc())
     return v.select("ma_hd", "base_value", "delta", "value_in_force", *big("n_pl"))
 
 
@@ -265,7 +269,7 @@ _EFF = f"""ch AS (SELECT a.ma_hd, c.ma_ts, arg_max(c.gia_tri_moi, struct_pack(a
    max(v) FILTER (ma_ts = 'TT-20') AS tt20, max(v) FILTER (ma_ts = 'TT-21') AS tt21, max(v) FILTER (ma_ts = 'TT-50') AS tt50, max(v) FILTER (ma_ts = 'Y-02') AS y02,
    CAST(36 - count(*) FILTER (based AND ma_ts LIKE 'T%') AS BIGINT) AS n_missing, CAST(count(*) FILTER (changed) AS BIGINT) AS n_changed FROM eff GROUP BY ma_hd""")
 def _(w):
-    e = state.effective_params(w.params, w.param_changes, w.amendments, DAYC)
+    e = state.effective_params(w.params, w.param_changes, w.amendments, dayc())
     wide = state.params_wide(e, ["Y-01", "Y-02"])
     m = state.missing_and_changed(e)
     codes = {"TC-01": "tc01", "TT-02": "tt02", "TT-04": "tt04", "TT-10": "tt10", "TT-20": "tt20", "TT-21": "tt21", "TT-50": "tt50", "Y-02": "y02"}
@@ -292,5 +296,5 @@ def _(w):
      CAST(coalesce(red.n, 0) AS BIGINT) AS n_red, CAST(coalesce(un.n, 0) AS BIGINT) AS n_unconfirmed
    FROM contracts c LEFT JOIN boq USING (ma_hd) LEFT JOIN d USING (ma_hd) LEFT JOIN red USING (ma_hd) LEFT JOIN un USING (ma_hd)""")
 def _(w):
-    q = quality.contract_controls(w.contracts, w.amendments, w.boq_log, w.params, w.findings_log, w.periods, DAYC)
+    q = quality.contract_controls(w.contracts, w.amendments, w.boq_log, w.params, w.findings_log, w.periods, dayc())
     return q.select("ma_hd", "value_in_force", "boq_value", *big("n_items"), "value_gap", *big("n_red", "n_unconfirmed"))
