@@ -386,7 +386,7 @@ def unused_links(links: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def k2_findings(cells: DataFrame) -> DataFrame:
-    p = patterned(cells)
+    p = cut_lineage(patterned(cells))                      # parsed once, read three times
     dom = dominant_patterns(p)
     out = pattern_outliers(p, dom).groupBy("file", "sheet").agg(F.count("*").alias("n")).select(
         *finding("K2", X.MEDIUM, _where("file", "sheet"), "formulas off the column pattern", F.col("n")))

@@ -10,6 +10,7 @@ from claimgrid.functions import formulas as S
 from claimgrid.operators import grid
 from claimgrid.operators.quality import collect_findings, order_findings
 from claimgrid.operators.scan import top_per
+from claimgrid.session import cut_lineage
 from claimgrid.workload.q_reconcile import sql_edit, sql_fold
 from claimgrid.workload.registry import query
 
@@ -130,7 +131,7 @@ OUTL = PATS + """, ol AS (SELECT p.* FROM pt p JOIN pc ON pc.file = p.file AND p
 
 @query("W-11_pattern_outliers", f"WITH {OUTL} SELECT file, sheet, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, formula FROM ol")
 def _(w):
-    p = grid.patterned(w.cells)
+    p = cut_lineage(grid.patterned(w.cells))
     return grid.pattern_outliers(p, grid.dominant_patterns(p)).select("file", "sheet", *b("row", "col"), "formula")
 
 

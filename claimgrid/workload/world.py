@@ -312,7 +312,7 @@ _CELLS = (
         _cell(_S1, _r, 1, n=f"CAST({_k} % {ROWS} AS DOUBLE)"), _cell(_S1, _r, 2, s=_name), _cell(_S1, _r, 3, s=f"'{UNITS[0]}'", when=_item),
         _cell(_S1, _r, 4, n=_this, when=f"{_item} AND {_k} % 4 = 0 AND {_k} % 61 <> 3"),
         _cell(_S1, _r, 4, f="CASE o_orderkey % 4 WHEN 1 THEN '=E' || " + _rs + " || '*F' || " + _rs + " WHEN 2 THEN '=''Chi tiet''!D' || " + _rs
-              + " ELSE '=0.5*''Chi tiet''!D' || " + _rs + " END", n=_this, when=f"{_item} AND {_k} % 4 <> 0 AND {_k} % 61 <> 3"),
+              + " ELSE '=''Chi tiet''!D' || " + _rs + " || '*0.5' END", n=_this, when=f"{_item} AND {_k} % 4 <> 0 AND {_k} % 61 <> 3"),
         _cell(_S1, _r, 4, f="'=[1]Goc!B' || " + _rs, n=_this, when=f"{_item} AND {_k} % 61 = 3"),
         _cell(_S1, _r, 5, n=f"CAST({_k} % 7 AS DOUBLE)", when=_item), _cell(_S1, _r, 6, n=f"CAST({_k} % 5 AS DOUBLE)", when=_item),
         _cell(_S1, _r, 7, f="'=''Dien giai (2)''!D' || " + _rs, n=_this, when=f"{_item} AND {_k} % 43 = 1"),
@@ -451,7 +451,8 @@ class World:
         key = (self.spark.sparkContext.applicationId, self.path, name)
         if key not in _WRITTEN:
             out = f"{shared_dir(self.spark)}/claimgrid-store/{uuid.uuid4().hex}"
-            self._table(name).write.parquet(out)
+            # the driver tables are single files: spread the derived rows over all cores
+            self._table(name).repartition(self.spark.sparkContext.defaultParallelism).write.parquet(out)
             _WRITTEN[key] = out
         return _WRITTEN[key]
 
