@@ -427,6 +427,12 @@ class World:
 
     def _table(self, name: str) -> DataFrame:
         sql = _render(name, "spark", self.path)
+        if "{{explode:" in DERIVED[name]:
+            # one source row becomes many: spread the rows before, not after
+            src = next(b for b in BASE if "{" + b + "}" in DERIVED[name])
+            ref = f"parquet.`{self.path}/{src}.parquet`"
+            n = max(2 * self.spark.sparkContext.defaultParallelism, getattr(self, src).rdd.getNumPartitions())
+            sql = sql.replace(f"FROM {ref}", f"FROM (SELECT /*+ REPARTITION({n}) */ * FROM {ref}) src")
         for dep in _needs(DERIVED[name]):
             if dep in STORED:
                 ref = f"parquet.`{self._stored(dep)}`"
