@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,15 @@ def build_session(app="claimgrid", master=None, **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only where it is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a single-machine session (local master: tests, bench)
+    gets a fresh folder; a cluster session gets an error, since its executors could not see each other's local folders."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    d = d or spark.sparkContext.getCheckpointDir()
     if not d:
-        cur = spark.sparkContext.getCheckpointDir()
-        d = cur or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        if not cur:
-            spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
