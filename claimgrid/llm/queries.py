@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from claimgrid.llm import token_counts, token_store
+from claimgrid.llm import language_id, simhash, token_counts, token_store
 from claimgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,3 +31,16 @@ def op3(spark, sf_dir):
 @query("op7_token_files")
 def op7(spark, sf_dir):
     return token_store.read_documents(token_store.write_tokens(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+@query("op9_simhash_groups")
+def op9(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs), returned=["doc_id"])
+    label, score, entropy, rejected = found.columns[-4:]
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), F.col(label).alias("lang_pred"), F.col(score).alias("score"), F.col(entropy).alias("entropy"), F.col(rejected).alias("rejected"))
