@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimgrid.llm import language_id, simhash, token_counts, token_store
+from claimgrid.llm import decontaminate, language_id, mixing, simhash, token_counts, token_store
 from claimgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,3 +44,15 @@ def op5(spark, sf_dir):
     found = language_id.identify(docs, language_id.train(docs), returned=["doc_id"])
     label, score, entropy, rejected = found.columns[-4:]
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), F.col(label).alias("lang_pred"), F.col(score).alias("score"), F.col(entropy).alias("entropy"), F.col(rejected).alias("rejected"))
+
+
+@query("op1_mixing")
+def op1(spark, sf_dir):
+    found = mixing.mix(table(spark, sf_dir, "documents"), texts=False)
+    taken = F.col("mix_size") * F.size("mix_draws")
+    return found.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), "source", F.col("mix_draws.shard").alias("shards"))
+
+
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
