@@ -61,9 +61,11 @@ def split_quotas(quotas, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """docs with mix_size (words), mix_key (keyed hash of id and text) and mix_source."""
-    return docs.withColumns({"mix_size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "mix_key": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), "mix_source": F.col(source_col).cast("string")})
+def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, kept: list[str]) -> DataFrame:
+    """(row, mix_size, mix_key, mix_source): the kept columns of docs as a struct, so that no name clashes; the words of the
+    text; a keyed hash of id and text; the source."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), size.alias("mix_size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix_key"), F.col(source_col).cast("string").alias("mix_source"))
 
 
 def _part(key, count):
@@ -123,37 +125,31 @@ def plan(rows: DataFrame, shards: int, weights, most: float, seed: int, max_sour
 
 
 def mix(docs: DataFrame, shards: int = 64, weights=(1, 2, 3), most: float = 3.0, seed: int = 17, max_sources: int = 10_000, max_blocks: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", texts: bool = True) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_draws: one (pass, shard) for each time the mix takes the row.
+    """(row, mix_size, mix_source_size, mix_target, mix_draws, mix_key) per row of docs: its columns as a struct, and one
+    (pass, shard) for each time the mix takes it.
 
-    texts=False returns id and source alone of docs' columns, from the measured rows. Sources are ordered by code point, null last,
-    and weights repeat over them. A size is the number of words of the whole text (null: 0); sources without words get no
-    target. Ids may be null or repeat; equal rows are drawn alike. An empty table gives none. The same rows give the same mix,
-    however they are partitioned.
+    texts=False keeps id and source alone, and reads the texts once only. Sources are ordered by code point, null last, and weights
+    repeat over them. A size is the number of words of the whole text (null: 0); sources without words get no target. Ids may be
+    null or repeat; equal rows are drawn alike. An empty table gives none. The same rows give the same mix, however they are
+    partitioned.
     """
-    if len({c.lower() for c in docs.columns} & {"mix_size", "mix_key", "mix_source", "mix_source_size", "mix_target", "mix_draws", "mix_order"}):
-        raise ValueError("columns named mix_size, mix_key, mix_source, mix_source_size, mix_target, mix_draws or mix_order are made here")
-    rows = measured(docs, seed, id_col, text_col, source_col)
-    narrow = stored(rows.select(F.col(id_col), "mix_size", "mix_key", "mix_source"))
+    narrow = stored(measured(docs, seed, id_col, text_col, source_col, [id_col, source_col]))
     if narrow.isEmpty():
         places = docs.sparkSession.createDataFrame([], "k int, block int, draws array<struct<pass:int,shard:int>>")
         sources = docs.sparkSession.createDataFrame([], "k int, name string, words long, target double, blocks int, edge int, try int, cut long")
     else:
         sources, places = plan(narrow, shards, weights, most, seed, max_sources, max_blocks)
-    rows = rows if texts else narrow.withColumn(source_col, F.col("mix_source"))
-    keep = [F.col(f"d.`{c}`") for c in (docs.columns if texts else [id_col, source_col])]
-    s = F.broadcast(sources).alias("s")
-    rows = rows.alias("d").join(s, F.col("d.mix_source").eqNullSafe(F.col("s.name"))).withColumn("mix_block", _part(F.col("mix_key"), F.col("s.blocks")))
-    p = F.broadcast(places).alias("p")
-    rows = rows.join(p, (F.col("s.k") == F.col("p.k")) & (F.col("mix_block") == F.col("p.block")), "left")
-    out = (F.col("mix_block") == F.col("s.edge")) & ((F.col("s.try") < 0) | (F.xxhash64("mix_key", F.col("s.try")) > F.col("s.cut")))
-    some = F.coalesce(F.col("p.draws"), F.array().cast("array<struct<pass:int,shard:int>>"))
+    rows = measured(docs, seed, id_col, text_col, source_col, docs.columns) if texts else narrow
+    rows = rows.join(F.broadcast(sources), F.col("mix_source").eqNullSafe(F.col("name"))).withColumn("at", _part(F.col("mix_key"), F.col("blocks")))
+    rows = rows.join(F.broadcast(places.withColumnRenamed("k", "of")), (F.col("k") == F.col("of")) & (F.col("at") == F.col("block")), "left")
+    out = (F.col("at") == F.col("edge")) & ((F.col("try") < 0) | (F.xxhash64("mix_key", "try") > F.col("cut")))
+    some = F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>"))
     drawn = F.when(out, F.slice(some, 1, F.size(some) - 1)).otherwise(some)
-    return rows.select(*keep, F.col("mix_size"), F.col("s.words").alias("mix_source_size"), F.col("s.target").alias("mix_target"), drawn.alias("mix_draws"), F.col("mix_key"))
+    return rows.select("row", "mix_size", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), drawn.alias("mix_draws"), "mix_key")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs as often as it is drawn, with docs' columns, dealt by shard and shuffled inside each."""
-    found = mix(docs, **options).withColumn("mix_draw", F.explode("mix_draws"))
-    shard = F.col("mix_draw.shard")
-    out = found.withColumn("mix_shard", shard).withColumn("mix_order", F.xxhash64("mix_key", shard, F.col("mix_draw.pass")))
-    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(docs.columns)
+    draws = mix(docs, **options).select("row", "mix_key", F.explode("mix_draws").alias("draw"))
+    copies = draws.select("row", F.col("draw.shard").alias("shard"), F.xxhash64("mix_key", "draw.shard", "draw.pass").alias("turn"))
+    return copies.repartition("shard").sortWithinPartitions("shard", "turn").select("row.*")

@@ -50,7 +50,7 @@ def op5(spark, sf_dir):
 def op1(spark, sf_dir):
     found = mixing.mix(table(spark, sf_dir, "documents"), texts=False)
     taken = F.col("mix_size") * F.size("mix_draws")
-    return found.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), "source", F.col("mix_draws.shard").alias("shards"))
+    return found.select("row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), "row.source", F.col("mix_draws.shard").alias("shards"))
 
 
 @query("op4_decontamination")
