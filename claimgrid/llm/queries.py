@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimgrid.llm import decontaminate, language_id, mixing, simhash, token_counts, token_store
+from claimgrid.llm import chat, decontaminate, language_id, mixing, simhash, token_counts, token_store
 from claimgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,3 +56,31 @@ def op1(spark, sf_dir):
 @query("op4_decontamination")
 def op4(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed text of the contract's extra conversation.
+EXTRA_TURN = "</s>[INST] ok [/INST]"
+
+OP2_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (WHERE r = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(regexp_replace(r, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(t, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op2_chat_format", OP2_SQL)
+def op2(spark, sf_dir):
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA_TURN).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat.format_chats(chat.log_of(rows))
+    turns = chat.read_turns(F.col("formatted"))
+    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: chat.unescape(p["text"])), "")
+    done = done.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
