@@ -60,6 +60,10 @@ LABELLED = """
 12 0.00   2 1.00  70 0.00 0 -1 0 0
 45 0.00  80 0.00   0 0.00 0 -1 0 0
  4 0.00   1 1.00  60 0.00 0 -1 1 0
+ 6 0.00   8 0.00  50 0.00 0 -1 1 0
+ 9 0.00  60 0.00  50 0.00 0 -1 0 0
+70 0.00  60 0.00  50 0.00 0 -1 0 0
+30 0.00   2 1.00  50 0.00 0 -1 0 0
  2 1.00   0 0.00   2 1.00 0 -1 0 0
  1 1.00   1 1.00   1 1.00 1  0 0 0
 12 0.00  70 0.00  60 0.00 1  0 0 0
@@ -79,6 +83,9 @@ LABELLED = """
  5 0.00   2 1.00   6 0.60 0  0 1 0
  4 0.00   3 0.50   3 0.00 0  0 1 0
  7 0.00   2 1.00  60 0.00 0  0 1 1
+ 3 0.00   2 1.00  22 0.00 0  0 1 1
+ 5 0.00   1 1.00  35 0.00 0  0 1 1
+ 9 0.00   3 0.80  15 0.10 0  0 1 1
  3 0.00  60 0.00  45 0.00 0  0 1 1
  8 0.00   6 0.00  25 0.00 0  0 1 1
  9 0.00   0 0.00  90 0.00 0  0 1 1
@@ -88,6 +95,9 @@ LABELLED = """
 18 0.00  50 0.00  44 0.00 0  0 0 1
 33 0.30  45 0.00  60 0.10 0  0 0 1
 40 0.00   3 1.00  30 0.00 0  0 0 1
+25 0.00   2 1.00  45 0.00 0  0 0 1
+16 0.00   1 1.00  60 0.00 0  0 0 1
+70 0.00   2 1.00   9 0.00 0  0 0 1
 22 0.20  30 0.00   2 1.00 0  0 0 1
 90 0.05   0 0.00   0 0.00 0  0 0 1
 90 0.00  60 0.00   3 1.00 0  0 0 1
