@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimgrid.llm import chat, decontaminate, html_text, language_id, mixing, simhash, token_counts, token_store
+from claimgrid.llm import chat, decontaminate, html_text, imatch, language_id, mixing, simhash, successor, token_counts, token_store
 from claimgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +89,19 @@ def op2(spark, sf_dir):
 @query("op6_html_text")
 def op6(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op8_imatch")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = imatch.lexicon(docs)
+    rows = successor.spanned(docs.withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text")}))
+    order = ["doc_id", "tie", "text"]
+    inner = successor.inner_pairs(imatch.with_fingerprint(rows, words, "text", "fingerprint"), {"next_text": "text", "next_fingerprint": "fingerprint"}, order)
+    outer = successor.outer_pairs(rows, {"next_text": "text"}, order)
+    outer = imatch.with_fingerprint(imatch.with_fingerprint(outer, words, "text", "fingerprint"), words, "next_text", "next_fingerprint")
+    pairs = inner.unionByName(outer)
+    edited = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 4) as int)), substring(next_text, 1, cast(floor(n_chars / 4) as int)))")
+    pairs = pairs.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", "next_fingerprint")
+    done = imatch.with_fingerprint(pairs, words, "edited", "edited_fingerprint")
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"))
