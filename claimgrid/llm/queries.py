@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from claimgrid.llm import chat, decontaminate, html_text, imatch, language_id, mixing, simhash, successor, token_counts, token_store
+from claimgrid.llm import chat, cotrain, decontaminate, html_text, imatch, language_id, mixing, simhash, successor, token_counts, token_store
 from claimgrid.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,3 +105,9 @@ def op8(spark, sf_dir):
     pairs = pairs.select("doc_id", "n_chars", edited.alias("edited"), "fingerprint", "next_fingerprint")
     done = imatch.with_fingerprint(pairs, words, "edited", "edited_fingerprint")
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", imatch.likeness("fingerprint", "edited_fingerprint").alias("near_edited"), imatch.likeness("fingerprint", "next_fingerprint").alias("near_next"))
+
+
+@query("op10_quality")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.score(docs, cotrain.train(docs, table(spark, sf_dir, "labels")))
