@@ -138,11 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_po
     named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     drawn = named.orderBy(key, "doc_id").limit(max_labelled)
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    known = _featured(rows.join(F.broadcast(drawn), "doc_id"), ["doc_id", "quality"]).orderBy(key, "doc_id").limit(max_labelled).toPandas()
+    known = _featured(rows.join(F.broadcast(drawn), "doc_id"), ["doc_id", "quality"]).orderBy(key, "doc_id", "t", "m").limit(max_labelled).toPandas()
     total = max(1, docs.count())
     share = min(1.0, 1.3 * max_pool / total)
     some = rows.where((key.bitwiseAND((1 << 30) - 1) / float(1 << 30) <= share) & F.col("doc_id").isNotNull())
-    pool = _featured(some.join(F.broadcast(drawn), "doc_id", "left_anti"), ["doc_id"]).orderBy(key, "doc_id").limit(max_pool).toPandas()
+    pool = _featured(some.join(F.broadcast(drawn), "doc_id", "left_anti"), ["doc_id"]).orderBy(key, "doc_id", "t", "m").limit(max_pool).toPandas()
     wide = {"t": len(text_features("")), "m": len(meta_features(None, None, None))}
     views = lambda found: [np.array(found[c].tolist(), float).reshape(len(found), n) for c, n in wide.items()]
     return CoTrained(views(known), known["quality"].to_numpy(float), views(pool), rounds, sure, most)

@@ -3,10 +3,11 @@ import random
 import xxhash
 
 from claimgrid.llm import simhash as S
+from tests_llm_helpers import groups
 
 
 def brute_print(text):
-    words = [w for w in (text or "").encode().lower().replace(b"\x1c", b"\x1c").split()]
+    words = (text or "").encode().lower().split()
     if not words:
         return 0
     sh = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
@@ -14,23 +15,6 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
 
 
-def brute_groups(fps):
-    parent = {i: i for i in fps}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(fps)
-    for x in ids:
-        for y in ids:
-            if x < y and (fps[x] ^ fps[y]).bit_count() <= 2:
-                a, b = sorted((root(x), root(y)))
-                parent[b] = a
-    return {i: root(i) for i in ids}
-
-
 def test_fingerprints_match_brute_force():
     rnd = random.Random(5)
     for n in (0, 1, 2, 3, 4, 50, 400):
@@ -55,7 +39,7 @@ def test_groups_match_brute_force(spark, monkeypatch):
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(i, i, signed(f)) for i, f in fps.items()], "doc_id long, row_key long, fp long")
     got = {r.doc_id: r.component_id for r in S.groups(df).collect()}
-    assert got == brute_groups(fps)
+    assert got == groups(fps)
 
 
 def test_odd_rows(spark):
