@@ -50,7 +50,7 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def match_key(group: Column, name: Column, unit: Column) -> Column:
-    return F.concat_ws("|", fold(group), F.substring(fold(name), 1, 120), fold(unit))
+    return F.concat_ws("|", fold(group), fold(name), fold(unit))
 
 
 def python_strip(c: Column, chars: str) -> Column:
@@ -60,7 +60,10 @@ def python_strip(c: Column, chars: str) -> Column:
 
 
 def safe_name(c: Column, limit: int = 60) -> Column:
-    return python_strip(F.substring(F.regexp_replace(c, r'[\\/:*?"<>|]+', "_"), 1, limit), " ._")
+    """A file name without forbidden signs; a name over the limit is cut and ends with a hash of the whole, so none collide."""
+    clean = F.regexp_replace(c, r'[\\/:*?"<>|]+', "_")
+    short = F.concat(python_strip(F.substring(clean, 1, limit), " ._"), F.lit("_"), F.substring(F.md5(clean), 1, 8))
+    return F.when(F.length(clean) > limit, short).otherwise(python_strip(clean, " ._"))
 
 
 def content_key(content: Column, model: Column, masked: Column, whole: Column) -> Column:

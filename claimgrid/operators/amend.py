@@ -109,7 +109,7 @@ def check_lines(f: DataFrame, b_rows: DataFrame, rows: DataFrame, boq: DataFrame
         hit(target_gone & F.col("bo_boi").isNull(), "P04", X.BLOCK, "target is not in force"),
         hit(exists, "P04", X.BLOCK, "added code already exists"),
         hit(short, "P04", X.BLOCK, "added line is incomplete"),
-        hit(v & (op == X.OP_MODIFY) & ~_blank("ten") & (F.substring(fold(F.col("ten")), 1, 60) != F.substring(fold(F.col("c_ten")), 1, 60)), "P04", X.YELLOW, "renamed"),
+        hit(v & (op == X.OP_MODIFY) & ~_blank("ten") & (fold(F.col("ten")) != fold(F.col("c_ten"))), "P04", X.YELLOW, "renamed"),
         hit(v & (op == X.OP_ADD) & F.col("matched").isNotNull(), "P04", X.YELLOW, "possible duplicate"),
         hit(v & (op != X.OP_REMOVE) & (F.abs(stated) > TOL["line_total"]), "P04", X.YELLOW, "stated total differs"),
         hit(price_moved, "P16", F.when(F.col("can_cu") == "", X.RED).otherwise(X.YELLOW), "price change in a fixed-price contract"),

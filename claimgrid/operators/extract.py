@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimgrid import fixed as X
 from claimgrid.functions.numbers import canonical_value, numbers_in_text, typed_ai_value, vn_number
 from claimgrid.functions.text import content_key, fold, mask_pii, python_strip, squeeze
-from claimgrid.operators.scan import block, scan
 from claimgrid.schemas import pyround
+from claimgrid.session import cut_lineage
 
 I = "(?iuU)"
 
@@ -30,13 +31,19 @@ def join_cells(cells: Column) -> Column:
     return F.array_join(F.transform(F.array_distinct(clean), lambda c: F.replace(c, F.lit("\n"), F.lit(" / "))), " | ")
 
 
+def in_document(order: str | None = "pos"):
+    """The paragraphs of one document. A text came from one value, so its paragraphs fit in a task; all steps below share the
+    one exchange by doc_id."""
+    w = W.partitionBy("doc_id")
+    return w.orderBy(order) if order else w
+
+
 def carry_section(paras: DataFrame) -> DataFrame:
     """Title of the clause each paragraph belongs to."""
     t = F.col("text")
-    title = F.trim(F.concat(F.lit("Điều "), F.regexp_extract(t, I + X.CLAUSE, 1), F.lit(". "),
-                            F.substring(F.regexp_extract(t, I + X.CLAUSE, 2), 1, 60)))
-    out = scan(paras, ["doc_id"], block(F.col("pos")), ["pos"], fills={"section": F.when(t.rlike(I + X.CLAUSE), title)})
-    return out.withColumn("section", F.coalesce("section", F.lit("")))
+    title = F.trim(F.concat(F.lit("Điều "), F.regexp_extract(t, I + X.CLAUSE, 1), F.lit(". "), F.regexp_extract(t, I + X.CLAUSE, 2)))
+    so_far = in_document().rowsBetween(W.unboundedPreceding, 0)
+    return paras.withColumn("section", F.coalesce(F.last(F.when(t.rlike(I + X.CLAUSE), title), ignorenulls=True).over(so_far), F.lit("")))
 
 
 def relevant_sections(paras: DataFrame, keep: str = X.KEEP_SECTIONS) -> DataFrame:
@@ -47,14 +54,14 @@ def relevant_sections(paras: DataFrame, keep: str = X.KEEP_SECTIONS) -> DataFram
 
 def number_paragraphs(paras: DataFrame) -> DataFrame:
     """Dense position (0-based) in the document."""
-    return scan(paras, ["doc_id"], block(F.col("pos")), ["pos"], sums={"n": F.lit(1)}).withColumn("n", F.col("n") - 1)
+    return paras.withColumn("n", F.row_number().over(in_document()).cast("bigint") - 1)
 
 
 def body_only(paras: DataFrame) -> DataFrame:
     """From twelve paragraphs before the first legal basis on (whole text where there is none)."""
-    p = number_paragraphs(paras)
-    start = p.groupBy("doc_id").agg(F.min(F.when(F.col("text").startswith(X.BODY_START), F.col("n"))).alias("start"))
-    return (p.join(start, "doc_id").filter(F.col("n") >= F.greatest(F.lit(0), F.coalesce("start", F.lit(0)) - X.BODY_LEAD)).drop("start"))
+    p = paras if "n" in paras.columns else number_paragraphs(paras)
+    start = F.min(F.when(F.col("text").startswith(X.BODY_START), F.col("n"))).over(in_document(None))
+    return p.withColumn("__start", F.coalesce(start, F.lit(0)) - X.BODY_LEAD).filter(F.col("n") >= F.col("__start")).drop("__start")
 
 
 def group_no(pattern: str, name: str) -> int:
@@ -108,36 +115,32 @@ def first_hits(hits: DataFrame) -> DataFrame:
 
 
 def lists_after_heading(body: DataFrame, rules: list | None = None) -> DataFrame:
-    """'+' lines that follow a heading; at most the fixed look-ahead of lines is gathered per heading."""
+    """'+' lines that follow a heading, up to the next heading of the rule: lines before the first '+' line are passed over, the
+    first other line after an item ends the list. The first heading with an item counts."""
     t = F.col("text")
-    out = None
-    b = number_paragraphs(body) if "n" not in body.columns else body
+    b = body if "n" in body.columns else number_paragraphs(body)
+    found = []
     for code, pat in rules or X.LIST_RULES:
-        h = b.filter(t.rlike(I + pat)).select("doc_id", F.col("n").alias("h_n"), F.col("pos").alias("h_pos"), F.col("section").alias("h_section"), F.col("text").alias("h_text"))
-        want = h.withColumn("n", F.explode(F.sequence(F.col("h_n") + 1, F.col("h_n") + X.LIST_WINDOW)))
-        got = (want.join(b.select("doc_id", "n", "text"), ["doc_id", "n"])
-               .groupBy("doc_id", "h_n", "h_pos", "h_section", "h_text").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("ls")))
-        plus = F.transform("ls", lambda x: x["text"].startswith("+"))
-        # drop lines before the first '+' line, then stop at the first other line after an item was read
-        flags = F.transform("ls", lambda x: F.struct(
-            x["text"].startswith("+").alias("p"),
-            python_strip(F.regexp_replace(x["text"], r"^[+ ]+", ""), " ;.").alias("i")))
-        step = F.aggregate(
-            flags, F.struct(F.array().cast("array<string>").alias("items"), F.lit(False).alias("done")),
-            lambda a, x: F.struct(
-                F.when(~a["done"] & x["p"] & ~x["i"].rlike(I + X.LIST_SKIP), F.concat(a["items"], F.array(x["i"]))).otherwise(a["items"]).alias("items"),
-                (a["done"] | (~x["p"] & (F.size(a["items"]) > 0))).alias("done")))
-        g = (got.filter(F.exists(plus, lambda p: p)).withColumn("items", step["items"]).filter(F.size("items") > 0)
-             .groupBy("doc_id").agg(F.min_by(F.struct("h_pos", "h_section", "h_text", "items"), "h_n").alias("g"))
-             .select("doc_id", F.lit(code).alias("ma"), F.col("g.h_pos").alias("pos"), F.col("g.h_section").alias("section"),
-                     F.col("g.h_text").alias("text"), F.col("g.items").alias("items")))
-        out = g if out is None else out.unionByName(g)
-    return out
+        found.append(F.when(t.rlike(I + pat), F.lit(code)))
+    # a paragraph takes part once for each rule whose heading stands before it
+    head = F.struct("n", "pos", "section", "text")
+    so_far = in_document().rowsBetween(W.unboundedPreceding, 0)
+    last = [F.last(F.when(f.isNotNull(), F.struct(f.alias("ma"), head.alias("h"))), ignorenulls=True).over(so_far) for f in found]
+    p = b.withColumn("__heads", F.array_compact(F.array(*last))).select("doc_id", "n", "text", F.explode("__heads").alias("r"))
+    p = p.select("doc_id", "n", "r.ma", "r.h", t.startswith("+").alias("plus"), python_strip(F.regexp_replace("text", r"^[+ ]+", ""), " ;.").alias("i")).filter(F.col("n") > F.col("h.n"))
+    item = F.col("plus") & ~F.col("i").rlike(I + X.LIST_SKIP)
+    seg = W.partitionBy("doc_id", "ma", "h.n")
+    p = p.withColumn("__first", F.min(F.when(item, F.col("n"))).over(seg))
+    p = p.withColumn("__stop", F.min(F.when(~F.col("plus") & (F.col("n") > F.col("__first")), F.col("n"))).over(seg))
+    g = (p.filter(item & (F.col("__stop").isNull() | (F.col("n") < F.col("__stop"))))
+         .groupBy("doc_id", "ma", "h").agg(F.array_sort(F.collect_list(F.struct("n", "i")))["i"].alias("items"))
+         .groupBy("doc_id", "ma").agg(F.min(F.struct("h", "items")).alias("g")))
+    return g.select("doc_id", "ma", F.col("g.h.pos").alias("pos"), F.col("g.h.section").alias("section"), F.col("g.h.text").alias("text"), F.col("g.items").alias("items"))
 
 
 def extract_params(paras: DataFrame) -> DataFrame:
     """All 36 parameters of every document: value, how it was found, clause and quotation."""
-    body = body_only(paras if "section" in paras.columns else carry_section(paras))
+    body = cut_lineage(body_only(paras if "section" in paras.columns else carry_section(paras)))
     one = first_hits(rule_hits(body)).withColumn("items", F.lit(None).cast("array<string>"))
     lst = lists_after_heading(body).select("doc_id", "ma", "pos", F.lit(None).cast("double").alias("v_num"), F.array_join("items", "; ").alias("v_str"),
                                            F.lit(None).cast("string").alias("lab"), "section", "text", "items")
@@ -147,7 +150,7 @@ def extract_params(paras: DataFrame) -> DataFrame:
     j = grid.join(hits, ["doc_id", "ma"], "left")
     found = F.col("v_num").isNotNull() | F.col("v_str").isNotNull()
     j = j.select("doc_id", "ma", "don_vi", "v_num", "v_str", F.when(found, "Tự động").otherwise("Không tìm thấy").alias("cach"),
-                 F.coalesce("section", F.lit("")).alias("dieu"), F.coalesce(F.substring("text", 1, 400), F.lit("")).alias("trich"), "lab", "items")
+                 F.coalesce("section", F.lit("")).alias("dieu"), F.coalesce("text", F.lit("")).alias("trich"), "lab", "items")
     return derive_params(j)
 
 
@@ -184,7 +187,7 @@ def consistency_checks(paras: DataFrame, rows: DataFrame) -> DataFrame:
     d = F.regexp_extract(t, "(?U)" + X.PARTY_DEFINITION, 1)
     redefined = (paras.withColumn("named", d).filter(F.col("named") != "").join(a, "doc_id")
                  .filter(fold(F.col("named")) != fold(F.col("party_a")))
-                 .select("doc_id", F.lit("TC-06").alias("ma"), F.lit("party").alias("kind"), F.substring("named", 1, 60).alias("detail")))
+                 .select("doc_id", F.lit("TC-06").alias("ma"), F.lit("party").alias("kind"), F.col("named").alias("detail")))
     words = F.create_map(*[F.lit(v) for kv in X.NUMBER_WORDS.items() for v in kv])
     pat = F.lit(I + X.NUMBER_IN_WORDS)
     pairs = F.arrays_zip(F.regexp_extract_all(t, pat, 0).alias("m"), F.regexp_extract_all(t, pat, 1).alias("n"), F.regexp_extract_all(t, pat, 2).alias("w"))
@@ -235,9 +238,13 @@ def compare_extractors(rows: DataFrame, answers: DataFrame, full_text: DataFrame
 
 
 def verify_quote(quote: Column, folded_text: Column) -> Column:
+    """Whole quotation in the text; or half of its runs of six words; or neither."""
     q = fold(quote)
+    words = F.split(q, r"\s+")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / X.QUOTE_RUN).cast("int")), lambda k: F.array_join(F.slice(words, k * X.QUOTE_RUN + 1, X.QUOTE_RUN), " "))
+    found = F.size(F.filter(runs, lambda r: folded_text.contains(r)))
     return (F.when(q == "", "").when(folded_text.contains(q), X.QUOTE_YES)
-            .when(folded_text.contains(F.substring(q, 1, 60)), X.QUOTE_NEAR).otherwise(X.QUOTE_NO))
+            .when(found * 2 >= F.size(runs), X.QUOTE_NEAR).otherwise(X.QUOTE_NO))
 
 
 def folded_documents(docs: DataFrame, parties: DataFrame | None = None) -> DataFrame:
@@ -262,7 +269,7 @@ def fill_from_ai(rows: DataFrame, answers: DataFrame) -> DataFrame:
     use = F.col("v_num").isNull() & F.col("v_str").isNull() & F.col("ai").isNotNull()
     return j.select("doc_id", "ma", "don_vi", "v_num", F.when(use, F.col("ai")).otherwise(F.col("v_str")).alias("v_str"),
                     F.when(use, "Local AI").otherwise(F.col("cach")).alias("cach"), F.when(use, F.col("k")).otherwise(F.col("dieu")).alias("dieu"),
-                    F.when(use, F.substring("q", 1, 400)).otherwise(F.col("trich")).alias("trich"))
+                    F.when(use, F.col("q")).otherwise(F.col("trich")).alias("trich"))
 
 
 def merge_sources(cmp: DataFrame) -> DataFrame:
@@ -287,7 +294,7 @@ def merge_sources(cmp: DataFrame) -> DataFrame:
     return cmp.select(
         "doc_id", "ma", "don_vi", F.when(take, val["n"]).otherwise(F.col("v_num")).alias("v_num"), F.when(take, val["s"]).otherwise(F.col("v_str")).alias("v_str"),
         F.when(take, "Local AI (quy tắc không thấy)").when(k == X.EQUAL, F.concat("cach", F.lit(" + AI khớp"))).otherwise(F.col("cach")).alias("cach"),
-        F.when(take, F.col("dieu_ai")).otherwise(F.col("dieu")).alias("dieu"), F.when(take, F.substring("trich_ai", 1, 400)).otherwise(F.col("trich")).alias("trich"),
+        F.when(take, F.col("dieu_ai")).otherwise(F.col("dieu")).alias("dieu"), F.when(take, F.col("trich_ai")).otherwise(F.col("trich")).alias("trich"),
         st.alias("tinh_trang"), note.alias("ghi_chu"), "ai")
 
 

@@ -71,7 +71,7 @@ def name_column(cells: DataFrame) -> DataFrame:
 def row_labels(cells: DataFrame) -> DataFrame:
     """Name of each row, from its sheet's name column."""
     nc = name_column(cells)
-    t = F.substring(squeeze(F.coalesce(F.col("v_str"), F.col("v_num").cast("string"))), 1, 120)
+    t = squeeze(F.coalesce(F.col("v_str"), F.col("v_num").cast("string")))
     return (cells.join(nc, KEY).filter(F.col("col") == F.col("name_col")).select("file", "sheet", "row", t.alias("label"))
             .filter("label is not null"))
 
@@ -105,7 +105,7 @@ def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFra
     j = (texts.join(header_rows(cells), KEY).filter(F.col("row").between(F.col("h") - 3, F.col("h") + 3)).join(own, KEY + ["row"], "left"))
     good = ((F.col("row") == F.col("h")) | (F.coalesce("n_text", F.lit(0)) >= 2)) & ~F.trim("v_str").rlike(r"^[\[\(]?\d+[\]\)]?$")
     g = (j.filter(good).groupBy("file", "sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", squeeze(F.col("v_str")).alias("t")))).alias("ts")))
-    return g.select("file", "sheet", "col", F.substring(F.array_join(F.array_distinct(F.transform("ts", lambda x: x["t"])), " / "), 1, 100).alias("header"))
+    return g.select("file", "sheet", "col", F.array_join(F.array_distinct(F.transform("ts", lambda x: x["t"])), " / ").alias("header"))
 
 
 # --- formula patterns ------------------------------------------------------------------------------------------

@@ -10,11 +10,8 @@ from claimgrid import fixed as X
 from claimgrid.functions.similarity import edit_similarity, ratio_upper_bound, sequence_ratio
 from claimgrid.functions.text import fold
 
-NAME_CHARS = 120
-
-
 def name_unit(df: DataFrame) -> DataFrame:
-    return df.withColumns({"f_name": F.substring(fold(F.col("ten")), 1, NAME_CHARS), "f_unit": fold(F.col("dvt"))})
+    return df.withColumns({"f_name": fold(F.col("ten")), "f_unit": fold(F.col("dvt"))})
 
 
 def by_key(lines: DataFrame) -> DataFrame:

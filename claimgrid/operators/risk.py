@@ -73,7 +73,7 @@ def carry_part(rows: DataFrame) -> DataFrame:
 
 def replaced_base_items(items: DataFrame) -> DataFrame:
     """Base items whose name (35 characters) is taken out by a negative amendment item; a flag per base item, no pairs."""
-    k = F.substring(norm(F.col("name")), 1, 35)
+    k = norm(F.col("name"))
     neg = items.filter((F.col("part") == "PL") & (F.col("E") < 0)).groupBy("file", k.alias("k")).agg(F.count("*").alias("n_neg"), F.min("dong").alias("first_neg"))
     return items.filter(F.col("part").isin("TB", "XD")).withColumn("k", k).join(neg, ["file", "k"]).drop("k")
 

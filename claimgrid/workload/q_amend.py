@@ -34,11 +34,11 @@ b3 AS (SELECT *, known AND NOT tgone AND NOT ex AND NOT short AS valid FROM b2),
 b4 AS (SELECT b3.*, CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 'HM' || lpad(CAST(mx + sum(CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id ORDER BY dong) AS VARCHAR), 4, '0') ELSE ma_hm END AS new_hm
    FROM b3 LEFT JOIN nx USING (ma_hd)),
 kk AS (SELECT ma_hd, khoa, min(ma_hm) AS h FROM states WHERE state = 'live' AND khoa IS NOT NULL GROUP BY ALL),
-nn AS (SELECT ma_hd, substr({sql_fold('ten')}, 1, 120) AS fn, {sql_fold('dvt')} AS fu, min(ma_hm) AS h FROM states WHERE state = 'live' GROUP BY 1, 2, 3 HAVING count(*) = 1),
+nn AS (SELECT ma_hd, {sql_fold('ten')} AS fn, {sql_fold('dvt')} AS fu, min(ma_hm) AS h FROM states WHERE state = 'live' GROUP BY 1, 2, 3 HAVING count(*) = 1),
 b AS (SELECT b4.*, p.paid, p.paid_day, coalesce(kk.h, nn.h) AS dup, CASE WHEN NOT valid THEN NULL WHEN thao_tac = 'BO' THEN -round_even(coalesce(c_kl, 0.0) * coalesce(c_gia, 0.0), 0) WHEN thao_tac = 'THEM' THEN round_even(kl * don_gia, 0)
      ELSE round_even(coalesce(kl, c_kl, 0.0) * coalesce(don_gia, c_gia, 0.0), 0) - round_even(coalesce(c_kl, 0.0) * coalesce(c_gia, 0.0), 0) END AS delta
-   FROM b4 LEFT JOIN paid p ON p.ma_hd = b4.ma_hd AND p.ma_hm = b4.new_hm LEFT JOIN kk ON kk.ma_hd = b4.ma_hd AND kk.khoa = {sql_fold('b4.nhom')} || '|' || substr({sql_fold('b4.ten')}, 1, 120) || '|' || {sql_fold('b4.dvt')}
-   LEFT JOIN nn ON nn.ma_hd = b4.ma_hd AND nn.fn = substr({sql_fold('b4.ten')}, 1, 120) AND nn.fu = {sql_fold('b4.dvt')}),
+   FROM b4 LEFT JOIN paid p ON p.ma_hd = b4.ma_hd AND p.ma_hm = b4.new_hm LEFT JOIN kk ON kk.ma_hd = b4.ma_hd AND kk.khoa = {sql_fold('b4.nhom')} || '|' || {sql_fold('b4.ten')} || '|' || {sql_fold('b4.dvt')}
+   LEFT JOIN nn ON nn.ma_hd = b4.ma_hd AND nn.fn = {sql_fold('b4.ten')} AND nn.fu = {sql_fold('b4.dvt')}),
 s AS (SELECT form_id, count(*) AS n_rows, count(*) FILTER (valid) AS n_valid, sum(coalesce(delta, 0.0)) AS delta FROM b GROUP BY form_id),
 vb AS (SELECT q.form_id, CAST(sum(CAST(gt_sau_vat AS DECIMAL(24, 3))) AS DOUBLE) AS d FROM f q JOIN store_amendments a ON a.ma_hd = q.ma_hd WHERE a.trang_thai = 'Đã ký' AND q.hl IS NOT NULL AND (a.ngay_hieu_luc < q.hl OR (a.ngay_hieu_luc = q.hl AND a.so_pl <= q.so_pl)) GROUP BY q.form_id),
 us AS (SELECT DISTINCT ma_hd, so_pl FROM store_amendments WHERE trang_thai <> 'Đã hủy'),
@@ -54,7 +54,7 @@ tol AS (SELECT 1)"""
 LINE_HITS = {
     "P04": ["SELECT 'CHẶN' AS level, 'unknown operation' AS message, * FROM b WHERE NOT known", "SELECT 'CHẶN', 'target was removed', * FROM b WHERE tgone AND bo_boi IS NOT NULL",
             "SELECT 'CHẶN', 'target is not in force', * FROM b WHERE tgone AND bo_boi IS NULL", "SELECT 'CHẶN', 'added code already exists', * FROM b WHERE ex", "SELECT 'CHẶN', 'added line is incomplete', * FROM b WHERE short",
-            f"SELECT 'VÀNG', 'renamed', * FROM b WHERE valid AND thao_tac = 'THAY' AND coalesce(ten, '') <> '' AND substr({sql_fold('ten')}, 1, 60) <> substr({sql_fold('c_ten')}, 1, 60)",
+            f"SELECT 'VÀNG', 'renamed', * FROM b WHERE valid AND thao_tac = 'THAY' AND coalesce(ten, '') <> '' AND {sql_fold('ten')} <> {sql_fold('c_ten')}",
             "SELECT 'VÀNG', 'possible duplicate', * FROM b WHERE valid AND thao_tac = 'THEM' AND dup IS NOT NULL",
             "SELECT 'VÀNG', 'stated total differs', * FROM b WHERE valid AND thao_tac <> 'BO' AND abs(thanh_tien_ghi - round_even(coalesce(kl, c_kl, 0.0) * coalesce(don_gia, c_gia, 0.0), 0)) > 1"],
     "P14": ["SELECT 'ĐỎ' AS level, 'removed but already paid' AS message, * FROM b WHERE valid AND thao_tac = 'BO' AND paid > 1e-9", "SELECT 'ĐỎ', 'reduced below the paid quantity', * FROM b WHERE valid AND thao_tac = 'THAY' AND kl + 1e-9 < paid"],

@@ -26,7 +26,7 @@ def _score(words):
 
 SC = f"""d AS (SELECT CAST(doc_id AS VARCHAR) AS file, {NAME} AS name, text FROM documents),
 dn AS (SELECT *, upper(regexp_extract(name, '^\\s*([A-Fa-f]\\d{{2}})[\\s_\\-.]', 1)) AS nc FROM d),
-f AS (SELECT file, nc, replace({sql_fold("regexp_replace(name, '\\.[^.]*$', '')")}, '_', ' ') AS fn, {sql_fold('substr(text, 1, 2000)')} AS fh, {sql_fold('substr(text, 2001, 18000)')} AS fb FROM dn),
+f AS (SELECT file, nc, replace({sql_fold("regexp_replace(name, '\\.[^.]*$', '')")}, '_', ' ') AS fn, {sql_fold('substr(text, 1, 2000)')} AS fh, {sql_fold('substr(text, 2001)')} AS fb FROM dn),
 sc AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT file, nc, '{c}' AS ma, {i} AS o, CAST({_score(ws)} AS DOUBLE) AS diem FROM f" for i, (c, ws) in enumerate(WORDS))}) t WHERE diem > 0),
 codes AS (SELECT ma AS c FROM checklist),
 cls AS (SELECT file, nc AS ma, 100.0::DOUBLE AS diem, 'mã trong tên file' AS cach, 1 AS rank FROM f WHERE nc IN (SELECT c FROM codes)
@@ -91,7 +91,7 @@ def _(w):
     return documents.request_lines(documents.checklist_status(w.checklist, index(w))).withColumn("uu_tien", F.col("uu_tien").cast("bigint"))
 
 
-Q = """q AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Còn thiếu tài liệu nhóm B? ' WHEN 1 THEN 'Mục A01 thế nào: ' WHEN 2 THEN 'Mục Z99: ' ELSE '' END || substr(text, 1, 40) AS question FROM conversations)"""
+Q = """q AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN 'Còn thiếu tài liệu nhóm B? ' WHEN 1 THEN 'Mục A01 thế nào: ' WHEN 2 THEN 'Mục Z99: ' ELSE '' END || text AS question FROM conversations)"""
 
 
 @query("F-10_intent_route", f"""WITH {Q}, fq AS (SELECT query_id, {sql_fold('question')} AS f FROM q), z AS (SELECT query_id, f, regexp_matches(f, 'thieu|chua co|con thieu|can bo sung|request|yeu cau') AS miss, upper(regexp_extract(f, '\\b([a-f]\\d{{2}})\\b', 1)) AS code FROM fq)
@@ -99,7 +99,7 @@ Q = """q AS (SELECT conv_id * 100 + turn AS query_id, CASE turn % 4 WHEN 0 THEN
 def _(w):
     t = F.col("turn") % 4
     q = w.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.concat(
-        F.when(t == 0, "Còn thiếu tài liệu nhóm B? ").when(t == 1, "Mục A01 thế nào: ").when(t == 2, "Mục Z99: ").otherwise(""), F.substring("text", 1, 40)).alias("question"))
+        F.when(t == 0, "Còn thiếu tài liệu nhóm B? ").when(t == 1, "Mục A01 thế nào: ").when(t == 2, "Mục Z99: ").otherwise(""), F.col("text")).alias("question"))
     return documents.route_question(q, [c for c, _ in WORDS]).select("query_id", "route", "arg")
 
 
@@ -224,7 +224,7 @@ def _(w):
     return w.claim_items.select("ma_hd", "dong", N.format_qty(F.col("kl_lk")).alias("v"))
 
 
-@query("X-29_safe_name", "SELECT page_id, trim(substr(regexp_replace(url, '[\\\\/:*?\"<>|]+', '_', 'g'), 1, 60), ' ._') AS v FROM pages")
+@query("X-29_safe_name", "SELECT page_id, CASE WHEN length(u) > 60 THEN trim(substr(u, 1, 60), ' ._') || '_' || substr(md5(u), 1, 8) ELSE trim(u, ' ._') END AS v FROM (SELECT page_id, regexp_replace(url, '[\\\\/:*?\"<>|]+', '_', 'g') AS u FROM pages) t")
 def _(w):
     return w.pages.select("page_id", T.safe_name(F.col("url")).alias("v"))
 

@@ -27,7 +27,7 @@ refs AS (SELECT {_cells}, r_sheet, CAST(nullif(x, '') AS BIGINT) AS ext, ascii(r
   CASE WHEN contains(a, ':') THEN CAST(regexp_extract(a, ':[A-Z]+(\\d+)', 1) AS BIGINT) ELSE CAST(regexp_extract(a, '^[A-Z]+(\\d+)', 1) AS BIGINT) END AS r2 FROM pr)"""
 LABELS = """nc0 AS (SELECT file, sheet, col, count(*) AS n FROM cells WHERE row <= 3000 AND col <= 10 AND length(trim(v_str)) >= 8 AND regexp_matches(v_str, '[A-Za-zÀ-ỹ]{3}') GROUP BY file, sheet, col),
 ncol AS (SELECT s.file, s.sheet, coalesce(b.col, 2) AS name_col FROM (SELECT DISTINCT file, sheet FROM cells) s LEFT JOIN (SELECT file, sheet, arg_max(col, n * 100 - col) AS col FROM nc0 GROUP BY file, sheet) b ON b.file = s.file AND b.sheet = s.sheet),
-lab AS (SELECT c.file, c.sheet, c.row, substr(trim(regexp_replace(c.v_str, '\\s+', ' ', 'g')), 1, 120) AS label FROM cells c JOIN ncol n ON n.file = c.file AND n.sheet = c.sheet AND n.name_col = c.col WHERE c.v_str IS NOT NULL)"""
+lab AS (SELECT c.file, c.sheet, c.row, trim(regexp_replace(c.v_str, '\\s+', ' ', 'g')) AS label FROM cells c JOIN ncol n ON n.file = c.file AND n.sheet = c.sheet AND n.name_col = c.col WHERE c.v_str IS NOT NULL)"""
 PATS = """pt AS (SELECT *, regexp_replace(regexp_replace(formula, '([A-Z])' || row || '\\b', '\\1R', 'g'), '([A-Z])' || (row + 1) || '\\b', '\\1S', 'g') AS pattern FROM cells WHERE formula IS NOT NULL AND sheet_state = 'visible' AND NOT regexp_matches(formula, '^=\\s*(SUM|SUBTOTAL|SUMIF|SUMPRODUCT)\\(', 'i')),
 pc AS (SELECT file, sheet, col, pattern, count(*) AS n, min(row) AS lo, max(row) AS hi FROM pt GROUP BY ALL),
 dom AS (SELECT file, sheet, col, arg_max(pattern, n * 1000000 - lo) AS pattern, max(n) AS n, arg_max(lo, n * 1000000 - lo) AS lo, arg_max(hi, n * 1000000 - lo) AS hi, sum(n) AS total, count(*) AS n_patterns FROM pc GROUP BY file, sheet, col HAVING sum(n) >= 10)"""
@@ -61,7 +61,7 @@ hr AS (SELECT s.file, s.sheet, coalesce(arg_max(row, kw * 1000000 + n * 1000 - r
 nt AS (SELECT file, sheet, row, count(*) AS n_text FROM cells WHERE row <= 50 AND col <= 30 AND trim(v_str) <> '' GROUP BY file, sheet, row),
 ht AS (SELECT c.file, c.sheet, c.col, c.row, trim(regexp_replace(v_str, '\\s+', ' ', 'g')) AS t FROM cells c JOIN hr ON hr.file = c.file AND hr.sheet = c.sheet AND c.row BETWEEN h - 3 AND h + 3 LEFT JOIN nt ON nt.file = c.file AND nt.sheet = c.sheet AND nt.row = c.row
   WHERE c.row <= 50 AND trim(v_str) <> '' AND (c.row = h OR coalesce(n_text, 0) >= 2) AND NOT regexp_full_match(trim(v_str), '[\\[\\(]?\\d+[\\]\\)]?')),
-hd AS (SELECT file, sheet, col, substr(string_agg(t, ' / ' ORDER BY fr), 1, 100) AS header FROM (SELECT file, sheet, col, t, min(row) AS fr FROM ht GROUP BY ALL) u GROUP BY file, sheet, col)"""
+hd AS (SELECT file, sheet, col, string_agg(t, ' / ' ORDER BY fr) AS header FROM (SELECT file, sheet, col, t, min(row) AS fr FROM ht GROUP BY ALL) u GROUP BY file, sheet, col)"""
 
 
 @query("X-32_col_header_row_label", f"WITH {HEADS} SELECT file, sheet, CAST(col AS BIGINT) AS col, header FROM hd")

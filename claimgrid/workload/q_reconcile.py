@@ -22,11 +22,11 @@ CLAIM_STATES = EVENTS_SQL.replace("LEFT JOIN amendments a ON b.pl_id = a.id", "L
 LINES = """lines_all AS (SELECT * FROM states s WHERE state = 'live' OR NOT EXISTS (SELECT 1 FROM states t WHERE t.state = 'live' AND t.ma_hd = s.ma_hd AND t.ma_hm = s.ma_hm))"""
 MATCHED = f"""{LINES},
 bykey AS (SELECT ma_hd, khoa, min(ma_hm) AS hm_key FROM lines_all WHERE khoa IS NOT NULL GROUP BY ma_hd, khoa),
-byname AS (SELECT ma_hd, substr({sql_fold('ten')}, 1, 120) AS fn, {sql_fold('dvt')} AS fu, min(ma_hm) AS hm_name FROM lines_all GROUP BY 1, 2, 3 HAVING count(*) = 1),
+byname AS (SELECT ma_hd, {sql_fold('ten')} AS fn, {sql_fold('dvt')} AS fu, min(ma_hm) AS hm_name FROM lines_all GROUP BY 1, 2, 3 HAVING count(*) = 1),
 matched AS (SELECT i.*, coalesce(r.ma_hm, k.hm_key, n.hm_name) AS ma_hm,
    CASE WHEN r.ma_hm IS NOT NULL THEN 'đã xác nhận' WHEN k.hm_key IS NOT NULL THEN 'khoá' WHEN n.hm_name IS NOT NULL THEN 'tên + ĐVT' ELSE '' END AS cach_khop
    FROM claim_items i LEFT JOIN remembered r ON r.ma_hd = i.ma_hd AND r.khoa_hstt = i.khoa LEFT JOIN bykey k ON k.ma_hd = i.ma_hd AND k.khoa = i.khoa
-   LEFT JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = substr({sql_fold('i.ten')}, 1, 120) AND n.fu = {sql_fold('i.dvt')})"""
+   LEFT JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = {sql_fold('i.ten')} AND n.fu = {sql_fold('i.dvt')})"""
 FINDINGS = f"""WITH {CLAIM_STATES}, {MATCHED},
 prior AS (SELECT c.ma_hd, max(p.dot) AS dot_truoc FROM claims c JOIN periods p ON c.ma_hd = p.ma_hd AND
    CASE WHEN c.dot IS NOT NULL THEN p.dot < c.dot ELSE p.ngay_nghiem_thu IS NULL OR p.ngay_nghiem_thu < c.ngay END GROUP BY c.ma_hd),
@@ -113,7 +113,7 @@ def _(w):
     return it.join(match.by_key(ln), ["ma_hd", "khoa"]).select("ma_hd", "dong", "hm_key")
 
 
-@query("J-03_match_by_unique_name", f"""WITH {CLAIM_STATES}, {MATCHED} SELECT i.ma_hd, i.dong, n.hm_name FROM claim_items i JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = substr({sql_fold('i.ten')}, 1, 120) AND n.fu = {sql_fold('i.dvt')}""")
+@query("J-03_match_by_unique_name", f"""WITH {CLAIM_STATES}, {MATCHED} SELECT i.ma_hd, i.dong, n.hm_name FROM claim_items i JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = {sql_fold('i.ten')} AND n.fu = {sql_fold('i.dvt')}""")
 def _(w):
     _e, ln = lines(w)
     return match.name_unit(w.claim_items).join(match.by_unique_name(ln), ["ma_hd", "f_name", "f_unit"]).select("ma_hd", "dong", "hm_name")

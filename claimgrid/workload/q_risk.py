@@ -98,7 +98,7 @@ def _(w):
     return w.part.select("p_partkey", C.proof_document(sheet, col, kind, F.col("p_name")).alias("v"))
 
 
-@query("J-13_replaced_base_items", f"WITH {ORACLE}, n AS (SELECT file, substr(lower(name), 1, 35) AS k, count(*) AS c, min(dong) AS f FROM e2 WHERE part = 'PL' AND E < 0 GROUP BY ALL) SELECT e2.file, dong, name, lk_src, I, CAST(n.c AS BIGINT) AS n_neg, n.f AS first_neg FROM e2 JOIN n ON n.file = e2.file AND n.k = substr(lower(name), 1, 35) WHERE part IN ('TB', 'XD')")
+@query("J-13_replaced_base_items", f"WITH {ORACLE}, n AS (SELECT file, lower(name) AS k, count(*) AS c, min(dong) AS f FROM e2 WHERE part = 'PL' AND E < 0 GROUP BY ALL) SELECT e2.file, dong, name, lk_src, I, CAST(n.c AS BIGINT) AS n_neg, n.f AS first_neg FROM e2 JOIN n ON n.file = e2.file AND n.k = lower(name) WHERE part IN ('TB', 'XD')")
 def _(w):
     return risk.replaced_base_items(items(w)).select("file", "dong", "name", "lk_src", "I", F.col("n_neg").cast("bigint").alias("n_neg"), "first_neg")
 

@@ -30,11 +30,11 @@ def canon_n(s: str) -> str:
             f" WHEN regexp_full_match({t}, '(\\d+)\\s*(ngày|tháng|bộ)') THEN try_cast(regexp_extract({t}, '^(\\d+)', 1) AS DOUBLE) END, 6)")
 
 
-PARAS = """np AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM contract_text),
-secp AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 'i') THEN trim('Điều ' || regexp_extract(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 1, 'i') || '. ' || substr(regexp_extract(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 2, 'i'), 1, 60)) END IGNORE NULLS)
+PARAS = """np AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS n FROM contract_text),
+secp AS MATERIALIZED (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 'i') THEN trim('Điều ' || regexp_extract(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 1, 'i') || '. ' || regexp_extract(text, '^Điều\\s+(\\d+|[IVXLC]+)\\b\\s*[\\.:]?\\s*(.*)', 2, 'i')) END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY pos), '') AS section FROM np),
 st AS (SELECT doc_id, min(n) FILTER (starts_with(text, 'Căn cứ')) AS s FROM np GROUP BY doc_id),
-body AS (SELECT p.* FROM secp p JOIN st USING (doc_id) WHERE n >= greatest(0, coalesce(s, 0) - 12))"""
+body AS MATERIALIZED (SELECT p.* FROM secp p JOIN st USING (doc_id) WHERE n >= greatest(0, coalesce(s, 0) - 12))"""
 
 
 def _rule_sql(code, kind, pat):
@@ -63,21 +63,22 @@ def _rule_sql(code, kind, pat):
     return f"SELECT doc_id, pos, section, text, '{code}' AS ma, {n} AS v_num, {s} AS v_str, {lab} AS lab FROM body WHERE regexp_matches(text, '{p}', 'i')"
 
 
-HITS = PARAS + ", hits AS (SELECT * FROM (" + " UNION ALL ".join(_rule_sql(*r) for r in X.RULES) + """) t WHERE v_num IS NOT NULL OR v_str IS NOT NULL),
+HITS = PARAS + ", hits AS MATERIALIZED (SELECT * FROM (" + " UNION ALL ".join(_rule_sql(*r) for r in X.RULES) + """) t WHERE v_num IS NOT NULL OR v_str IS NOT NULL),
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ma ORDER BY pos) AS rn FROM hits) t WHERE rn = 1)"""
-LISTS = """hd AS (SELECT doc_id, n AS h_n, pos AS h_pos, section AS h_section, text AS h_text, CASE WHEN regexp_matches(text, 'Hồ sơ thanh toán gồm', 'i') THEN 'TT-60' ELSE 'TT-61' END AS ma FROM body WHERE regexp_matches(text, 'Hồ sơ thanh toán gồm|Hồ sơ (thanh )?quyết toán bao gồm', 'i')),
-ls AS (SELECT h.*, b.n, b.text, starts_with(b.text, '+') AS p, trim(trim(ltrim(b.text, '+ ')), ' ;.') AS it FROM hd h JOIN body b ON b.doc_id = h.doc_id AND b.n > h_n AND b.n <= h_n + 15),
+LISTS = """hd AS (SELECT doc_id, n AS h_n, pos AS h_pos, section AS h_section, text AS h_text, unnest([CASE WHEN regexp_matches(text, 'Hồ sơ thanh toán gồm', 'i') THEN 'TT-60' END, CASE WHEN regexp_matches(text, 'Hồ sơ (thanh )?quyết toán bao gồm', 'i') THEN 'TT-61' END]) AS ma FROM body),
+hx AS (SELECT *, lead(h_n) OVER (PARTITION BY doc_id, ma ORDER BY h_n) AS next_n FROM hd WHERE ma IS NOT NULL),
+ls AS (SELECT h.*, b.n, b.text, starts_with(b.text, '+') AS p, trim(trim(ltrim(b.text, '+ ')), ' ;.') AS it FROM hx h JOIN body b ON b.doc_id = h.doc_id AND b.n > h_n AND (next_n IS NULL OR b.n < next_n)),
 ls1 AS (SELECT *, sum(CASE WHEN p AND NOT regexp_matches(it, '^Số lượng hồ sơ', 'i') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ma, h_n ORDER BY n) AS got FROM ls),
 ls2 AS (SELECT *, sum(CASE WHEN NOT p AND got > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ma, h_n ORDER BY n) AS stopped FROM ls1),
 lst AS (SELECT doc_id, ma, h_n, h_pos, h_section, h_text, list(it ORDER BY n) AS items FROM ls2 WHERE p AND stopped = 0 AND NOT regexp_matches(it, '^Số lượng hồ sơ', 'i') GROUP BY ALL),
-lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ma ORDER BY h_n) AS rn FROM lst) t WHERE rn = 1)"""
+lists AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ma ORDER BY h_n) AS rn FROM lst) t WHERE rn = 1)"""
 UNIT_SQL = "(VALUES " + ", ".join(f"('{c}', '{u}')" for c, _g, _n, u in X.PARAMETERS) + ") k(ma, don_vi)"
 ROWS = f"""WITH {HITS}, {LISTS},
-raw AS (SELECT d.doc_id, k.ma, k.don_vi, f.v_num, CASE WHEN l.items IS NOT NULL THEN array_to_string(l.items, '; ') ELSE f.v_str END AS v_str, coalesce(f.section, l.h_section, '') AS dieu, substr(coalesce(f.text, l.h_text, ''), 1, 400) AS trich, f.lab, l.items
+raw AS (SELECT d.doc_id, k.ma, k.don_vi, f.v_num, CASE WHEN l.items IS NOT NULL THEN array_to_string(l.items, '; ') ELSE f.v_str END AS v_str, coalesce(f.section, l.h_section, '') AS dieu, coalesce(f.text, l.h_text, '') AS trich, f.lab, l.items
    FROM (SELECT DISTINCT doc_id FROM contract_text) d CROSS JOIN {UNIT_SQL} LEFT JOIN first f ON f.doc_id = d.doc_id AND f.ma = k.ma LEFT JOIN lists l ON l.doc_id = d.doc_id AND l.ma = k.ma),
 p20 AS (SELECT * FROM raw WHERE ma = 'TT-20'), p10 AS (SELECT * FROM raw WHERE ma = 'TT-10'),
 ex0 AS (SELECT r.*, p20.v_num AS n20, p20.dieu AS d20, p20.trich AS t20, p10.v_str AS s10, r.v_num IS NULL AND r.v_str IS NULL AS none FROM raw r LEFT JOIN p20 ON p20.doc_id = r.doc_id LEFT JOIN p10 ON p10.doc_id = r.doc_id),
-ex AS (SELECT doc_id, ma, don_vi, CASE WHEN ma = 'TT-21' AND none THEN round_even(1 - n20, 4) ELSE v_num END AS v_num, CASE WHEN ma = 'TT-11' AND none AND s10 = 'Không áp dụng' THEN 'Không áp dụng' ELSE v_str END AS v_str,
+ex AS MATERIALIZED (SELECT doc_id, ma, don_vi, CASE WHEN ma = 'TT-21' AND none THEN round_even(1 - n20, 4) ELSE v_num END AS v_num, CASE WHEN ma = 'TT-11' AND none AND s10 = 'Không áp dụng' THEN 'Không áp dụng' ELSE v_str END AS v_str,
    CASE WHEN ma = 'TT-21' AND none AND n20 IS NOT NULL THEN 'Suy ra = 100% - TT-20' WHEN ma = 'TT-11' AND none AND s10 = 'Không áp dụng' THEN 'Suy ra từ TT-10' WHEN none THEN 'Không tìm thấy' ELSE 'Tự động' END AS cach,
    CASE WHEN ma = 'TT-21' AND none AND n20 IS NOT NULL THEN d20 ELSE dieu END AS dieu, CASE WHEN ma = 'TT-21' AND none AND n20 IS NOT NULL THEN t20 ELSE trich END AS trich, lab, items FROM ex0)"""
 
@@ -140,7 +141,7 @@ def _(w):
 
 
 @query("E-04_consistency_checks", f"""{ROWS}, df AS (SELECT doc_id, regexp_extract(text, '“Bên giao thầu”\\s*\\(viết tắt là Bên A\\)\\s*là\\s*(.+?)\\s+(như|được nêu)', 1) AS named FROM contract_text)
-  SELECT df.doc_id, 'TC-06' AS ma, 'party' AS kind, substr(named, 1, 60) AS detail FROM df JOIN ex ON ex.doc_id = df.doc_id AND ex.ma = 'TC-06' AND ex.v_str IS NOT NULL WHERE named <> '' AND {sql_fold('named')} <> {sql_fold('ex.v_str')}
+  SELECT df.doc_id, 'TC-06' AS ma, 'party' AS kind, named AS detail FROM df JOIN ex ON ex.doc_id = df.doc_id AND ex.ma = 'TC-06' AND ex.v_str IS NOT NULL WHERE named <> '' AND {sql_fold('named')} <> {sql_fold('ex.v_str')}
   UNION ALL SELECT doc_id, 'TC-08', 'number', '03 (bốn)' FROM contract_text WHERE contains(text, '03 (bốn)')
   UNION ALL SELECT doc_id, 'TT-56', 'contradiction', '' FROM contract_text GROUP BY doc_id HAVING bool_or(regexp_matches(text, 'có xác nhận của (đại diện )?Bên B', 'i')) AND bool_or(regexp_matches(text, 'không cần (việc )?xác nhận (từ|của) Bên B', 'i'))""")
 def _(w):
@@ -163,11 +164,11 @@ CMP = f"""{ROWS}, {AI}, {MASKED},
 cm0 AS (SELECT ex.*, ai.ai, coalesce(ai.dieu_ai, '') AS dieu_ai, coalesce(ai.trich_ai, '') AS trich_ai, coalesce(ai.ghi_chu_ai, '') AS ghi_chu_ai, {sql_fold('mk.text')} || chr(10) || {sql_fold('mk.masked')} AS folded, CASE WHEN upper(trim(ai.ai)) <> 'KHÔNG TÌM THẤY' THEN ai.ai END AS av
   FROM ex LEFT JOIN ai ON ai.doc_id = ex.doc_id AND ai.ma = ex.ma LEFT JOIN mk ON mk.doc_id = ex.doc_id),
 cm1 AS (SELECT *, coalesce(round(v_num, 6), {canon_n('v_str')}) AS n1, {canon_n('av')} AS n2 FROM cm0),
-cm2 AS (SELECT *, CASE WHEN n1 IS NULL AND v_str IS NOT NULL THEN {sql_fold('v_str')} END AS s1, CASE WHEN n2 IS NULL AND av IS NOT NULL THEN {sql_fold('av')} END AS s2 FROM cm1),
+cm2 AS (SELECT *, regexp_split_to_array({sql_fold('trich_ai')}, '\\s+') AS qw, CASE WHEN n1 IS NULL AND v_str IS NOT NULL THEN {sql_fold('v_str')} END AS s1, CASE WHEN n2 IS NULL AND av IS NOT NULL THEN {sql_fold('av')} END AS s2 FROM cm1),
 cmp AS (SELECT *, CASE WHEN n1 IS NULL AND s1 IS NULL AND n2 IS NULL AND s2 IS NULL THEN 'Cả hai không thấy' WHEN n2 IS NULL AND s2 IS NULL THEN 'Chỉ quy tắc thấy' WHEN n1 IS NULL AND s1 IS NULL THEN 'Chỉ AI thấy'
    WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN CASE WHEN abs(n1 - n2) <= greatest(1e-6, abs(n1) * 1e-9) THEN 'Khớp' ELSE 'Lệch' END
    WHEN contains(coalesce(s2, CAST(n2 AS VARCHAR)), coalesce(s1, CAST(n1 AS VARCHAR))) OR contains(coalesce(s1, CAST(n1 AS VARCHAR)), coalesce(s2, CAST(n2 AS VARCHAR))) THEN 'Khớp' ELSE 'Khác cách ghi' END AS khop,
-   CASE WHEN {sql_fold('trich_ai')} = '' THEN '' WHEN contains(folded, {sql_fold('trich_ai')}) THEN 'Có' WHEN contains(folded, substr({sql_fold('trich_ai')}, 1, 60)) THEN 'Gần đúng' ELSE 'KHÔNG - AI viết lại hoặc bịa' END AS that FROM cm2)"""
+   CASE WHEN {sql_fold('trich_ai')} = '' THEN '' WHEN contains(folded, {sql_fold('trich_ai')}) THEN 'Có' WHEN 2 * len(list_filter(list_transform(range(0, (len(qw) - 1) // 6 + 1), lambda k: array_to_string(list_slice(qw, k * 6 + 1, k * 6 + 6), ' ')), lambda r: contains(folded, r))) >= (len(qw) - 1) // 6 + 1 THEN 'Gần đúng' ELSE 'KHÔNG - AI viết lại hoặc bịa' END AS that FROM cm2)"""
 
 
 def compared(w):

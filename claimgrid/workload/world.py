@@ -402,7 +402,8 @@ def _needs(sql: str) -> list:
 def ctes(sql: str, dialect: str, path: str = "") -> str:
     """Prefix sql with the definitions of the derived tables it reads."""
     names = _needs(sql)
-    head = ",\n".join(f"{n} AS ({_render(n, dialect, path)})" for n in names)
+    kept = " MATERIALIZED" if dialect == "duckdb" else ""      # tables that a query reads many times
+    head = ",\n".join(f"{n} AS{kept} ({_render(n, dialect, path)})" for n in names)
     body = sql.strip()
     if not names:
         return body
