@@ -7,6 +7,7 @@ formula).  Every step is keyed by file and sheet; rows of a sheet are bounded by
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimgrid import fixed as X
@@ -61,8 +62,8 @@ def external_usage(cells: DataFrame) -> DataFrame:
 
 
 def name_column(cells: DataFrame) -> DataFrame:
-    """Column with most long texts among the first ten (2 where there is none)."""
-    long = (F.col("row") <= 3000) & (F.col("col") <= 10) & (F.length(F.trim("v_str")) >= 8) & F.col("v_str").rlike("[A-Za-zÀ-ỹ]{3}")
+    """Column with most long texts of the sheet (2 where there is none)."""
+    long = (F.length(F.trim("v_str")) >= 8) & F.col("v_str").rlike("[A-Za-zÀ-ỹ]{3}")
     cnt = cells.filter(long).groupBy("file", "sheet", "col").agg(F.count("*").alias("n"))
     best = cnt.groupBy("file", "sheet").agg(F.max_by("col", F.struct("n", -F.col("col"))).alias("name_col"))
     return sheets(cells).select("file", "sheet").join(best, KEY, "left").withColumn("name_col", F.coalesce("name_col", F.lit(2)))
@@ -77,23 +78,22 @@ def row_labels(cells: DataFrame) -> DataFrame:
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
-    """Row with most header words (then most texts) within the first 40 rows and columns."""
-    t = cells.filter((F.col("row") <= 40) & (F.col("col") <= 40) & (F.length(F.trim("v_str")) >= 2))
+    """Row with most header words (then most texts, then the first) of the sheet."""
+    t = cells.filter(F.length(F.trim("v_str")) >= 2)
     per = t.groupBy("file", "sheet", "row").agg(F.count(F.when(fold(F.col("v_str")).rlike(X.HEADER_WORDS), 1)).alias("kw"), F.count("*").alias("n"))
     best = per.groupBy("file", "sheet").agg(F.max_by("row", F.struct("kw", "n", -F.col("row"))).alias("h"))
     return sheets(cells).select("file", "sheet").join(best, KEY, "left").withColumn("h", F.coalesce("h", F.lit(1)))
 
 
 def merged_anchors(merged: DataFrame) -> DataFrame:
-    """Member cells of merged ranges near the top with the cell that holds their value."""
-    m = merged.filter("r1 <= 60")
-    return (m.select("file", "sheet", F.col("r1").alias("a_row"), F.col("c1").alias("a_col"), "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
+    """Member cells of merged ranges with the cell that holds their value."""
+    return (merged.select("file", "sheet", F.col("r1").alias("a_row"), F.col("c1").alias("a_col"), "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
             .select("file", "sheet", "row", F.explode(F.sequence("c1", "c2")).alias("col"), "a_row", "a_col"))
 
 
 def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
     """Header text of each column: distinct texts of the rows around the header row (seven rows at most)."""
-    top = cells.filter((F.col("row") <= 50) & F.col("v_str").isNotNull() & (F.trim("v_str") != "")).select("file", "sheet", "row", "col", "v_str")
+    top = cells.filter(F.col("v_str").isNotNull() & (F.trim("v_str") != "")).select("file", "sheet", "row", "col", "v_str")
     if merged is not None:
         a = merged_anchors(merged)
         spread = (a.join(top.select("file", "sheet", F.col("row").alias("a_row"), F.col("col").alias("a_col"), "v_str"), KEY + ["a_row", "a_col"])
@@ -101,7 +101,7 @@ def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFra
         texts = top.unionByName(spread.join(top.select(*KEY, "row", "col"), KEY + ["row", "col"], "left_anti"))
     else:
         texts = top
-    own = top.filter("col <= 30").groupBy("file", "sheet", "row").agg(F.count("*").alias("n_text"))
+    own = top.groupBy("file", "sheet", "row").agg(F.count("*").alias("n_text"))
     j = (texts.join(header_rows(cells), KEY).filter(F.col("row").between(F.col("h") - 3, F.col("h") + 3)).join(own, KEY + ["row"], "left"))
     good = ((F.col("row") == F.col("h")) | (F.coalesce("n_text", F.lit(0)) >= 2)) & ~F.trim("v_str").rlike(r"^[\[\(]?\d+[\]\)]?$")
     g = (j.filter(good).groupBy("file", "sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", squeeze(F.col("v_str")).alias("t")))).alias("ts")))
@@ -233,15 +233,14 @@ def literal_census(cells: DataFrame, path_columns: DataFrame | None = None) -> D
 
 
 def labelled_totals(cells: DataFrame) -> DataFrame:
-    """Summary figures found by their labels: first number within six cells to the right."""
+    """Summary figures found by their labels on the visible sheets: the first number to the right of the label."""
     t = fold(F.col("v_str"))
     hits = F.array_compact(F.array(*[F.when(t.rlike(p) & (~t.contains("luy ke") if k == "gt_hd" else F.lit(True)), F.lit(k)) for k, p in X.SUMMARY_LABELS]))
-    lab = (cells.filter(visible() & (F.col("row") <= 80) & (F.col("col") <= 12) & F.col("formula").isNull() & (t != "") & (F.length(t) <= 140))
-           .select("file", "sheet", "sheet_idx", "row", F.col("col").alias("l_col"), F.col("v_str").alias("nhan"), F.explode(hits).alias("label")))
-    # column offsets are exploded so that the join is an equi join
-    want = lab.withColumn("col", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.col("l_col") + i)))
-    v = cells.filter(F.abs("v_num") > 1).select("file", "sheet", "row", "col", "v_num")
-    return first_per(want.join(v, KEY + ["row", "col"]), ["file", "label"], ["sheet_idx", "row", "l_col", "col"])
+    right = W.partitionBy(*KEY, "row").orderBy("col").rowsBetween(1, W.unboundedFollowing)
+    number = F.first(F.when(F.abs("v_num") > 1, F.struct("col", "v_num")), ignorenulls=True).over(right)
+    lab = (cells.withColumn("__n", number).filter(visible() & F.col("formula").isNull() & (t != "") & F.col("__n").isNotNull())
+           .select("file", "sheet", "sheet_idx", "row", F.col("col").alias("l_col"), F.col("v_str").alias("nhan"), F.explode(hits).alias("label"), F.col("__n.col").alias("col"), F.col("__n.v_num").alias("v_num")))
+    return first_per(lab, ["file", "label"], ["sheet_idx", "row", "l_col"])
 
 
 # --- detail table ----------------------------------------------------------------------------------------------
@@ -250,10 +249,9 @@ MEASURES = ["kl_hd", "kl_kt", "kl_kn", "kl_lk", "gt_hd", "gt_kt", "gt_kn", "gt_l
 
 def detail_layouts(cells: DataFrame) -> DataFrame:
     """Header row and column roles of each sheet that holds a quantity-price table."""
-    top = cells.filter((F.col("row") <= 44) & (F.col("col") <= 40))
-    text = fold(F.coalesce("v_str", F.col("v_num").cast("string")))
+    top, text = cells, fold(F.coalesce("v_str", F.col("v_num").cast("string")))
     name, price = text.rlike(X.HDR_NAME), text.rlike(X.HDR_PRICE)
-    cand = (top.filter("row <= 40").groupBy("file", "sheet", "row").agg(F.max(F.when(name, F.col("col"))).alias("ten"), F.max(F.when(~name & price, F.col("col"))).alias("dg"))
+    cand = (top.groupBy("file", "sheet", "row").agg(F.max(F.when(name, F.col("col"))).alias("ten"), F.max(F.when(~name & price, F.col("col"))).alias("dg"))
             .filter("ten is not null and dg is not null").withColumnRenamed("row", "hdr"))
     span = cand.withColumn("row", F.explode(F.sequence("hdr", F.col("hdr") + 3)))
     t = (span.join(top.filter("v_str is not null or v_num is not null").select("file", "sheet", "row", "col", text.alias("t")), KEY + ["row"])
@@ -329,11 +327,10 @@ def detail_table(cells: DataFrame) -> DataFrame:
 
 def boq_layouts(cells: DataFrame) -> DataFrame:
     """Header of a plain bill of quantities: two header rows read together, quantity column chosen by its words."""
-    top = cells.filter((F.col("row") <= 31) & (F.col("col") <= 30))
     text = fold(F.coalesce("v_str", F.col("v_num").cast("string")))
-    a = top.select("file", "sheet", "row", "col", text.alias("t"))
+    a = cells.select("file", "sheet", "row", "col", text.alias("t"))
     up = a.select("file", "sheet", (F.col("row") - 1).alias("row"), "col", F.col("t").alias("u"))
-    h = (a.join(up, KEY + ["row", "col"], "full_outer").filter("row between 1 and 30")
+    h = (a.join(up, KEY + ["row", "col"], "full_outer").filter("row >= 1")
          .select("file", "sheet", F.col("row").alias("hdr"), "col", F.concat(F.coalesce("t", F.lit("")), F.lit(" "), F.coalesce("u", F.lit(""))).alias("t")))
     t, c = F.col("t"), F.col("col")
     g = h.groupBy("file", "sheet", "hdr").agg(F.min(F.when(t.rlike(X.BOQ_HDR_NAME), c)).alias("ten"), F.min(F.when(t.rlike(X.HDR_PRICE), c)).alias("dg"), F.min(F.when(t.rlike(X.BOQ_HDR_UNIT), c)).alias("dvt"))

@@ -25,7 +25,7 @@ pr AS (SELECT {_cells}, regexp_extract(m, '^\\[(\\d+)\\]', 1) AS x, replace(rege
 refs AS (SELECT {_cells}, r_sheet, CAST(nullif(x, '') AS BIGINT) AS ext, ascii(regexp_extract(a, '^([A-Z])', 1)) - 64 AS c1, CAST(regexp_extract(a, '^[A-Z]+(\\d+)', 1) AS BIGINT) AS r1,
   CASE WHEN contains(a, ':') THEN ascii(regexp_extract(a, ':([A-Z])', 1)) - 64 ELSE ascii(regexp_extract(a, '^([A-Z])', 1)) - 64 END AS c2,
   CASE WHEN contains(a, ':') THEN CAST(regexp_extract(a, ':[A-Z]+(\\d+)', 1) AS BIGINT) ELSE CAST(regexp_extract(a, '^[A-Z]+(\\d+)', 1) AS BIGINT) END AS r2 FROM pr)"""
-LABELS = """nc0 AS (SELECT file, sheet, col, count(*) AS n FROM cells WHERE row <= 3000 AND col <= 10 AND length(trim(v_str)) >= 8 AND regexp_matches(v_str, '[A-Za-zÀ-ỹ]{3}') GROUP BY file, sheet, col),
+LABELS = """nc0 AS (SELECT file, sheet, col, count(*) AS n FROM cells WHERE length(trim(v_str)) >= 8 AND regexp_matches(v_str, '[A-Za-zÀ-ỹ]{3}') GROUP BY file, sheet, col),
 ncol AS (SELECT s.file, s.sheet, coalesce(b.col, 2) AS name_col FROM (SELECT DISTINCT file, sheet FROM cells) s LEFT JOIN (SELECT file, sheet, arg_max(col, n * 100 - col) AS col FROM nc0 GROUP BY file, sheet) b ON b.file = s.file AND b.sheet = s.sheet),
 lab AS (SELECT c.file, c.sheet, c.row, trim(regexp_replace(c.v_str, '\\s+', ' ', 'g')) AS label FROM cells c JOIN ncol n ON n.file = c.file AND n.sheet = c.sheet AND n.name_col = c.col WHERE c.v_str IS NOT NULL)"""
 PATS = """pt AS (SELECT *, regexp_replace(regexp_replace(formula, '([A-Z])' || row || '\\b', '\\1R', 'g'), '([A-Z])' || (row + 1) || '\\b', '\\1S', 'g') AS pattern FROM cells WHERE formula IS NOT NULL AND sheet_state = 'visible' AND NOT regexp_matches(formula, '^=\\s*(SUM|SUBTOTAL|SUMIF|SUMPRODUCT)\\(', 'i')),
@@ -56,11 +56,11 @@ def _(w):
     return grid.name_column(w.cells).select("file", "sheet", *b("name_col"))
 
 
-HEADS = f"""hs AS (SELECT file, sheet, row, count(*) FILTER (regexp_matches({sql_fold('v_str')}, '{X.HEADER_WORDS}')) AS kw, count(*) AS n FROM cells WHERE row <= 40 AND col <= 40 AND length(trim(v_str)) >= 2 GROUP BY file, sheet, row),
+HEADS = f"""hs AS (SELECT file, sheet, row, count(*) FILTER (regexp_matches({sql_fold('v_str')}, '{X.HEADER_WORDS}')) AS kw, count(*) AS n FROM cells WHERE length(trim(v_str)) >= 2 GROUP BY file, sheet, row),
 hr AS (SELECT s.file, s.sheet, coalesce(arg_max(row, kw * 1000000 + n * 1000 - row), 1) AS h FROM (SELECT DISTINCT file, sheet FROM cells) s LEFT JOIN hs ON hs.file = s.file AND hs.sheet = s.sheet GROUP BY s.file, s.sheet),
-nt AS (SELECT file, sheet, row, count(*) AS n_text FROM cells WHERE row <= 50 AND col <= 30 AND trim(v_str) <> '' GROUP BY file, sheet, row),
+nt AS (SELECT file, sheet, row, count(*) AS n_text FROM cells WHERE trim(v_str) <> '' GROUP BY file, sheet, row),
 ht AS (SELECT c.file, c.sheet, c.col, c.row, trim(regexp_replace(v_str, '\\s+', ' ', 'g')) AS t FROM cells c JOIN hr ON hr.file = c.file AND hr.sheet = c.sheet AND c.row BETWEEN h - 3 AND h + 3 LEFT JOIN nt ON nt.file = c.file AND nt.sheet = c.sheet AND nt.row = c.row
-  WHERE c.row <= 50 AND trim(v_str) <> '' AND (c.row = h OR coalesce(n_text, 0) >= 2) AND NOT regexp_full_match(trim(v_str), '[\\[\\(]?\\d+[\\]\\)]?')),
+  WHERE trim(v_str) <> '' AND (c.row = h OR coalesce(n_text, 0) >= 2) AND NOT regexp_full_match(trim(v_str), '[\\[\\(]?\\d+[\\]\\)]?')),
 hd AS (SELECT file, sheet, col, string_agg(t, ' / ' ORDER BY fr) AS header FROM (SELECT file, sheet, col, t, min(row) AS fr FROM ht GROUP BY ALL) u GROUP BY file, sheet, col)"""
 
 
@@ -249,7 +249,7 @@ def _(w):
 @query("SRC-14_find_labelled_totals", """SELECT c.file, l.label, v.v_num, CAST(l.r AS BIGINT) AS row FROM (SELECT DISTINCT file FROM cells) c, (VALUES ('gt_hd', 3), ('gt_kn', 8), ('giu_lai', 9), ('tt_ky_nay', 10)) l(label, r), cells v WHERE v.file = c.file AND v.sheet = 'Tong hop' AND v.row = l.r AND v.col = 4
    UNION ALL SELECT DISTINCT c.file, 'gt_hd_x', NULL, NULL FROM cells c WHERE FALSE""")
 def _(w):
-    t = grid.labelled_totals(w.cells.filter("sheet = 'Tong hop'"))
+    t = grid.labelled_totals(w.cells)
     return t.select("file", "label", "v_num", *b("row"))
 
 
@@ -285,4 +285,4 @@ def _(w):
 @query("SRC-13_detect_boq_table", f"""WITH {_IT}, f AS (SELECT *, dvt IS NULL AS g FROM it), z AS (SELECT *, coalesce(last_value(CASE WHEN g THEN ten END IGNORE NULLS) OVER (PARTITION BY file ORDER BY dong), '') AS nhom FROM f)
    SELECT z.file, CAST(dong AS BIGINT) AS dong, nhom, ten, dvt, q.v_num AS kl, p.v_num AS don_gia FROM z LEFT JOIN cells q ON q.file = z.file AND q.sheet = 'Chi tiet' AND q.row = dong AND q.col = 7 LEFT JOIN cells p ON p.file = z.file AND p.sheet = 'Chi tiet' AND p.row = dong AND p.col = 8 WHERE NOT g""")
 def _(w):
-    return grid.boq_table(w.cells.filter("sheet = 'Chi tiet'")).select("file", *b("dong"), "nhom", "ten", "dvt", "kl", "don_gia")
+    return grid.boq_table(w.cells).select("file", *b("dong"), "nhom", "ten", "dvt", "kl", "don_gia")
