@@ -76,11 +76,13 @@ def check_lines(f: DataFrame, b_rows: DataFrame, rows: DataFrame, boq: DataFrame
     short = (op == X.OP_ADD) & ~exists & (_blank("ten") | _blank("dvt") | F.col("kl").isNull() | F.col("don_gia").isNull())
     b = b.withColumn("valid", known & ~target_gone & ~exists & ~short)
 
-    # codes for added lines without one
+    # codes for added lines without one: after those in the store, those given in earlier lines of the form and each other
     free = state.next_number(boq, "ma_hd", "ma_hm", "HM")
     needs = F.col("valid") & (op == X.OP_ADD) & blank
     b = scan(b, ["form_id"], block(F.col("dong")), ["dong"], sums={"nth": F.when(needs, 1).otherwise(0)}).join(free, "ma_hd", "left")
-    code = F.coalesce("next_no", F.lit(1)) + F.col("nth") - 1
+    given_no = F.regexp_extract("ma_hm", r"^HM(\d+)$", 1).try_cast("bigint")
+    b = scan(b, ["form_id"], block(F.col("dong")), ["dong"], maxes={"taken": F.when(F.col("valid") & (op == X.OP_ADD), given_no + 1 - F.col("nth"))})
+    code = F.greatest(F.coalesce("next_no", F.lit(1)), F.coalesce("taken", F.lit(0))) + F.col("nth") - 1
     b = b.withColumn("new_hm", F.when(needs, F.concat(F.lit("HM"), F.lpad(code.cast("string"), 4, "0"))).otherwise(F.col("ma_hm")))
     # an added line that looks like one already there
     k = b.withColumn("khoa", match_key(F.col("nhom"), F.col("ten"), F.col("dvt"))).withColumn("given", F.lit(None).cast("string"))

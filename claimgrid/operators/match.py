@@ -14,6 +14,11 @@ def name_unit(df: DataFrame) -> DataFrame:
     return df.withColumns({"f_name": fold(F.col("ten")), "f_unit": fold(F.col("dvt"))})
 
 
+def measured(items: DataFrame) -> DataFrame:
+    """The lines that have a unit; the others only head a group."""
+    return items.filter(F.trim(F.coalesce("dvt", F.lit(""))) != "")
+
+
 def by_key(lines: DataFrame) -> DataFrame:
     """First line (smallest code) of each full key."""
     return lines.filter("khoa is not null").groupBy("ma_hd", "khoa").agg(F.min("ma_hm").alias("hm_key"))
@@ -26,8 +31,8 @@ def by_unique_name(lines: DataFrame) -> DataFrame:
 
 
 def match_cascade(items: DataFrame, lines: DataFrame, remembered: DataFrame | None = None) -> DataFrame:
-    """Add ma_hm and cach_khop; every lookup side is reduced to unique keys first."""
-    j = name_unit(items).join(by_key(lines), ["ma_hd", "khoa"], "left")
+    """Add ma_hm and cach_khop; every lookup side is reduced to unique keys first. Lines without a unit are headings and left out."""
+    j = name_unit(measured(items)).join(by_key(lines), ["ma_hd", "khoa"], "left")
     j = j.join(by_unique_name(lines), ["ma_hd", "f_name", "f_unit"], "left")
     if remembered is not None:
         mem = remembered.groupBy("ma_hd", F.col("khoa_hstt").alias("khoa")).agg(F.min("ma_hm").alias("hm_mem"))

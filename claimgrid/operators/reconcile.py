@@ -170,9 +170,9 @@ def last_nonzero(history: DataFrame) -> DataFrame:
 
 
 def master_items(items: DataFrame, base: DataFrame, prior_qty: DataFrame) -> DataFrame:
-    """Claim lines against the base lines by full key: six errors and two effects."""
+    """Claim lines that have a unit against the base lines by full key: six errors and two effects."""
     b = (base.groupBy("ma_hd", "khoa").agg(F.max_by(F.struct("ma_hm", "kl", "don_gia"), "id").alias("m")))
-    j = (items.join(b, ["ma_hd", "khoa"], "left").withColumn("ma_hm", F.col("m.ma_hm"))
+    j = (match.measured(items).join(b, ["ma_hd", "khoa"], "left").withColumn("ma_hm", F.col("m.ma_hm"))
          .join(prior_qty.select("ma_hd", "ma_hm", F.col("kl_luy_ke").alias("kt_master")), ["ma_hd", "ma_hm"], "left"))
     j = j.withColumn("m_kl", F.col("m.kl")).withColumn("m_gia", F.col("m.don_gia"))
     ok = F.col("m").isNotNull()

@@ -31,8 +31,8 @@ b1 AS (SELECT *, thao_tac IN ('THAY', 'THEM', 'BO') AS known, thao_tac IN ('THAY
 b2 AS (SELECT *, thao_tac = 'THEM' AND NOT ex AND (coalesce(ten, '') = '' OR coalesce(dvt, '') = '' OR kl IS NULL OR don_gia IS NULL) AS short FROM b1),
 nx AS (SELECT ma_hd, max(CAST(substr(ma_hm, 3) AS BIGINT)) AS mx FROM boq_log GROUP BY ma_hd),
 b3 AS (SELECT *, known AND NOT tgone AND NOT ex AND NOT short AS valid FROM b2),
-b4 AS (SELECT b3.*, CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 'HM' || lpad(CAST(mx + sum(CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id ORDER BY dong) AS VARCHAR), 4, '0') ELSE ma_hm END AS new_hm
-   FROM b3 LEFT JOIN nx USING (ma_hd)),
+bn AS (SELECT b3.*, coalesce(mx, 0) AS mx, sum(CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 1 ELSE 0 END) OVER (PARTITION BY form_id ORDER BY dong) AS nth FROM b3 LEFT JOIN nx USING (ma_hd)),
+b4 AS (SELECT *, CASE WHEN valid AND thao_tac = 'THEM' AND ma_hm = '' THEN 'HM' || lpad(CAST(greatest(mx + 1, coalesce(max(CASE WHEN valid AND thao_tac = 'THEM' THEN try_cast(nullif(regexp_extract(ma_hm, '^HM(\\d+)$', 1), '') AS BIGINT) + 1 - nth END) OVER (PARTITION BY form_id ORDER BY dong), 0)) + nth - 1 AS VARCHAR), 4, '0') ELSE ma_hm END AS new_hm FROM bn),
 kk AS (SELECT ma_hd, khoa, min(ma_hm) AS h FROM states WHERE state = 'live' AND khoa IS NOT NULL GROUP BY ALL),
 nn AS (SELECT ma_hd, {sql_fold('ten')} AS fn, {sql_fold('dvt')} AS fu, min(ma_hm) AS h FROM states WHERE state = 'live' GROUP BY 1, 2, 3 HAVING count(*) = 1),
 b AS (SELECT b4.*, p.paid, p.paid_day, coalesce(kk.h, nn.h) AS dup, CASE WHEN NOT valid THEN NULL WHEN thao_tac = 'BO' THEN -round_even(coalesce(c_kl, 0.0) * coalesce(c_gia, 0.0), 0) WHEN thao_tac = 'THEM' THEN round_even(kl * don_gia, 0)

@@ -219,7 +219,7 @@ def _(w):
     return w.params.select("ma_hd", "ma_ts", N.format_value(F.col("ma_ts"), F.col("gia_tri")).alias("v"))
 
 
-@query("X-15_format_qty", "SELECT ma_hd, dong, format('{:,}', CAST(kl_lk AS BIGINT)) AS v FROM claim_items")
+@query("X-15_format_qty", "SELECT ma_hd, dong, coalesce(format('{:,}', CAST(kl_lk AS BIGINT)), '-') AS v FROM claim_items")
 def _(w):
     return w.claim_items.select("ma_hd", "dong", N.format_qty(F.col("kl_lk")).alias("v"))
 

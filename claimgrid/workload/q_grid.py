@@ -170,12 +170,6 @@ def _(w):
     return grid.wrong_row_links(w.cells, "edit").select("file", "sheet", *b("row", "col"), "r_sheet", *b("r1"), "kind")
 
 
-@query("C-K3_wrong_row_links_ratio")
-def _(w):
-    """Sequence-ratio form (rows only: no SQL engine has the ratio)."""
-    return grid.wrong_row_links(w.cells).select("file", "sheet", *b("row", "col"), "r_sheet", *b("r1"), "kind")
-
-
 @query("J-22_hidden_ref_counts", f"WITH {REFS} SELECT file, sheet, r_sheet, CAST(count(*) AS BIGINT) AS n FROM refs WHERE sheet_state = 'visible' AND r_sheet = 'Dien giai (2)' AND ext IS NULL GROUP BY ALL")
 def _(w):
     return grid.hidden_ref_counts(w.cells)

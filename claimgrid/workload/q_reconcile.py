@@ -26,7 +26,7 @@ byname AS (SELECT ma_hd, {sql_fold('ten')} AS fn, {sql_fold('dvt')} AS fu, min(m
 matched AS (SELECT i.*, coalesce(r.ma_hm, k.hm_key, n.hm_name) AS ma_hm,
    CASE WHEN r.ma_hm IS NOT NULL THEN 'đã xác nhận' WHEN k.hm_key IS NOT NULL THEN 'khoá' WHEN n.hm_name IS NOT NULL THEN 'tên + ĐVT' ELSE '' END AS cach_khop
    FROM claim_items i LEFT JOIN remembered r ON r.ma_hd = i.ma_hd AND r.khoa_hstt = i.khoa LEFT JOIN bykey k ON k.ma_hd = i.ma_hd AND k.khoa = i.khoa
-   LEFT JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = {sql_fold('i.ten')} AND n.fu = {sql_fold('i.dvt')})"""
+   LEFT JOIN byname n ON n.ma_hd = i.ma_hd AND n.fn = {sql_fold('i.ten')} AND n.fu = {sql_fold('i.dvt')} WHERE trim(coalesce(i.dvt, '')) <> '')"""
 FINDINGS = f"""WITH {CLAIM_STATES}, {MATCHED},
 prior AS (SELECT c.ma_hd, max(p.dot) AS dot_truoc FROM claims c JOIN periods p ON c.ma_hd = p.ma_hd AND
    CASE WHEN c.dot IS NOT NULL THEN p.dot < c.dot ELSE p.ngay_nghiem_thu IS NULL OR p.ngay_nghiem_thu < c.ngay END GROUP BY c.ma_hd),
@@ -139,14 +139,6 @@ def _(w):
     return match.fuzzy_suggest(it, ln, threshold=0.7, measure="edit").select("ma_hd", "dong", "goi_y", "goi_y_score")
 
 
-@query("J-05_fuzzy_suggest_ratio")
-def _(w):
-    """Sequence-ratio form of the suggestion (rows only: no SQL engine has the ratio)."""
-    _e, ln = lines(w)
-    it = match.match_cascade(w.claim_items, ln, w.remembered).filter("ma_hm is null").select("ma_hd", "dong", "ten", "dvt")
-    return match.fuzzy_suggest(it, ln).select("ma_hd", "dong", "goi_y", "goi_y_score")
-
-
 @query("X-19_similarity", f"""WITH p AS (SELECT p_partkey, {sql_fold('p_name')} AS a, {sql_fold("p_type || ' ' || p_name")} AS b, {sql_fold('p_brand')} AS c FROM part)
   SELECT p_partkey, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0 ELSE {sql_edit('a', 'b')} END AS s_type, CASE WHEN contains(a, c) OR contains(c, a) THEN 1.0 ELSE {sql_edit('a', 'c')} END AS s_brand FROM p""")
 def _(w):
@@ -189,7 +181,7 @@ def _(w):
 
 MASTER = """WITH base AS (SELECT ma_hd, khoa, arg_max(ma_hm, id) AS ma_hm, arg_max(kl, id) AS kl, arg_max(don_gia, id) AS don_gia FROM boq_base GROUP BY ma_hd, khoa),
   mi AS (SELECT i.ma_hd, i.dong, i.kl_hd, i.kl_kt, i.kl_kn, i.kl_lk, i.don_gia, b.ma_hm, b.kl AS m_kl, b.don_gia AS m_gia, q.kl_luy_ke AS kt_master FROM claim_items i LEFT JOIN base b ON b.ma_hd = i.ma_hd AND b.khoa = i.khoa
-    LEFT JOIN period_items q ON q.ma_hd = i.ma_hd AND q.ma_hm = b.ma_hm AND q.dot = 9),
+    LEFT JOIN period_items q ON q.ma_hd = i.ma_hd AND q.ma_hm = b.ma_hm AND q.dot = 9 WHERE trim(coalesce(i.dvt, '')) <> ''),
   mf AS (SELECT *, concat_ws('; ', CASE WHEN ma_hm IS NULL THEN 'Không có trong BOQ master (phát sinh chưa có phụ lục?)' END,
     CASE WHEN ma_hm IS NOT NULL AND abs(coalesce(kl_hd, 0) - m_kl) > 1e-6 THEN 'KL HĐ khác master' END, CASE WHEN ma_hm IS NOT NULL AND abs(coalesce(don_gia, 0) - m_gia) > 0.5 THEN 'Đơn giá khác master' END,
     CASE WHEN ma_hm IS NOT NULL AND kt_master IS NOT NULL AND abs(kl_kt - kt_master) > 1e-6 THEN 'KL kỳ trước khác master (đợt trước đã duyệt)' END,
@@ -237,13 +229,13 @@ for _i in range(1, 6):
 
 
 @query("J-21_derive_changes", """WITH cur AS (SELECT ma_hd, ma_hm, kl, don_gia FROM boq_base), tb AS (SELECT i.ma_hd, CASE WHEN i.dong % 4 = 1 THEN NULL ELSE b.ma_hm END AS matched, i.kl_lk AS kl, i.don_gia, i.ten, substr(i.ma_hd, 12, 1) IN ('0', '5') AS whole
-     FROM claim_items i LEFT JOIN boq_base b ON b.ma_hd = i.ma_hd AND b.ma_hm = i.true_hm), sc AS (SELECT ma_hd, bool_or(whole) AS whole FROM tb GROUP BY ma_hd)
+     FROM claim_items i LEFT JOIN boq_base b ON b.ma_hd = i.ma_hd AND b.ma_hm = i.true_hm WHERE trim(coalesce(i.dvt, '')) <> ''), sc AS (SELECT ma_hd, bool_or(whole) AS whole FROM tb GROUP BY ma_hd)
   SELECT ma_hd, matched AS ma_hm, 'THEM' AS thao_tac, kl, don_gia, ten FROM tb WHERE matched IS NULL
   UNION ALL SELECT t.ma_hd, matched, 'THAY', t.kl, t.don_gia, ten FROM tb t JOIN cur c ON c.ma_hd = t.ma_hd AND c.ma_hm = t.matched WHERE abs(coalesce(t.kl, 0) - coalesce(c.kl, 0)) > 1e-9 OR abs(coalesce(t.don_gia, 0) - coalesce(c.don_gia, 0)) > 0.5
   UNION ALL SELECT c.ma_hd, c.ma_hm, 'BO', NULL, NULL, NULL FROM cur c JOIN sc ON sc.ma_hd = c.ma_hd AND sc.whole WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.ma_hd = c.ma_hd AND tb.matched = c.ma_hm)""")
 def _(w):
     b = w.boq_base.select("ma_hd", F.col("ma_hm").alias("true_hm"), F.col("ma_hm").alias("hm"))
-    t = (w.claim_items.join(b, ["ma_hd", "true_hm"], "left")
+    t = (match.measured(w.claim_items).join(b, ["ma_hd", "true_hm"], "left")
          .select("ma_hd", F.when(F.col("dong") % 4 != 1, F.col("hm")).alias("matched"), F.col("kl_lk").alias("kl"), "don_gia", "ten",
                  F.substring("ma_hd", 12, 1).isin("0", "5").alias("whole")))
     return match.derive_changes(t, w.boq_base, F.col("whole"))

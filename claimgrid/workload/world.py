@@ -127,7 +127,8 @@ FROM (SELECT l.ma_hd, l.item_no, max(CAST(substr(l.ma_hd, 3) AS BIGINT)) AS cust
       FROM lines l WHERE CAST({_DOT} AS BIGINT) <= {CLAIM_DOT} GROUP BY l.ma_hd, l.item_no) a
 LEFT JOIN (SELECT ma_hd, ma_hm, max_by(don_gia, id) AS don_gia, max_by(kl, id) AS kl FROM boq_log
            WHERE thao_tac <> 'BO' AND kl IS NOT NULL AND don_gia IS NOT NULL GROUP BY ma_hd, ma_hm) p
-       ON p.ma_hd = a.ma_hd AND p.ma_hm = {ITEM.replace('item_no', 'a.item_no')}"""
+       ON p.ma_hd = a.ma_hd AND p.ma_hm = {ITEM.replace('item_no', 'a.item_no')}
+UNION ALL SELECT ma_hd, CAST(9 AS BIGINT), 'Nhóm 1', 'PHẦN MÓNG', CASE WHEN cust % 2 = 0 THEN '' END, 'nhom 1|phan mong|', NULL, NULL, NULL, NULL, NULL, NULL FROM claims"""
 
 _BASEV = "CASE WHEN gom_vat = 'Chưa' THEN gia_tri_hd * (1 + vat) ELSE gia_tri_hd END"
 DERIVED["claim_totals"] = f"""
