@@ -215,6 +215,12 @@ def diff_grids(cells: DataFrame) -> DataFrame:
     return j.filter(~(same_n & F.col("v_str").eqNullSafe(F.col("h_v_str"))))
 
 
+def ranked_differences(diffs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Differences numbered by place in their pair; the first `limit` of each pair where one is given."""
+    out = scan(diffs, ["file", "hidden"], block(F.col("row")), ["row", "col"], sums={"rank": F.lit(1)})
+    return out if limit is None else out.filter(F.col("rank") <= limit)
+
+
 def text_numbers(cells: DataFrame) -> DataFrame:
     """Numbers kept as text to the right of the name column, on visible sheets."""
     t = cells.filter(visible() & F.col("formula").isNull() & S.is_number_text(F.col("v_str")))

@@ -207,11 +207,10 @@ per_text("X-11_typed_ai_value", f"CASE WHEN trim(s) = '' THEN NULL WHEN regexp_f
 per_text("X-12_fix_missing_percent", f"CASE WHEN regexp_full_match(s, '\\d+([.,]\\d+)?') AND ({_VN}) > 1 THEN s || '%' ELSE s END", lambda c: N.add_missing_percent(c, F.lit("%/ngày")))
 
 
-@query("X-14_numbers_in_text", "SELECT doc_id, CAST(len(x) AS BIGINT) AS n, x[1] AS first FROM (SELECT doc_id, regexp_extract_all(text, '\\d+') AS x FROM (SELECT doc_id, regexp_replace(text, '[.,]', ' ', 'g') AS text FROM documents) a) b")
+@query("X-14_numbers_in_text", """SELECT doc_id, CAST(len(v) AS BIGINT) AS n, v[1] AS first FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\d+(?:[.,]\\d+)*'), lambda t: CASE WHEN regexp_full_match(t, '\\d{1,3}(\\.\\d{3})+') THEN try_cast(replace(t, '.', '') AS DOUBLE) ELSE try_cast(replace(t, ',', '.') AS DOUBLE) END), lambda x: x IS NOT NULL) AS v FROM documents) a""")
 def _(w):
-    clean = F.regexp_replace("text", "[.,]", " ")
-    nums = N.numbers_in_text(clean, F.lit(False))
-    return w.documents.select("doc_id", F.size(nums).cast("bigint").alias("n"), F.try_element_at(F.regexp_extract_all(clean, F.lit(r"(\d+)"), 1), F.lit(1)).alias("first"))
+    nums = N.numbers_in_text(F.col("text"), F.lit(False))
+    return w.documents.select("doc_id", F.size(nums).cast("bigint").alias("n"), F.try_element_at(nums, F.lit(1)).alias("first"))
 
 
 @query("X-15_format_values", """SELECT ma_hd, ma_ts, CASE WHEN ma_ts IN ('TT-04', 'TT-20', 'TT-21') THEN CASE gia_tri WHEN '0.1' THEN '10%' WHEN '0.05' THEN '5%' ELSE gia_tri END WHEN ma_ts = 'TT-02' THEN format('{:,}', CAST(gia_tri AS BIGINT)) ELSE gia_tri END AS v FROM params""")

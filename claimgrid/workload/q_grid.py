@@ -9,7 +9,6 @@ from claimgrid.functions import classify as C
 from claimgrid.functions import formulas as S
 from claimgrid.operators import grid
 from claimgrid.operators.quality import collect_findings, order_findings
-from claimgrid.operators.scan import top_per
 from claimgrid.session import cut_lineage
 from claimgrid.workload.q_reconcile import sql_edit, sql_fold
 from claimgrid.workload.registry import query
@@ -83,16 +82,17 @@ def _(w):
     return grid.references(w.cells).select("file", "sheet", *b("row", "col"), "r_sheet", *b("c1", "r1", "c2", "r2", "ext"))
 
 
-_PAT_CASE = """CASE WHEN sheet = 'Chi tiet' AND col = 6 THEN '=<Dien giai>!C[-2]R[' || CASE WHEN ends_with(formula, 'D' || (row + 1)) THEN '1' ELSE '0' END || ']'
+_PAT_CASE = """CASE WHEN sheet = 'Tong hop' THEN CASE row WHEN 8 THEN '=SUM(<Chi tiet>!C[6]R[-2]:C[6]R[397])' WHEN 9 THEN '=C[0]R[-1]*5%' ELSE '=C[0]R[-2]*1.08-C[0]R[-1]-C[0]R[1]' END
+  WHEN sheet = 'Chi tiet' AND col = 6 THEN '=<Dien giai>!C[-2]R[' || CASE WHEN ends_with(formula, 'D' || (row + 1)) THEN '1' ELSE '0' END || ']'
   WHEN sheet = 'Chi tiet' AND col = 7 THEN '=C[-2]R[0]+C[-1]R[0]' || CASE WHEN ends_with(formula, '+1') THEN '+1' ELSE '' END
   WHEN sheet = 'Chi tiet' THEN '=ROUND(C[' || CASE col WHEN 9 THEN -5 ELSE -4 END || ']R[0]*C[' || (8 - col) || ']R[0],0)' || CASE WHEN ends_with(formula, '1.08') THEN '*1.08' ELSE '' END
   WHEN contains(formula, '[1]') THEN '=<[1]Goc>!C[-2]R[0]' WHEN contains(formula, '#REF') THEN '=#REF!*2' WHEN contains(formula, '(2)') THEN '=<Dien giai (2)>!C[-3]R[0]'
   WHEN starts_with(formula, '=E') THEN '=C[1]R[0]*C[2]R[0]' WHEN ends_with(formula, '*0.5') THEN '=<Chi tiet>!C[0]R[0]*0.5' WHEN starts_with(formula, '=''Chi') THEN '=<Chi tiet>!C[0]R[0]' END"""
 
 
-@query("X-17_formula_pattern", f"SELECT file, sheet, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, replace({_PAT_CASE}, ' ', '') AS pattern FROM cells WHERE formula IS NOT NULL AND sheet <> 'Tong hop'")
+@query("X-17_formula_pattern", f"SELECT file, sheet, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, replace({_PAT_CASE}, ' ', '') AS pattern FROM cells WHERE formula IS NOT NULL")
 def _(w):
-    f = grid.formulas(w.cells).filter("sheet <> 'Tong hop'")
+    f = grid.formulas(w.cells)
     return f.select("file", "sheet", *b("row", "col"), S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")).alias("pattern"))
 
 
@@ -106,12 +106,18 @@ def _(w):
     return f.select("file", "sheet", *b("row", "col"), F.explode(S.embedded_literals(F.col("formula"))).alias("literal"))
 
 
+def on_path(w):
+    """Columns whose formulas the requested payment is made of, by the expansion tree of each file."""
+    from claimgrid.workload.q_lineage import tree
+    return tree(w).filter("kind = 'Công thức'").select("file", "sheet", "col").distinct()
+
+
 PATHCOL = "(sheet = 'Tong hop' OR (sheet = 'Chi tiet' AND col IN (6, 10)) OR (sheet = 'Dien giai' AND col = 4))"
 
 
 @query("A-16_literal_census", f"""WITH {LITS} SELECT file, literal, CASE literal WHEN '1.08' THEN 'Thuế suất?' WHEN '5%' THEN 'Tỷ lệ %' WHEN '0.5' THEN 'Tỷ lệ %' ELSE 'Hằng số khác (kích thước, hệ số kỹ thuật...)' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n_path FROM lt WHERE literal IS NOT NULL GROUP BY file, literal""")
 def _(w):
-    path = w.cells.filter(PATHCOL).select("file", "sheet", "col").distinct()
+    path = on_path(w)
     return grid.literal_census(w.cells, path).select("file", "literal", "kind", "n", "n_path")
 
 
@@ -184,10 +190,10 @@ def _(w):
     return grid.diff_grids(w.cells).select("file", *b("row", "col"), "v_num", F.col("h_v_num").alias("h_num"), "v_str", F.col("h_v_str").alias("h_str"))
 
 
-@query("T-07_cap", f"WITH {DIFF} SELECT file, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY row, col) AS rn FROM df) t WHERE rn <= 300")
+@query("T-07_cap", f"WITH {DIFF} SELECT file, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, CAST(row_number() OVER (PARTITION BY file ORDER BY row, col) AS BIGINT) AS rank FROM df")
 def _(w):
-    """The report keeps the first 300 differences of a pair."""
-    return top_per(grid.diff_grids(w.cells), ["file", "hidden"], ["row", "col"], 300).select("file", *b("row", "col"))
+    """All differences of a pair with their rank; a report takes as many as its caller asks for."""
+    return grid.ranked_differences(grid.diff_grids(w.cells)).select("file", *b("row", "col", "rank"))
 
 
 @query("C-K1_overview", """WITH p AS (SELECT file, sheet, sheet_state, count(*) FILTER (contains(formula, '#REF!')) AS nr, count(*) FILTER (formula IS NOT NULL AND v_str = '#REF!') AS ne FROM cells GROUP BY ALL)
@@ -219,7 +225,7 @@ def _(w):
 
 @query("C-K6_literal_findings", f"""WITH {LITS} SELECT file || '!' || literal AS entity, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n FROM lt WHERE literal IN ('1.08', '5%', '0.5') GROUP BY file, literal HAVING count(*) FILTER ({PATHCOL}) > 0""")
 def _(w):
-    path = w.cells.filter(PATHCOL).select("file", "sheet", "col").distinct()
+    path = on_path(w)
     return grid.k6_findings(w.cells, path).select("entity", "n")
 
 
