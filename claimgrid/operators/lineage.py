@@ -6,7 +6,10 @@ plan stays short and a lost executor costs no recomputation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimgrid import fixed as X
@@ -15,13 +18,9 @@ from claimgrid.functions.classify import proof_of_group, root_data_group
 from claimgrid.functions.similarity import edit_similarity, similarity
 from claimgrid.functions.text import fold
 from claimgrid.operators import grid
-from claimgrid.operators.scan import top_per
 from claimgrid.session import cut_lineage
 
 CELL = ["file", "sheet", "row", "col"]
-MAX_HOPS = 8
-MAX_DEPTH = 14
-MAX_PATTERNS = 12
 
 
 def auto_target(cells: DataFrame, label: str = "tt_ky_nay") -> DataFrame:
@@ -70,16 +69,18 @@ def trace_nodes(cells: DataFrame, measure: str = "ratio") -> DataFrame:
 def trace_sources(items: DataFrame, cells: DataFrame, measure: str = "ratio") -> DataFrame:
     """Class of the source behind each item's quantity cell.
 
-    items: file, item, sheet, row, col, kl_hd.  Result: file, item, nguon, hops, flags, last sheet/row/col.
+    items: file, item, sheet, row, col, kl_hd.  Result: file, item, nguon, hops, flags, last sheet/row/col.  A chain is followed
+    to its end; one that comes back to a cell it has passed ends there.
     """
     nodes = cut_lineage(trace_nodes(cells, measure))
     key = F.struct("sheet", "row", "col")
-    cur = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"))
+    cur = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<struct<sheet:string,row:bigint,col:bigint>>").alias("passed"))
     done = None
-    for hop in range(MAX_HOPS + 2):
+    for hop in count():
         j = cur.join(nodes, CELL, "left")
         v, k = F.col("v_num"), F.col("kl_hd")
         is_f = F.col("formula").isNotNull()
+        here = F.struct("sheet", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
 
         def is_contract_qty(x):
             return F.coalesce(k.isNotNull() & (k != 0) & (F.abs(x - k) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(k))), F.lit(False))
@@ -92,7 +93,7 @@ def trace_sources(items: DataFrame, cells: DataFrame, measure: str = "ratio") ->
         branch = F.coalesce("branch", F.lit(False)) & F.col("any_ref").isNotNull()
         rate = F.coalesce(k.isNotNull() & (k != 0) & (v / F.when(k != 0, k) > 0) & (v / F.when(k != 0, k) < 1), F.lit(False))
         cls = (F.when(~is_f & v.isNull() & F.col("v_str").isNull(), X.SRC_EMPTY).when(~is_f & v.isNotNull(), X.SRC_TYPED)
-               .when(~is_f | F.lit(hop > MAX_HOPS), X.SRC_OTHER).when(F.col("has_ext"), X.SRC_EXTERNAL)
+               .when(~is_f | F.array_contains("passed", here), X.SRC_OTHER).when(F.col("has_ext"), X.SRC_EXTERNAL)
                .when(one, F.when(is_contract_qty(v) & F.col("first_ref.known") & F.col("first_ref.is_contract"), X.SRC_EQUALS)
                      .when(F.col("first_ref.off"), X.SRC_WRONG_ROW).when(~F.col("first_ref.known"), X.SRC_EMPTY))
                .when(scaled, F.when(rate, X.SRC_RATE).otherwise(X.SRC_FACTOR))
@@ -106,11 +107,11 @@ def trace_sources(items: DataFrame, cells: DataFrame, measure: str = "ratio") ->
             F.when(is_f & ~one & ~scaled & plus, "cộng/trừ nhiều ô"), F.when(is_f & ~one & ~scaled & ~plus & F.coalesce("branch", F.lit(False)), "có IF/MIN/MAX"),
             F.when(is_f & ~one & ~scaled & ~plus & branch & capped, "đang bị chặn về KL HĐ")))))
         step = cut_lineage(j.withColumn("p", pick).withColumns({"nguon": cls, "nxt": nxt, "flags2": flags}).select(
-            "file", "item", "sheet", "row", "col", "kl_hd", "hops", F.col("flags2").alias("flags"), "nguon", "nxt"))
+            "file", "item", "sheet", "row", "col", "kl_hd", "hops", F.col("flags2").alias("flags"), "nguon", "nxt", F.concat("passed", F.array(here)).alias("passed")))
         end = step.filter("nguon is not null").select("file", "item", "nguon", "hops", "flags", "sheet", "row", "col")
         done = end if done is None else done.unionByName(end)
         cur = step.filter("nguon is null").select("file", "item", F.col("nxt.sheet").alias("sheet"), F.col("nxt.row").alias("row"), F.col("nxt.col").alias("col"),
-                                                  "kl_hd", (F.col("hops") + 1).alias("hops"), "flags")
+                                                  "kl_hd", (F.col("hops") + 1).alias("hops"), "flags", "passed")
         if cur.isEmpty():
             break
     return done
@@ -122,12 +123,12 @@ def source_strata(traced: DataFrame) -> DataFrame:
 
 
 # --- expansion tree --------------------------------------------------------------------------------------------
-def trace_tree(cells: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def trace_tree(cells: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Expand each file's target cell into its inputs.
 
     Rows: file, path (sortable), level, kind, sheet, row, col, text, value.  A cell is expanded once, at its
     shallowest place (smallest path among equals); other places are marked as already expanded.  A range becomes one
-    node, one summed leaf for its typed cells and one representative per formula pattern (twelve patterns at most).
+    node, one summed leaf for its typed cells and one representative per formula pattern.  The walk ends where nothing new is reached, or at max_depth where one is given.
     """
     refs = cut_lineage(grid.references(cells))
     known = cut_lineage(grid.sheets(cells).select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known")))
@@ -141,7 +142,7 @@ def trace_tree(cells: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH)
         nonlocal out
         out = df.select(*cols) if out is None else out.unionByName(df.select(*cols))
 
-    for depth in range(max_depth + 1):
+    for depth in count():
         here = cur.join(node, CELL, "left")
         first = cur.groupBy(*CELL).agg(F.min("path").alias("first_path"))
         here = here.join(first, CELL)
@@ -178,7 +179,7 @@ def trace_tree(cells: DataFrame, targets: DataFrame, max_depth: int = MAX_DEPTH)
                           F.col("n").cast("string").alias("text"), "value"))
         pat = (mem.filter("formula is not null").withColumn("pattern", S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")))
                .groupBy("file", "path", "sheet", "pattern").agg(F.count("*").alias("n"), F.max_by(F.struct("row", "col"), F.struct(F.coalesce(F.abs("v_num"), F.lit(-1.0)), -F.col("row"), -F.col("col"))).alias("rep")))
-        top = top_per(pat, ["file", "path"], [F.desc("n"), "pattern"], MAX_PATTERNS)
+        top = pat.withColumn("rank", F.row_number().over(W.partitionBy("file", "path").orderBy(F.desc("n"), "pattern")))
         reps = top.select("file", "sheet", F.col("rep.row").alias("row"), F.col("rep.col").alias("col"), F.concat("path", F.array(seg(F.col("rank"), "b"))).alias("path"), "n")
         emit(reps.select("file", "path", F.lit("Mẫu").alias("kind"), "sheet", "row", "col", F.col("n").cast("string").alias("text"), F.lit(None).cast("double").alias("value")))
         nxt = nxt.unionByName(reps.select("file", "sheet", "row", "col", F.concat("path", F.array(F.lit("00000"))).alias("path")))
