@@ -124,15 +124,16 @@ def plan(rows: DataFrame, shards: int, weights, most: float, seed: int, max_sour
     return sources, places
 
 
-def mix(docs: DataFrame, shards: int = 64, weights=(1, 2, 3), most: float = 3.0, seed: int = 17, max_sources: int = 10_000, max_blocks: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", texts: bool = True) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, weights=(1, 2, 3), most: float = 3.0, seed: int = 17, max_sources: int = 10_000, max_blocks: int = 65_536, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", texts: bool = True) -> DataFrame:
     """(row, mix_size, mix_source_size, mix_target, mix_draws, mix_key) per row of docs: its columns as a struct, and one
-    (pass, shard) for each time the mix takes it.
+    (pass, shard) for each time the mix takes it. shards: by default as many as spark.sql.shuffle.partitions.
 
     texts=False keeps id and source alone, and reads the texts once only. Sources are ordered by code point, null last, and weights
     repeat over them. A size is the number of words of the whole text (null: 0); sources without words get no target. Ids may be
     null or repeat; equal rows are drawn alike. An empty table gives none. The same rows give the same mix, however they are
     partitioned.
     """
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = stored(measured(docs, seed, id_col, text_col, source_col, [id_col, source_col]))
     if narrow.isEmpty():
         places = docs.sparkSession.createDataFrame([], "k int, block int, draws array<struct<pass:int,shard:int>>")
@@ -148,8 +149,10 @@ def mix(docs: DataFrame, shards: int = 64, weights=(1, 2, 3), most: float = 3.0,
     return rows.select("row", "mix_size", F.col("words").alias("mix_source_size"), F.col("target").alias("mix_target"), drawn.alias("mix_draws"), "mix_key")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of docs as often as it is drawn, with docs' columns, dealt by shard and shuffled inside each."""
-    draws = mix(docs, **options).select("row", "mix_key", F.explode("mix_draws").alias("draw"))
+def mixed_rows(docs: DataFrame, shards: int | None = None, **options) -> DataFrame:
+    """The mix itself: every row of docs as often as it is drawn, with docs' columns, one partition for each shard, shuffled
+    inside."""
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = mix(docs, shards, **options).select("row", "mix_key", F.explode("mix_draws").alias("draw"))
     copies = draws.select("row", F.col("draw.shard").alias("shard"), F.xxhash64("mix_key", "draw.shard", "draw.pass").alias("turn"))
-    return copies.repartition("shard").sortWithinPartitions("shard", "turn").select("row.*")
+    return copies.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn").select("row.*")
