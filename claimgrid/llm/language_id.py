@@ -27,6 +27,8 @@ from claimgrid.llm.common import free_name, slices
 
 ORDER = 4
 UNKNOWN = "und"
+#: Bytes of text whose positions are scored at once; a position takes about 100 bytes meanwhile.
+SCORED_BYTES = 400_000
 #: An odd multiplier for the polynomial n-gram hash modulo 2**64.
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,20 +123,39 @@ class Model:
         return out
 
     def entropies(self, texts: list[str], squares: bool = False):
-        """Per text: cross-entropy by language (nats per character), the number of characters and, if asked, the mean squares."""
-        seqs = [symbols(t) for t in texts]
-        sizes = np.array([len(s) - ORDER + 1 for s in seqs], np.int64)
-        ce, square = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(sizes > 0)
-        if len(full):
-            joined = np.concatenate([seqs[i] for i in full])
-            starts = np.concatenate([[0], np.cumsum(sizes[full] + ORDER - 1)[:-1]])
-            logs = self.logs(joined)
-            # every second sum covers the positions that read over the end of one text into the next
-            cuts = np.stack([starts, starts + sizes[full]], axis=1).ravel()[:-1]
-            for sums, values in [(ce, logs)] + [(square, logs * logs)] * squares:
-                sums[full] = np.add.reduceat(values.astype(np.float64), cuts, axis=0)[::2] / sizes[full, None]
-        return -ce, sizes, square
+        """Per text: cross-entropy by language (nats per character), the number of characters and, if asked, the mean squares.
+
+        Texts are scored in parts whose positions times languages are bounded; a part begins with the context it needs.
+        """
+        room = max(10_000, 4 * SCORED_BYTES // max(4, len(self.langs)))
+        sums, square, sizes = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        parts, held = [], 0
+
+        def add():
+            """Score the parts at once; every second sum covers the positions that read over the end of one part into the next."""
+            of, seqs = zip(*parts)
+            logs = self.logs(np.concatenate(seqs)).astype(np.float64)
+            ends = np.cumsum([len(x) for x in seqs])
+            starts = ends - [len(x) for x in seqs]
+            cuts = np.stack([starts, ends - ORDER + 1], axis=1).ravel()[:-1]
+            np.add.at(sums, list(of), np.add.reduceat(logs, cuts, axis=0)[::2])
+            if squares:
+                np.add.at(square, list(of), np.add.reduceat(logs * logs, cuts, axis=0)[::2])
+            parts.clear()
+
+        for i, text in enumerate(texts):
+            seq = symbols(text)
+            sizes[i] = len(seq) - ORDER + 1
+            for at in range(0, sizes[i], room):
+                parts.append((i, seq[at : at + room + ORDER - 1]))
+                held += len(parts[-1][1])
+                if held >= room:
+                    add()
+                    held = 0
+        if parts:
+            add()
+        each = np.maximum(sizes, 1)[:, None]
+        return -sums / each, sizes, square / each
 
     def calibrate(self, texts, truth):
         """Set the temperature and, per language, mean and spreads from labelled texts."""

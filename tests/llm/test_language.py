@@ -94,3 +94,17 @@ def test_identify(spark):
     assert kept.columns == df.columns and kept.count() == 400 + 3
     assert L.keep_identified(df.limit(0)).count() == 0
     assert {r.lang_pred_ for r in L.identify(df, L.train(df.limit(0))).collect()} == {"und"}
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    data = rows(40)
+    counts = []
+    for k in WORDS:
+        t = slow_model([t for _, t, x in data if x == k])[L.ORDER]
+        counts.append((np.array(list(t), np.uint32), np.array(list(t.values()))))
+    model = L.Model(list(WORDS), counts)
+    text = "ba ko ramu grüb " * 3000
+    whole, sizes, square = model.entropies([text, "", "ölst"], squares=True)
+    monkeypatch.setattr(L, "SCORED_BYTES", 100)
+    again, sizes2, square2 = model.entropies([text, "", "ölst"], squares=True)
+    assert np.allclose(whole, again) and np.allclose(square, square2) and (sizes == sizes2).all()
