@@ -1,11 +1,15 @@
 """SimHash near-duplicate groups by deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two segments of 32 bits: of two fingerprints that differ in at most two bits, one segment
-differs in at most one. Each segment is indexed under its 32 one-wildcard variants (a bit position and the other 31 bits), so
+A 64-bit fingerprint is cut into `bits // 2 + 1` segments: of two fingerprints that differ in at most `bits` bits, one segment
+differs in at most one. Each segment is indexed under its one-wildcard variants (a bit position and the segment's other bits), so
 such a pair always meets under equal variants, and an equality of variants is verified on the whole fingerprints. Fingerprints
 are made distinct first, so copies never meet each other. Inside a bucket, sorted by fingerprint, each one is compared with its
-next `NEAR` neighbours; members that are further apart in a larger bucket are linked exactly through all two-bit deletions of the
-whole fingerprint, whose buckets hold four at most. No bucket is cut short, and none is expanded into all its pairs.
+next `NEAR` neighbours, and what is found leaves the task as one link per fingerprint, to the least one it is joined with there.
+Members of a larger bucket that the window doesn't cover are dealt again under finer variants. No bucket is cut short, and none
+is expanded into all its pairs.
+
+Two bits take two segments with 31 fixed bits a variant; four or five take three with 20 or 21, which suits up to some 10^8
+distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -21,7 +25,16 @@ from pyspark.sql import Window as W
 from claimgrid.llm.common import free_name, slices, stored
 from claimgrid.llm.components import components
 
-SEED, NEAR = 42, 128
+SEED, NEAR = 42, 2048
+
+
+def segments(bits: int) -> list[tuple[int, int]]:
+    """(offset, width) of each segment for a distance of 2, 4 or 5 bits."""
+    if bits not in (2, 4, 5):
+        raise ValueError("bits must be 2, 4 or 5")
+    n = bits // 2 + 1
+    ends = [64 * (k + 1) // n for k in range(n)]
+    return [(a, b - a) for a, b in zip([0, *ends], ends)]
 
 
 def simhash(text: bytes | None, shingle: int = 3) -> int:
@@ -43,7 +56,7 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, row_key, fp) per row, written to the shared folder. row_key: hash of id and text; fp: the fingerprint as a long."""
     ident = docs.schema[id_col]
     schema = T.StructType([T.StructField("doc_id", ident.dataType), T.StructField("row_key", T.LongType()), T.StructField("fp", T.LongType())])
@@ -51,73 +64,110 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def hashed(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                fps = np.array([simhash(t) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+                fps = np.array([simhash(t, shingle) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(fps)], ["doc_id", "row_key", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     return stored(rows.mapInArrow(hashed, schema))
 
 
-def _canonical(key: np.ndarray, diff: np.ndarray) -> np.ndarray:
-    """Whether this variant is the one under which a pair with these differing bits is reported, of all it meets under."""
-    low, high = diff & np.uint64(0xFFFFFFFF), diff >> np.uint64(32)
-    variant = key >> 31
-    bit = np.zeros(len(diff), np.int64)                 # position of the only bit of the low segment, where it matters
-    rest = low.copy()
-    for shift in (16, 8, 4, 2, 1):
-        more = rest >= np.uint64(1) << np.uint64(shift)
-        bit += np.where(more, shift, 0)
-        rest = np.where(more, rest >> np.uint64(shift), rest)
-    return variant == np.where(low == 0, 0, np.where(high == 0, 32, bit))
-
-
-def _meet(batches):
-    """Verified pairs (a, b) from rows sorted by (key, fp); (a, null) for members of a bucket that the window doesn't cover."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        new = batch.num_rows
-        key = np.concatenate([held_k, batch.column("key").to_numpy()])
-        fp = np.concatenate([held_f, batch.column("fp").to_numpy()])
-        bits, base = fp.view(np.uint64), len(key) - new
-        at, out_a, out_b = np.arange(len(key)), [], []
-        for lag in range(1, NEAR + 1):
-            at = at[at + lag < len(key)]
-            at = at[key[at] == key[at + lag]]
-            if not len(at):
-                break
-            fresh = at[at + lag >= base]
-            diff = bits[fresh] ^ bits[fresh + lag]
-            good = np.bitwise_count(diff) <= 2
-            good[good] &= _canonical(key[fresh][good], diff[good])
-            out_a.append(fp[fresh][good])
-            out_b.append(fp[fresh + lag][good])
-        else:
-            far = at[at + NEAR >= base]
-            for side in (far, far + NEAR):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(fp[side])), pa.nulls(len(np.unique(fp[side])), pa.int64())], ["a", "b"])
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-        held_k, held_f = key[-NEAR:], fp[-NEAR:]
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints in prints(fp) that differ in one or two bits: all of them, except that in a bucket
-    of over `NEAR` members some are only implied by a chain of others."""
-    seg = F.when(F.col("v") < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    rows = prints.select("fp").distinct().withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("s", seg)
-    key = F.expr("shiftleft(cast(v as bigint), 31) | shiftleft(shiftrightunsigned(s, (v & 31) + 1), v & 31) | (s & (shiftleft(1L, v & 31) - 1))")
-    met = stored(rows.select(key.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long"))
-    far = met.where("b is null").select(F.col("a").alias("fp")).distinct()
-    two = F.expr("explode(flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> struct(i, j)))))")
-    wide = far.withColumn("d", two).select("fp", "d", F.expr("fp & ~(shiftleft(1L, d.i) | shiftleft(1L, d.j))").alias("rest"))
-    chain = wide.withColumn("b", F.lead("fp").over(W.partitionBy("d", "rest").orderBy("fp"))).where("b is not null").select(F.col("fp").alias("a"), "b")
-    return met.where("b is not null").union(chain)
-
-
-def groups(prints: DataFrame) -> DataFrame:
+def _canonical(key: np.ndarray, diff: np.ndarray, cuts) -> np.ndarray:
+    """Whether this variant is the one under which a pair with these differing bits is reported, of all it meets under: the first
+    segment with one such bit or none, and that bit or the segment's first."""
+    want, open_ = np.full(len(diff), -1, np.int64), np.ones(len(diff), bool)
+    for offset, width in cuts:
+        own = (diff >> np.uint64(offset)) & np.uint64((1 << width) - 1)
+        now = open_ & (np.bitwise_count(own) <= 1)
+        want[now] = offset + np.log2(np.maximum(own[now], 1).astype(float)).astype(np.int64)
+        open_ &= ~now
+    return (key >> 32) == want
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least index each of n items is joined with, by pairs (a, b) with a < b."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def _meet(bits: int, cuts):
+    """For rows sorted by (key, fp): links (a, b, null) that join what verified pairs join, and (a, null, key) for members of a
+    bucket that the window doesn't cover. cuts: the segments, for rows keyed by variants; None for other keys."""
+
+    def run(batches):
+        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            new = batch.num_rows
+            key = np.concatenate([held_k, batch.column("key").to_numpy()])
+            fp = np.concatenate([held_f, batch.column("fp").to_numpy()])
+            prints, base = fp.view(np.uint64), len(key) - new
+            at, left, right, far = np.arange(len(key)), [], [], np.zeros(0, np.int64)
+            for lag in range(1, NEAR + 1):
+                at = at[at + lag < len(key)]
+                at = at[key[at] == key[at + lag]]
+                if not len(at):
+                    break
+                fresh = at[at + lag >= base]
+                diff = prints[fresh] ^ prints[fresh + lag]
+                good = np.bitwise_count(diff) <= bits
+                if cuts:
+                    good[good] &= _canonical(key[fresh][good], diff[good], cuts)
+                left.append(fresh[good])
+                right.append(fresh[good] + lag)
+            else:
+                far = at[at + NEAR >= base]
+            if left:
+                least = _least(len(key), np.concatenate(left), np.concatenate(right))
+                of = np.flatnonzero(least < np.arange(len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[of]), pa.array(fp[least[of]]), pa.nulls(len(of), pa.int64())], ["a", "b", "key"])
+            if len(far):
+                far = np.unique(np.concatenate([far, far + NEAR]))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.nulls(len(far), pa.int64()), pa.array(key[far])], ["a", "b", "key"])
+            held_k, held_f = key[-NEAR:], fp[-NEAR:]
+
+    return run
+
+
+def _two_wildcards(rows: DataFrame, cuts, by: list) -> DataFrame:
+    """rows(fp, ...) under each pair of bit positions inside one of the ranges `cuts`: columns t (range), d (pair), rest (its
+    other bits); by: further columns kept."""
+    pairs = [(t, i, j, ((1 << w) - 1) << o) for t, (o, w) in enumerate(cuts) for i in range(o, o + w) for j in range(i + 1, o + w)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    grid = F.broadcast(rows.sparkSession.createDataFrame([(t, i * 64 + j, signed(m & ~(1 << i) & ~(1 << j))) for t, i, j, m in pairs], "t int, d int, mask long"))
+    return rows.select("fp", *by, F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("t")).join(grid, "t").select("fp", *by, "t", "d", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+
+
+def links(prints: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b) pairs of fingerprints that join the same ones as all pairs in prints(fp) that differ in 1 to `bits` bits."""
+    cuts = segments(bits)
+    by_bit = [c for c in cuts for _ in range(c[1])]
+    lists = [F.array(*(F.lit(c[k]) for c in by_bit)) for k in (0, 1)]
+    rows = prints.select("fp").distinct().withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rows = rows.withColumns({"o": F.element_at(lists[0], F.col("v") + 1), "w": F.element_at(lists[1], F.col("v") + 1)})
+    rows = rows.withColumn("s", F.expr("shiftrightunsigned(fp, o) & (shiftleft(1L, w) - 1)")).withColumn("j", F.expr("v - o"))
+    key = F.expr("shiftleft(cast(v as bigint), 32) | shiftleft(shiftrightunsigned(s, j + 1), j) | (s & (shiftleft(1L, j) - 1))")
+    meet = lambda df, c: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(bits, c), "a long, b long, key long")
+    met = stored(meet(rows.select(key.alias("key"), "fp"), cuts))
+    far = met.where("b is null").select(F.col("a").alias("fp"), "key").distinct()
+    if bits == 2:                                       # two bits out of 64: buckets of four at most
+        wide = _two_wildcards(far.select("fp").distinct(), [(0, 64)], [])
+    else:                                               # one of the two other segments differs in two bits at most
+        far = far.withColumn("o", F.element_at(lists[0], F.shiftright("key", 32).cast("int") + 1))
+        wide = _two_wildcards(far, cuts, ["key", "o"]).where(F.element_at(F.array(*(F.lit(o) for o, _ in cuts)), F.col("t") + 1) != F.col("o"))
+    again = meet(wide.select(F.xxhash64(*(c for c in wide.columns if c not in ("fp", "o"))).alias("key"), "fp").distinct(), None)
+    return met.where("b is not null").select("a", "b").union(again.where("b is not null").select("a", "b"))
+
+
+def groups(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(doc_id, row_key, fp, component_id): component_id is the smallest id reachable over links, the row's own included."""
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = components(links(prints)).select(F.col("u").alias("fp"), F.col("v").alias("to"))
+    star = components(links(prints, bits)).select(F.col("u").alias("fp"), F.col("v").alias("to"))
     nodes = own.join(star, "fp", "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
     of_root = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(nodes.join(of_root, "root").select("fp", "component_id"), "fp")
@@ -134,10 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
     """The rows of docs, with all their columns, of one document in each group: that with the smallest id (null ids last, then by
     a hash of the row's id and text). Rows that agree in id and text count as one."""
-    found = groups(fingerprints(docs, id_col, text_col))
+    found = groups(fingerprints(docs, id_col, text_col, shingle), bits)
     first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("k"))
     orphans = found.where("component_id is null").groupBy("fp").agg(F.min("row_key").alias("k")).select("k")
     keep = first.where("component_id is not null").select("k").union(orphans)

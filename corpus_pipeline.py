@@ -20,8 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Two-word shingles and five bits: copies with a few edited words, about 0.8 alike on five-word shingles, lie within five bits of
+    each other far more often than on longer shingles, and unrelated texts don't.
+    """
+    return simhash.keep_one(docs, shingle=2, bits=5)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 
 from claimgrid.llm import simhash as S
@@ -23,14 +24,15 @@ def test_fingerprints_match_brute_force():
     assert S.simhash(None) == 0
 
 
-def test_groups_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(S, "NEAR", 3)                  # so that the exact way for large buckets is taken as well
+@pytest.mark.parametrize("bits,near", [(2, 3), (2, 2048), (5, 2048), (5, 40)])      # small windows: the finer variants take part
+def test_groups_match_brute_force(spark, monkeypatch, bits, near):
+    monkeypatch.setattr(S, "NEAR", near)
     rnd = random.Random(7)
     base = [rnd.getrandbits(64) for _ in range(25)]
     fps = {}
     for i in range(260):
         f = rnd.choice(base) if rnd.random() < 0.9 else rnd.getrandbits(64)
-        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3, 4])):
+        for _ in range(rnd.choice([0, 0, 1, 1, 2, 3, 4, 5, 6])):
             f ^= 1 << rnd.randrange(64)
         fps[i] = f
     for i, bit in enumerate(range(8)):
@@ -38,8 +40,8 @@ def test_groups_match_brute_force(spark, monkeypatch):
     fps[400] = 0
     signed = lambda f: f - (1 << 64) if f >> 63 else f
     df = spark.createDataFrame([(i, i, signed(f)) for i, f in fps.items()], "doc_id long, row_key long, fp long")
-    got = {r.doc_id: r.component_id for r in S.groups(df).collect()}
-    assert got == groups(fps)
+    got = {r.doc_id: r.component_id for r in S.groups(df, bits).collect()}
+    assert got == groups(fps, bits)
 
 
 def test_odd_rows(spark):

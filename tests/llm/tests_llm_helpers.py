@@ -1,5 +1,5 @@
-def groups(fps):
-    """Brute-force groups of fingerprints that differ in two bits or fewer: {id: smallest id of its group}."""
+def groups(fps, bits=2):
+    """Brute-force groups of fingerprints that differ in `bits` bits or fewer: {id: smallest id of its group}."""
     parent = {i: i for i in fps}
 
     def root(i):
@@ -10,7 +10,7 @@ def groups(fps):
     ids = sorted(fps)
     for k, x in enumerate(ids):
         for y in ids[k + 1:]:
-            if (fps[x] ^ fps[y]).bit_count() <= 2:
+            if (fps[x] ^ fps[y]).bit_count() <= bits:
                 a, b = sorted((root(x), root(y)))
                 parent[b] = a
     return {i: root(i) for i in ids}
