@@ -83,7 +83,7 @@ def _canonical(key: np.ndarray, diff: np.ndarray, cuts) -> np.ndarray:
     return (key >> 32) == want
 
 
-def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least index each of n items is joined with, by pairs (a, b) with a < b."""
     least = np.arange(n)
     while True:
@@ -123,7 +123,7 @@ def _meet(bits: int, cuts):
             else:
                 far = at[at + NEAR >= base]
             if left:
-                least = _least(len(key), np.concatenate(left), np.concatenate(right))
+                least = least_joined(len(key), np.concatenate(left), np.concatenate(right))
                 of = np.flatnonzero(least < np.arange(len(key)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[of]), pa.array(fp[least[of]]), pa.nulls(len(of), pa.int64())], ["a", "b", "key"])
             if len(far):

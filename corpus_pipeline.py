@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimgrid.llm import decontaminate, language_id, mixing, simhash, token_store
+from claimgrid.llm import decontaminate, language_id, mixing, near_copies, token_store
 from claimgrid.llm.common import stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,12 +20,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
+    """Of each group of near copies the document with the smallest id stays: texts at least 0.8 alike on five-word shingles, and
+    what such pairs join.
 
-    Two-word shingles and five bits: copies with a few edited words, about 0.8 alike on five-word shingles, lie within five bits of
-    each other far more often than on longer shingles, and unrelated texts don't.
+    SimHash on two-word shingles at five bits, with MinHash bands beside it, only proposes; the exact likeness decides.
     """
-    return simhash.keep_one(docs, shingle=2, bits=5)
+    return near_copies.keep_one(docs, shingle=2, bits=5)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
