@@ -5,8 +5,9 @@ differs in at most one. Each segment is indexed under its one-wildcard variants
 such a pair always meets under equal variants, and an equality of variants is verified on the whole fingerprints. Fingerprints
 are made distinct first, so copies never meet each other. Inside a bucket, sorted by fingerprint, each one is compared with its
 next `NEAR` neighbours, and what is found leaves the task as one link per fingerprint, to the least one it is joined with there.
-Members of a larger bucket that the window doesn't cover are dealt again under finer variants. No bucket is cut short, and none
-is expanded into all its pairs.
+Members of a larger bucket that the window doesn't cover are dealt again under finer variants; what the window doesn't cover
+there either is dealt into blocks, and each two blocks of a bucket are compared wholly in one task. No bucket is cut short, and
+none is expanded into all its pairs.
 
 Two bits take two segments with 31 fixed bits a variant; four or five take three with 20 or 21, which suits up to some 10^8
 distinct fingerprints.
@@ -96,9 +97,10 @@ def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return least
 
 
-def _meet(bits: int, cuts):
+def _meet(bits: int, cuts, near: int | None):
     """For rows sorted by (key, fp): links (a, b, null) that join what verified pairs join, and (a, null, key) for members of a
-    bucket that the window doesn't cover. cuts: the segments, for rows keyed by variants; None for other keys."""
+    bucket that the window doesn't cover. cuts: the segments, for rows keyed by variants; None for other keys.
+    near: the window; None for all rows of a key."""
 
     def run(batches):
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -108,7 +110,7 @@ def _meet(bits: int, cuts):
             fp = np.concatenate([held_f, batch.column("fp").to_numpy()])
             prints, base = fp.view(np.uint64), len(key) - new
             at, left, right, far = np.arange(len(key)), [], [], np.zeros(0, np.int64)
-            for lag in range(1, NEAR + 1):
+            for lag in range(1, (near or len(key)) + 1):
                 at = at[at + lag < len(key)]
                 at = at[key[at] == key[at + lag]]
                 if not len(at):
@@ -121,15 +123,16 @@ def _meet(bits: int, cuts):
                 left.append(fresh[good])
                 right.append(fresh[good] + lag)
             else:
-                far = at[at + NEAR >= base]
+                far = at[at + near >= base] if near else far
             if left:
                 least = least_joined(len(key), np.concatenate(left), np.concatenate(right))
                 of = np.flatnonzero(least < np.arange(len(key)))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[of]), pa.array(fp[least[of]]), pa.nulls(len(of), pa.int64())], ["a", "b", "key"])
             if len(far):
-                far = np.unique(np.concatenate([far, far + NEAR]))
+                far = np.unique(np.concatenate([far, far + near]))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.nulls(len(far), pa.int64()), pa.array(key[far])], ["a", "b", "key"])
-            held_k, held_f = key[-NEAR:], fp[-NEAR:]
+            held = near or int((key == key[-1:]).sum())
+            held_k, held_f = key[-held:], fp[-held:]
 
     return run
 
@@ -143,6 +146,13 @@ def _two_wildcards(rows: DataFrame, cuts, by: list) -> DataFrame:
     return rows.select("fp", *by, F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("t")).join(grid, "t").select("fp", *by, "t", "d", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(key, fp) for members(key, fp) of buckets: each bucket's members in blocks of about NEAR, under a key for each two blocks."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / NEAR).cast("int").alias("n"))
+    dealt = members.join(sizes, "key").withColumn("own", F.expr("cast(pmod(xxhash64(fp), n) as int)")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+
+
 def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     """(a, b) pairs of fingerprints that join the same ones as all pairs in prints(fp) that differ in 1 to `bits` bits."""
     cuts = segments(bits)
@@ -152,16 +162,17 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     rows = rows.withColumns({"o": F.element_at(lists[0], F.col("v") + 1), "w": F.element_at(lists[1], F.col("v") + 1)})
     rows = rows.withColumn("s", F.expr("shiftrightunsigned(fp, o) & (shiftleft(1L, w) - 1)")).withColumn("j", F.expr("v - o"))
     key = F.expr("shiftleft(cast(v as bigint), 32) | shiftleft(shiftrightunsigned(s, j + 1), j) | (s & (shiftleft(1L, j) - 1))")
-    meet = lambda df, c: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(bits, c), "a long, b long, key long")
-    met = stored(meet(rows.select(key.alias("key"), "fp"), cuts))
+    meet = lambda df, c, near: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet(bits, c, near), "a long, b long, key long")
+    met = stored(meet(rows.select(key.alias("key"), "fp"), cuts, NEAR))
     far = met.where("b is null").select(F.col("a").alias("fp"), "key").distinct()
     if bits == 2:                                       # two bits out of 64: buckets of four at most
         wide = _two_wildcards(far.select("fp").distinct(), [(0, 64)], [])
     else:                                               # one of the two other segments differs in two bits at most
         far = far.withColumn("o", F.element_at(lists[0], F.shiftright("key", 32).cast("int") + 1))
         wide = _two_wildcards(far, cuts, ["key", "o"]).where(F.element_at(F.array(*(F.lit(o) for o, _ in cuts)), F.col("t") + 1) != F.col("o"))
-    again = meet(wide.select(F.xxhash64(*(c for c in wide.columns if c not in ("fp", "o"))).alias("key"), "fp").distinct(), None)
-    return met.where("b is not null").select("a", "b").union(again.where("b is not null").select("a", "b"))
+    again = stored(meet(wide.select(F.xxhash64(*(c for c in wide.columns if c not in ("fp", "o"))).alias("key"), "fp").distinct(), None, NEAR))
+    last = meet(_blocks(again.where("b is null").select("key", F.col("a").alias("fp")).distinct()), None, None)
+    return met.union(again).union(last).where("b is not null").select("a", "b")
 
 
 def groups(prints: DataFrame, bits: int = 2) -> DataFrame:

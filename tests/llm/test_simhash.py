@@ -54,3 +54,15 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(((r.doc_id is None, r.doc_id or 0) for r in kept.collect())) == [(False, 1), (False, 3), (False, 6), (True, 0)]
     assert S.near_duplicates(df.limit(0)).count() == 0 and S.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("near", [4, 16])
+def test_second_round_buckets_overflow(spark, monkeypatch, near):
+    """Equal but for low bits of the third segment, and one print whose only neighbours are far off in every bucket they share."""
+    monkeypatch.setattr(S, "NEAR", near)
+    low = [1 << 43 | k << 44 for k in range(64)]
+    fps = {i: f | 0b1000 << 60 for i, f in enumerate(low)} | {64: low[0] | 0b0111 << 60}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(i, i, signed(f)) for i, f in fps.items()], "doc_id long, row_key long, fp long")
+    got = {r.doc_id: r.component_id for r in S.groups(df, 5).collect()}
+    assert got == groups(fps, 5) and got[64] == 0
