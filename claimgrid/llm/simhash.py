@@ -176,12 +176,13 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def groups(prints: DataFrame, bits: int = 2) -> DataFrame:
-    """(doc_id, row_key, fp, component_id): component_id is the smallest id reachable over links, the row's own included."""
+    """(doc_id, row_key, fp, root, component_id): root is the component's own key, its least fingerprint; component_id is the
+    smallest id reachable over links, the row's own included, which several components share where an id repeats."""
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     star = components(links(prints, bits)).select(F.col("u").alias("fp"), F.col("v").alias("to"))
     nodes = own.join(star, "fp", "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
     of_root = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(nodes.join(of_root, "root").select("fp", "component_id"), "fp")
+    return prints.join(nodes.join(of_root, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,8 +200,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """The rows of docs, with all their columns, of one document in each group: that with the smallest id (null ids last, then by
     a hash of the row's id and text). Rows that agree in id and text count as one."""
     found = groups(fingerprints(docs, id_col, text_col, shingle), bits)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("k"))
-    orphans = found.where("component_id is null").groupBy("fp").agg(F.min("row_key").alias("k")).select("k")
-    keep = first.where("component_id is not null").select("k").union(orphans)
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("k"))
     key = free_name(docs, "row_key")
-    return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(keep.withColumnRenamed("k", key), key, "left_semi").dropDuplicates([key]).drop(key)
+    return docs.withColumn(key, F.xxhash64(id_col, text_col)).join(keep.select(F.col("k").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)

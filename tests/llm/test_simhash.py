@@ -66,3 +66,14 @@ def test_second_round_buckets_overflow(spark, monkeypatch, near):
     df = spark.createDataFrame([(i, i, signed(f)) for i, f in fps.items()], "doc_id long, row_key long, fp long")
     got = {r.doc_id: r.component_id for r in S.groups(df, 5).collect()}
     assert got == groups(fps, 5) and got[64] == 0
+
+
+def test_groups_are_not_told_apart_by_ids(spark):
+    """One id with two unrelated texts, and near copies without ids: one row of each group stays."""
+    words = [f"word{k}" for k in range(400)]
+    copy = " ".join(words[:-1] + ["other"])
+    assert 0 < (S.simhash(" ".join(words).encode(), 2) ^ S.simhash(copy.encode(), 2)).bit_count() <= 5
+    rows = [(7, "one two three four"), (7, "nothing of this stands there"), (None, " ".join(words)), (None, copy)]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2, bits=5).collect()
+    assert sorted(r.text for r in kept if r.doc_id == 7) == sorted(t for i, t in rows if i == 7)
+    assert sum(r.doc_id is None for r in kept) == 1
