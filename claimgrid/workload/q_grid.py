@@ -106,12 +106,18 @@ def _(w):
     return f.select("file", "sheet", *b("row", "col"), F.explode(S.embedded_literals(F.col("formula"))).alias("literal"))
 
 
+def on_path(w):
+    """Columns whose formulas the requested payment is made of, by the expansion tree of each file."""
+    from claimgrid.workload.q_lineage import tree
+    return tree(w).filter("kind = 'Công thức'").select("file", "sheet", "col").distinct()
+
+
 PATHCOL = "(sheet = 'Tong hop' OR (sheet = 'Chi tiet' AND col IN (6, 10)) OR (sheet = 'Dien giai' AND col = 4))"
 
 
 @query("A-16_literal_census", f"""WITH {LITS} SELECT file, literal, CASE literal WHEN '1.08' THEN 'Thuế suất?' WHEN '5%' THEN 'Tỷ lệ %' WHEN '0.5' THEN 'Tỷ lệ %' ELSE 'Hằng số khác (kích thước, hệ số kỹ thuật...)' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n_path FROM lt WHERE literal IS NOT NULL GROUP BY file, literal""")
 def _(w):
-    path = w.cells.filter(PATHCOL).select("file", "sheet", "col").distinct()
+    path = on_path(w)
     return grid.literal_census(w.cells, path).select("file", "literal", "kind", "n", "n_path")
 
 
@@ -219,7 +225,7 @@ def _(w):
 
 @query("C-K6_literal_findings", f"""WITH {LITS} SELECT file || '!' || literal AS entity, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n FROM lt WHERE literal IN ('1.08', '5%', '0.5') GROUP BY file, literal HAVING count(*) FILTER ({PATHCOL}) > 0""")
 def _(w):
-    path = w.cells.filter(PATHCOL).select("file", "sheet", "col").distinct()
+    path = on_path(w)
     return grid.k6_findings(w.cells, path).select("entity", "n")
 
 

@@ -27,3 +27,28 @@ def test_tree_reaches_the_deepest_input(spark):
     assert [(r.row, r.level) for r in tree if r.kind == "Nhập tay"] == [(16, 15)]
     cyclic = lineage.trace_tree(spark.createDataFrame(chain(2, "=B1"), CELLS), target).collect()
     assert sum(r.kind == "Đã phân rã" for r in cyclic) == 1 and len(cyclic) == 3
+
+
+def test_literals_count_on_the_columns_the_tree_reaches(spark, monkeypatch):
+    """A payment made of columns that the fixed list lacks, beside a listed sheet that it does not reach."""
+    import re
+    from types import SimpleNamespace
+
+    from claimgrid.workload import all_queries, registry
+
+    formulas = {("S", 1, 2): "=B2*1.08", ("S", 2, 2): "=C3*0.5", ("S", 3, 3): None, ("S", 4, 4): "=C3*0.5", ("Tong hop", 1, 2): "=C1*1.08"}
+    rows = [("f", s, 0, "visible", r, c, f, 5.0, None) for (s, r, c), f in formulas.items()]
+    cells = spark.createDataFrame(rows, CELLS)
+    target = spark.createDataFrame([("f", "S", 1, 2)], "file string, sheet string, row int, col int")
+    monkeypatch.setattr(lineage, "auto_target", lambda *_: target)
+    monkeypatch.setattr(registry, "World", lambda *_: SimpleNamespace(cells=cells, memo=lambda _, make: make()))
+    reached, todo = set(), [("S", 1, 2)]
+    while todo:                                          # brute-force walk; columns of its formulas
+        at = todo.pop()
+        if formulas.get(at):
+            reached.add((at[0], at[2]))
+            todo += [("S", int(r), ord(c) - 64) for c, r in re.findall(r"([A-Z])(\d+)", formulas[at])]
+    want = {x: sum(f is not None and f.endswith("*" + x) and (s, c) in reached for (s, _, c), f in formulas.items()) for x in ("1.08", "0.5")}
+    found = all_queries()
+    assert {r.literal: r.n_path for r in found["A-16_literal_census"](spark, "").collect()} == want == {"1.08": 1, "0.5": 1}
+    assert {r.entity: r.n for r in found["C-K6_literal_findings"](spark, "").collect()} == {"f!1.08": 1, "f!0.5": 1}
