@@ -3,11 +3,18 @@
 A page is cut into blocks at block-level tags. A block has its word count, its link density, those of its neighbours, whether it
 stands in an element whose tag, class, id or role marks page furniture (menus, notices, adverts, comments and so on), whether it
 stands in the article or main element, and whether it is a heading. A decision tree grown on the labelled table below keeps or
-drops it. Kept blocks are joined in page order; none is shortened.
+drops it. Kept blocks are joined in page order; none is shortened. Inline elements that are marked as furniture go from their
+block (not in preformatted text or code); a block that has no other text is furniture as a whole.
+
+End tags that pages leave out are read as browsers do: a paragraph ends at the next block, an item at the next item of its list,
+a link or button at the next one. An inline element, button, select, object, svg or canvas without any end tag reaches to
+the next block-level tag, one that closes itself holds nothing. Only an unclosed script, style or comment takes the rest of the page.
 """
 
 from __future__ import annotations
 
+import bisect
+import collections
 import html
 import re
 from functools import lru_cache
@@ -20,15 +27,20 @@ from pyspark.sql import types as T
 from claimgrid.llm.common import slices
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements that are followed by their end tag, so that what they mark can be told.
-HOLDERS = frozenset("article aside blockquote body center dd details dialog div dl fieldset figure footer form header main menu nav ol section table td ul".split())
+#: Block elements that hold others; the other blocks (p, headings, hr and so on) end at the next block-level tag.
+HOLDERS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup li main menu nav ol pre section summary table tbody td tfoot th thead tr ul".split())
+#: Holders that end at the next one of their kind, up to the element around them.
+KINDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Elements whose content is no markup, and elements that show no text of the page.
+RAW = frozenset("script style noscript template iframe textarea title".split())
+UNSEEN = frozenset("button canvas object select svg".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 FURNITURE_TAGS = frozenset("aside dialog fieldset footer form menu nav".split())
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 FURNITURE = frozenset("ad ads adsense advert advertisement advertisements advertising adverts alert aside banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disclaimer disqus foot footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split())
 UNLESS = frozenset("with has no without".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)
-|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|button|object|canvas|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)
 |<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attr>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)
 |<[!?/][^>]*(?:>|\Z)""", re.S | re.I | re.X)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -164,59 +176,139 @@ def _marked(tag: str, attributes: str) -> bool:
     return tag not in ("body", "main") and bool(words & FURNITURE) and not words & UNLESS
 
 
+def tokens(page: str) -> list:
+    """The page as pieces of text (start, end) and tags (name, whether it is an end tag, attributes), in order."""
+    out, at, closed = [], 0, {}
+    while True:
+        m = TOKEN.search(page, at)
+        stop = m.start() if m else len(page)
+        if stop > at:
+            out.append((at, stop))
+        if not m:
+            return out
+        at = m.end()
+        if not m["tag"]:
+            continue
+        tag = m["tag"].lower()
+        if tag not in RAW:
+            out.append((tag, bool(m["end"]), m["attr"]))
+        elif not m["end"] and not m["attr"].endswith("/"):
+            if closed.get(tag, at) < len(page):                # else no end tag is left
+                found = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                closed[tag] = found.end() if found else len(page)
+                at = found.end() if found else len(page) if tag in ("script", "style") else at
+
+
+class Spans:
+    """Where the inline elements among the tokens of a page end."""
+
+    def __init__(self, parts: list):
+        self.parts, self.ends, self.blocks = parts, {}, None
+
+    def _next_block(self, at: int) -> int:
+        if self.blocks is None:
+            self.blocks = [i for i, p in enumerate(self.parts) if len(p) == 3 and p[0] in BLOCKS]
+        k = bisect.bisect_right(self.blocks, at)
+        return self.blocks[k] if k < len(self.blocks) else len(self.parts)
+
+    def end(self, at: int, tag: str, single: bool = False) -> int:
+        """The place of the end tag of the element that starts at `at`, else of the next block-level tag. single: the next start
+        of such an element ends it too."""
+        if tag not in self.ends:
+            open_, found = [], {}
+            for i, p in enumerate(self.parts):
+                if len(p) == 3 and p[0] == tag:
+                    if open_ and (p[1] or single):
+                        found[open_.pop()] = i if p[1] else min(i, self._next_block(open_[-1]) if open_ else i)
+                    if not p[1]:
+                        open_.append(i)
+            self.ends[tag] = found
+        return self.ends[tag].get(at, self._next_block(at))
+
+
 def page_blocks(page: str):
     """(texts, features) of the blocks of a page, in order."""
     texts, rows = [], []
-    held, linked, links, heading = [], [], 0, False
-    stack, furniture, article, main = [], 0, 0, 0
+    held, linked, apart, heading, marked = [], [], [], False, False
+    stack, open_, furniture, article, main = [], collections.Counter(), 0, 0, 0
+    unseen = linked_to = apart_to = marked_to = code_to = -1
+    parts = tokens(page)
+    spans = Spans(parts)
 
     def flush():
-        nonlocal heading
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                words = text.count(" ") + 1
-                texts.append(text)
-                rows.append((words, min(1.0, len("".join(linked).split()) / words), furniture > 0, article > 0, main > 0, heading))
-        held.clear()
-        linked.clear()
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-            if links:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        nonlocal marked
+        own = held
+        text = " ".join(html.unescape("".join(held)).split())
+        if not text and apart:
+            own, marked = apart, True
+            text = " ".join(html.unescape("".join(apart)).split())
+        if text:
+            words = text.count(" ") + 1
+            texts.append(text)
+            dense = min(1.0, len("".join(linked).split()) / words) if own is held else 1.0
+            rows.append((words, dense, furniture > 0 or marked, article > 0, main > 0, heading))
+        for c in (held, linked, apart):
+            c.clear()
+        marked = False
+
+    def pop():
+        nonlocal furniture, article, main
+        last, kind = stack.pop()
+        open_[last] -= 1
+        furniture, article, main = furniture - kind[0], article - kind[1], main - kind[2]
+        return last
+
+    def close(tags, limits):
+        """Close the innermost open element of `tags`, unless one of `limits` lies above it."""
+        if any(open_[t] for t in tags):
+            for last, _ in reversed(stack):
+                if last in tags:
+                    while pop() not in tags:
+                        pass
+                    return
+                if last in limits:
+                    return
+
+    for at, part in enumerate(parts):
+        if at < unseen:
+            continue
+        if len(part) == 2 or part[0] == "br":
+            piece = page[part[0] : part[1]] if len(part) == 2 else " "
+            marked = marked or at < marked_to and not piece.isspace()
+            (apart if at < apart_to else held).append(piece)
+            if at < linked_to and at >= apart_to:
+                linked.append(piece)
             continue
-        tag, end = tag.lower(), m["end"]
-        if tag == "a":
-            links = 0 if end else 1
-        elif tag == "br":
-            held.append(" ")
-        elif tag in BLOCKS:
+        tag, end, attr = part
+        if tag not in BLOCKS:
+            if end or tag in VOID:
+                continue
+            if tag in UNSEEN:
+                unseen = at if attr.endswith("/") else spans.end(at, tag, tag in ("button", "select"))
+                continue
+            if tag == "a":
+                linked_to = spans.end(at, tag, True)
+            elif tag in ("code", "samp", "kbd"):
+                code_to = max(code_to, spans.end(at, tag))
+            if attr and at >= code_to and not open_["pre"] and _marked(tag, attr):
+                apart_to = max(apart_to, spans.end(at, tag, tag == "a"))
+        else:
             flush()
-            links = 0
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = not end
-            if tag in HOLDERS:
-                if not end:
-                    bad = _marked(tag, m["attr"]) or tag == "header" and not article
-                    kind = (bad, tag == "article" and not bad, not bad and (tag == "main" or "main" in m["attr"] and re.search(r"role\s*=\s*[\"']?main\b", m["attr"]) is not None))
-                    stack.append((tag, kind))
-                    furniture, article, main = furniture + kind[0], article + kind[1], main + kind[2]
-                elif any(t == tag for t, _ in stack):
-                    while True:
-                        last, kind = stack.pop()
-                        furniture, article, main = furniture - kind[0], article - kind[1], main - kind[2]
-                        if last == tag:
-                            break
-    if at < len(page):
-        held.append(page[at:])
-        if links:
-            linked.append(page[at:])
+            if tag not in HOLDERS:
+                if not end and attr and _marked(tag, attr):
+                    marked_to = max(marked_to, spans.end(at, tag) if heading else spans._next_block(at))
+            elif end:
+                close(*((({tag}), KINDS[tag][1]) if tag in KINDS else ({tag}, ())))
+            else:
+                if tag in KINDS:
+                    close(*KINDS[tag])
+                bad = _marked(tag, attr) or tag == "header" and not article
+                kind = (bad, tag == "article" and not bad, not bad and (tag == "main" or "main" in attr and re.search(r"role\s*=\s*[\"']?main\b", attr) is not None))
+                stack.append((tag, kind))
+                open_[tag] += 1
+                furniture, article, main = furniture + kind[0], article + kind[1], main + kind[2]
     flush()
     if not rows:
         return [], np.zeros((0, 9))
