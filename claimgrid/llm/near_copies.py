@@ -3,9 +3,11 @@
 Texts are compared as words (A-Z lower-cased, split at ASCII white space); equal word sequences are one text. The likeness of two
 texts is the share of common shingles among all their distinct shingles of `words` words (all words as one where there are fewer).
 Proposed are the SimHash links and pairs that agree in all `ROWS` minima of one of `BANDS` bands: a pair that is 0.8 alike is
-missed by all bands with a chance of 5 in 10^6. What proposals join is compared wholly, all its pairs by exact shingle sets: its
-texts are dealt into blocks, a task compares two blocks and gives one link per text. Only joined texts reach this step, but
-in a group of n of them the comparisons grow as n * n, and the rows dealt as n * n / `BLOCK_ROWS`.
+missed by all bands with a chance of 5 in 10^6. What proposals join is decided by exact shingle sets. The texts of a group are
+dealt into blocks, and a task compares two blocks and gives one link per text. First each block is compared with itself and
+with the group's first block, which costs a group of n texts n comparisons times the size of a block and joins nearly all of a
+group of copies. Then the texts outside the group's largest class so far are compared with all texts of the group, so every pair
+is decided: it was compared, or both ends are in one class already. A group of n texts of which m stay outside costs n * m more.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from claimgrid.llm.simhash import SEED, least_joined, links, simhash
 
 WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 40, 6
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 _draw = np.random.default_rng(SEED)
 XOR = _draw.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -141,17 +143,42 @@ def _compare(alike: float):
     def run(batches):
         at, tids, sets = None, [], []
         for batch in batches:
-            for key, tid, own in zip(batch.column("key").to_pylist(), batch.column("tid").to_pylist(), batch.column("set").to_pylist()):
-                if key != at:
-                    yield from found(tids, sets)
-                    at, tids, sets = key, [], []
-                tids.append(tid)
-                sets.append(own)
+            for part in slices(batch, "set"):
+                for key, tid, own in zip(*(part.column(c).to_pylist() for c in ("key", "tid", "set"))):
+                    if key != at:
+                        yield from found(tids, sets)
+                        at, tids, sets = key, [], []
+                    tids.append(tid)
+                    sets.append(own)
         yield from found(tids, sets)
 
     return run
 
 
+def _blocks(sets: DataFrame, name: str) -> DataFrame:
+    """(root, name): the number of blocks that each group of sets(root, set) is dealt into."""
+    return sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias(name))
+
+
+def joined(sets: DataFrame, alike: float) -> DataFrame:
+    """(u, v): of sets(root, tid, set), what pairs of one root at least `alike` alike join, with the least of it."""
+    place = lambda n: F.expr(f"cast(pmod(xxhash64(tid), {n}) as int)")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    compare = lambda df, *key: df.select(F.xxhash64("root", *key).alias("key"), "tid", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(alike), "a long, b long")
+    dealt = sets.join(_blocks(sets, "n"), "root").withColumn("own", place("n"))
+    first = dealt.where("own = 0").withColumn("block", each("n")).unionByName(dealt.where("own > 0").withColumn("block", F.col("own")))
+    links = stored(compare(first, "block"))
+    known = stored(components(links))
+    classes = dealt.where("n > 1").select("root", "tid").join(known.select(F.col("u").alias("tid"), F.col("v").alias("class")), "tid", "left").withColumn("class", F.coalesce("class", "tid"))
+    largest = classes.groupBy("root", "class").agg(F.count("*").alias("m")).groupBy("root").agg(F.max(F.struct("m", "class"))["class"].alias("most"))
+    rest = classes.join(largest, "root").where("class <> most").select("tid")
+    outside = stored(sets.join(rest, "tid"))
+    wide = dealt.where("n > 1").join(_blocks(outside, "k"), "root").withColumn("far", each("k"))
+    out = outside.join(_blocks(outside, "k"), "root").join(_blocks(sets, "n"), "root").withColumn("far", place("k")).withColumn("own", each("n"))
+    more = compare(wide.select("root", "own", "far", "tid", "set").unionByName(out.select("root", "own", "far", "tid", "set")), "own", "far")
+    return components(links.union(more))
+
+
 def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, bits: int, words: int, alike: float) -> DataFrame:
     """(tid, root) of the texts that exact likeness joins with a text of a smaller key, the least of their group."""
     some = stored(proposed(rows, bits))
@@ -165,11 +192,7 @@ def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, bits:
 
     texts = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text")).join(chosen, "row_key", "left_semi")
     sets = stored(texts.select("text").mapInArrow(sets_of, "tid long, set binary").dropDuplicates(["tid"]).join(some, "tid"))
-    sizes = sets.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("set")) / BLOCK_BYTES)).cast("int").alias("n"))
-    dealt = sets.join(sizes, "root").withColumn("own", F.expr("cast(pmod(xxhash64(tid), n) as int)")).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
-    key = F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other"))
-    pairs = dealt.select(key.alias("key"), "tid", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(alike), "a long, b long")
-    return components(pairs).select(F.col("u").alias("tid"), F.col("v").alias("root"))
+    return joined(sets, alike).select(F.col("u").alias("tid"), F.col("v").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2, words: int = WORDS, alike: float = ALIKE) -> DataFrame:

@@ -85,16 +85,25 @@ def _canonical(key: np.ndarray, diff: np.ndarray, cuts) -> np.ndarray:
 
 
 def least_joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index each of n items is joined with, by pairs (a, b) with a < b."""
-    least = np.arange(n)
+    """The least index each of n items is joined with, by pairs (a, b)."""
+    return joined_further(np.arange(n), a, b)
+
+
+def joined_further(least: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`least` of items, each with the least one it is joined with so far, after pairs (a, b) join more of them."""
+    a, b = least[a], least[b]
+    apart = a != b
+    if not apart.any():
+        return least
+    a, b, root = a[apart], b[apart], np.arange(len(least))
     while True:
-        before = least.copy()
-        low = np.minimum(least[a], least[b])
-        np.minimum.at(least, a, low)
-        np.minimum.at(least, b, low)
-        least = least[least]
-        if (least == before).all():
-            return least
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        root = root[root]
+        if (root == before).all():
+            return root[least]
 
 
 def _meet(bits: int, cuts, near: int | None):
@@ -109,7 +118,7 @@ def _meet(bits: int, cuts, near: int | None):
             key = np.concatenate([held_k, batch.column("key").to_numpy()])
             fp = np.concatenate([held_f, batch.column("fp").to_numpy()])
             prints, base = fp.view(np.uint64), len(key) - new
-            at, left, right, far = np.arange(len(key)), [], [], np.zeros(0, np.int64)
+            at, least, far = np.arange(len(key)), np.arange(len(key)), np.zeros(0, np.int64)
             for lag in range(1, (near or len(key)) + 1):
                 at = at[at + lag < len(key)]
                 at = at[key[at] == key[at + lag]]
@@ -120,13 +129,11 @@ def _meet(bits: int, cuts, near: int | None):
                 good = np.bitwise_count(diff) <= bits
                 if cuts:
                     good[good] &= _canonical(key[fresh][good], diff[good], cuts)
-                left.append(fresh[good])
-                right.append(fresh[good] + lag)
+                least = joined_further(least, fresh[good], fresh[good] + lag)      # pairs are not kept
             else:
                 far = at[at + near >= base] if near else far
-            if left:
-                least = least_joined(len(key), np.concatenate(left), np.concatenate(right))
-                of = np.flatnonzero(least < np.arange(len(key)))
+            of = np.flatnonzero(least < np.arange(len(key)))
+            if len(of):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[of]), pa.array(fp[least[of]]), pa.nulls(len(of), pa.int64())], ["a", "b", "key"])
             if len(far):
                 far = np.unique(np.concatenate([far, far + near]))

@@ -58,6 +58,31 @@ def test_blocks_match_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in N.keep_one(df).collect()) == brute_kept(docs)
 
 
+def test_large_groups_with_texts_outside_the_largest_class(spark, monkeypatch):
+    """Proposals join everything; classes lie apart, meet only through far blocks, or hold one text."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 7)
+    rnd, docs = random.Random(8), planted(8, 14)
+    chain = [f"c{k}" for k in range(60)]
+    for k in range(40):                                 # neighbours are alike, the ends are not
+        docs[5000 + k] = " ".join(chain)
+        chain[rnd.randrange(60)] = f"d{k}"
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs.items() if t.strip()], "tid long, text string, root long")
+    sets = df.rdd.map(lambda r: (r.root, r.tid, bytearray(N.shingle_set(r.text.encode()).tobytes()))).toDF("root long, tid long, set binary")
+    found = {r.u: r.v for r in N.joined(sets, 0.8).collect()}
+    texts = {i: t for i, t in docs.items() if t.strip()}
+    assert sorted({found.get(i, i) for i in texts}) == brute_kept(texts)
+
+
+def test_joined_further():
+    from claimgrid.llm.simhash import joined_further, least_joined
+    rnd = random.Random(1)
+    pairs = [(rnd.randrange(50), rnd.randrange(50)) for _ in range(40)]
+    least = N.np.arange(50)
+    for k in range(0, 40, 5):
+        least = joined_further(least, *(N.np.array(c) for c in zip(*pairs[k : k + 5])))
+    assert (least == least_joined(50, *(N.np.array(c) for c in zip(*pairs)))).all()
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", "a"), (7, "one two three four", "a"), (7, "one two three four", "a"), (None, "solo words here now", "b"), (None, "other words stand there", "b")]
     rows += [(7, "a text that has nothing in common with it", "c")]

@@ -2,9 +2,9 @@ import collections
 
 import corpus_pipeline as P
 
-from claimgrid.llm import decontaminate, simhash
+from claimgrid.llm import decontaminate
 from claimgrid.llm.common import table
-from tests_llm_helpers import groups
+from test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,9 +19,8 @@ def test_stages(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = {n: [r.doc_id for r in rows] for n, rows in out.items()}
     assert len(ids["language_id"]) >= 0.97 * len(start)
-    # one document of each brute-force group stays
-    prints = {i: simhash.simhash(start[i].encode(), 2) for i in ids["language_id"]}
-    assert sorted(ids["near_dedup"]) == sorted(set(groups(prints, 5).values()))
+    # one document of each group that exact likeness of 0.8 joins stays (groups within five bits were the stage's rule before)
+    assert sorted(ids["near_dedup"]) == brute_kept({i: start[i] for i in ids["language_id"]})
     items = [decontaminate.plain(r.text) for r in table(spark, SF, "benchmark").collect()]
     hit = {i for i in ids["near_dedup"] if any(t in decontaminate.plain(start[i]) for t in items if len(t) >= 24)}
     assert hit and set(ids["decontamination"]) == set(ids["near_dedup"]) - hit
