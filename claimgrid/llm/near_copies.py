@@ -167,16 +167,15 @@ def joined(sets: DataFrame, alike: float) -> DataFrame:
     compare = lambda df, *key: df.select(F.xxhash64("root", *key).alias("key"), "tid", "set").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(alike), "a long, b long")
     dealt = sets.join(_blocks(sets, "n"), "root").withColumn("own", place("n"))
     first = dealt.where("own = 0").withColumn("block", each("n")).unionByName(dealt.where("own > 0").withColumn("block", F.col("own")))
-    links = stored(compare(first, "block"))
-    known = stored(components(links))
+    known = components(compare(first, "block"))
     classes = dealt.where("n > 1").select("root", "tid").join(known.select(F.col("u").alias("tid"), F.col("v").alias("class")), "tid", "left").withColumn("class", F.coalesce("class", "tid"))
     largest = classes.groupBy("root", "class").agg(F.count("*").alias("m")).groupBy("root").agg(F.max(F.struct("m", "class"))["class"].alias("most"))
     rest = classes.join(largest, "root").where("class <> most").select("tid")
     outside = stored(sets.join(rest, "tid"))
     wide = dealt.where("n > 1").join(_blocks(outside, "k"), "root").withColumn("far", each("k"))
     out = outside.join(_blocks(outside, "k"), "root").join(_blocks(sets, "n"), "root").withColumn("far", place("k")).withColumn("own", each("n"))
-    more = compare(wide.select("root", "own", "far", "tid", "set").unionByName(out.select("root", "own", "far", "tid", "set")), "own", "far")
-    return components(links.union(more))
+    more = stored(compare(wide.select("root", "own", "far", "tid", "set").unionByName(out.select("root", "own", "far", "tid", "set")), "own", "far"))
+    return known if more.isEmpty() else components(known.select("u", "v").union(more))
 
 
 def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, bits: int, words: int, alike: float) -> DataFrame:
