@@ -6,8 +6,6 @@ plan stays short and a lost executor costs no recomputation.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,55 +64,137 @@ def trace_nodes(cells: DataFrame, measure: str = "ratio") -> DataFrame:
     return n
 
 
+ITEM = ["file", "item", "sheet", "row", "col", "kl_hd", "hops", "flags"]
+
+
+def _near(x, k):
+    """x is the contract quantity k."""
+    return F.coalesce(k.isNotNull() & (k != 0) & (F.abs(x - k) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(k))), F.lit(False))
+
+
+def _shape() -> dict:
+    """Columns over a node that tell how a trace leaves it."""
+    one = (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("one", F.lit(False))
+    return {"is_one": one, "is_scaled": ~one & (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("factor", F.lit(False)),
+            "is_plus": F.coalesce("plus", F.lit(False)) & (F.col("n_single") == F.col("n_refs")) & (F.col("n_refs") >= 2),
+            "is_branch": F.coalesce("branch", F.lit(False))}
+
+
+def _passing_flags(is_f):
+    plain = is_f & ~F.col("is_one") & ~F.col("is_scaled")
+    return [F.when(F.col("sheet_state") != "visible", "qua sheet ẩn"), F.when(plain & F.col("is_plus"), "cộng/trừ nhiều ô"), F.when(plain & ~F.col("is_plus") & F.col("is_branch"), "có IF/MIN/MAX")]
+
+
+def _step(cur: DataFrame, nodes: DataFrame, cyclic: bool = False) -> DataFrame:
+    """One hop of every item: its source class where the trace ends (nguon), else the next cell (nxt). cyclic: cur carries the
+    cells it has passed, and a trace that comes back to one ends there."""
+    j = cur.join(nodes, CELL, "left")
+    v, k = F.col("v_num"), F.col("kl_hd")
+    is_f = F.col("formula").isNotNull()
+    capped = F.col("away_ref").isNotNull() & F.coalesce(F.col("away_ref.num") > k + 1e-9, F.lit(False)) & _near(v, k)
+    j = j.withColumn("p", F.when(capped, F.col("away_ref")).otherwise(F.coalesce("equal_ref", "away_ref", "any_ref")))
+    branch = F.col("is_branch") & F.col("any_ref").isNotNull()
+    rate = F.coalesce(k.isNotNull() & (k != 0) & (v / F.when(k != 0, k) > 0) & (v / F.when(k != 0, k) < 1), F.lit(False))
+    here = F.struct("sheet", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
+    again = F.array_contains("passed", here) if cyclic else F.lit(False)
+    cls = (F.when(~is_f & v.isNull() & F.col("v_str").isNull(), X.SRC_EMPTY).when(~is_f & v.isNotNull(), X.SRC_TYPED)
+           .when(~is_f | again, X.SRC_OTHER).when(F.col("has_ext"), X.SRC_EXTERNAL)
+           .when(F.col("is_one"), F.when(_near(v, k) & F.col("first_ref.known") & F.col("first_ref.is_contract"), X.SRC_EQUALS)
+                 .when(F.col("first_ref.off"), X.SRC_WRONG_ROW).when(~F.col("first_ref.known"), X.SRC_EMPTY))
+           .when(F.col("is_scaled"), F.when(rate, X.SRC_RATE).otherwise(X.SRC_FACTOR))
+           .when(F.col("is_plus"), F.when(F.col("sum_ref.off"), X.SRC_WRONG_ROW))
+           .when(branch, F.when(F.coalesce(F.col("away_ref.off"), F.lit(False)) | F.col("p.off"), X.SRC_WRONG_ROW))
+           .when(_near(v, k) & (F.col("n_refs") == 1), X.SRC_EQUALS).otherwise(X.SRC_COMPUTED))
+    nxt = F.when(F.col("is_one"), F.col("first_ref")).when(F.col("is_plus"), F.col("sum_ref")).otherwise(F.col("p"))
+    hidden, plus, cond = _passing_flags(is_f)
+    flags = [hidden, F.when(~is_f & _near(v, k) & (F.col("hops") > 0), "số gõ tay đúng bằng KL HĐ"), plus, cond, F.when(cond.isNotNull() & branch & capped, "đang bị chặn về KL HĐ")]
+    passed = [F.concat("passed", F.array(here)).alias("passed")] if cyclic else []
+    return j.withColumns({"nguon": cls, "nxt": nxt, "flags": F.array_distinct(F.concat("flags", F.array_compact(F.array(*flags))))}).select(*ITEM, "nguon", "nxt", *passed)
+
+
+def _moved(step: DataFrame, *more) -> DataFrame:
+    """The items of a step whose trace goes on, at their next cell."""
+    to = {c: F.col(f"nxt.{c}") for c in ("sheet", "row", "col")} | {"hops": F.col("hops") + 1}
+    return step.filter("nguon is null").select(*(to[c].alias(c) if c in to else c for c in ITEM), *more)
+
+
+def jump_tables(nodes: DataFrame) -> tuple[list, DataFrame]:
+    """(tables, cyclic): table j leads each cell over 2^j ordinary hops to the cell it ends at, with the flags met on the way and
+    the least and greatest watched value of the cells it leaves.
+
+    A hop is ordinary while the contract quantity of the traced item doesn't change it; it changes it only at cells that watch
+    for it, where it equals their value. Tables end where no trace is that long; cells of longer traces than there are cells run
+    into a cycle and are given as `cyclic`.
+    """
+    is_f = F.col("formula").isNotNull()
+    branch = F.col("is_branch") & F.col("any_ref").isNotNull()
+    p = F.coalesce("equal_ref", "away_ref", "any_ref")
+    to = (F.when(~is_f | F.col("has_ext"), None)
+          .when(F.col("is_one"), F.when(~F.col("first_ref.off") & F.col("first_ref.known"), F.col("first_ref"))).when(F.col("is_scaled"), None)
+          .when(F.col("is_plus"), F.when(~F.col("sum_ref.off"), F.col("sum_ref")))
+          .when(branch, F.when(~F.coalesce(F.col("away_ref.off"), F.lit(False)) & ~p["off"], p)))
+    watch = F.when((F.col("is_one") & F.col("first_ref.is_contract")) | (~F.col("is_one") & ~F.col("is_plus") & branch & F.col("away_ref").isNotNull()), F.col("v_num"))
+    one = nodes.withColumn("to", to).filter("to is not null").select(
+        *CELL, F.col("to.sheet").alias("t_sheet"), F.col("to.row").alias("t_row"), F.col("to.col").alias("t_col"), F.array_compact(F.array(*_passing_flags(is_f))).alias("met"), watch.alias("low"), watch.alias("high"))
+    tables = [cut_lineage(one)]
+    longest = tables[0].count().bit_length()
+    while not tables[-1].isEmpty():
+        if len(tables) > longest:
+            return tables[:-1], tables[-1].select(*CELL)
+        half = tables[-1]
+        then = half.select("file", F.col("sheet").alias("t_sheet"), F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.struct("t_sheet", "t_row", "t_col", "met", "low", "high").alias("n"))
+        tables.append(cut_lineage(half.join(then, ["file", "t_sheet", "t_row", "t_col"]).select(
+            *CELL, "n.t_sheet", "n.t_row", "n.t_col", F.array_distinct(F.concat("met", "n.met")).alias("met"), F.least("low", "n.low").alias("low"), F.greatest("high", "n.high").alias("high"))))
+    return tables[:-1], tables[-1].select(*CELL)
+
+
+def _lifted(cur: DataFrame, tables: list) -> DataFrame:
+    """Items led along the jump tables, longest first, as far as no cell they leave may turn for their contract quantity."""
+    k = F.col("kl_hd")
+    slack = 2e-6 * F.greatest(F.lit(1.0), F.abs(k))          # wider than the test itself: a hop is only taken where it is sure
+    for j, table in reversed(list(enumerate(tables))):
+        met = cur.join(table, CELL, "left")
+        turns = F.coalesce((k != 0) & (F.col("low") <= k + slack) & (F.col("high") >= k - slack), F.lit(False))
+        go = F.col("t_sheet").isNotNull() & ~turns
+        to = {c: F.when(go, F.col(f"t_{c}")).otherwise(F.col(c)) for c in ("sheet", "row", "col")}
+        to |= {"hops": F.when(go, F.col("hops") + (1 << j)).otherwise(F.col("hops")), "flags": F.when(go, F.array_distinct(F.concat("flags", "met"))).otherwise(F.col("flags"))}
+        cur = met.select(*(to[c].alias(c) if c in to else c for c in ITEM))
+    return cur
+
+
 def trace_sources(items: DataFrame, cells: DataFrame, measure: str = "ratio") -> DataFrame:
     """Class of the source behind each item's quantity cell.
 
     items: file, item, sheet, row, col, kl_hd.  Result: file, item, nguon, hops, flags, last sheet/row/col.  A chain is followed
-    to its end; one that comes back to a cell it has passed ends there.
+    to its end; one that comes back to a cell it has passed ends there.  Cells lead on by pointer doubling (`jump_tables`), so a
+    chain of n hops takes some log2(n) rounds, plus one for each cell at which the item's own contract quantity decides; only
+    traces into a cycle are walked hop by hop.
     """
-    nodes = cut_lineage(trace_nodes(cells, measure))
-    key = F.struct("sheet", "row", "col")
-    cur = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"), F.array().cast("array<struct<sheet:string,row:bigint,col:bigint>>").alias("passed"))
-    done = None
-    for hop in count():
-        j = cur.join(nodes, CELL, "left")
-        v, k = F.col("v_num"), F.col("kl_hd")
-        is_f = F.col("formula").isNotNull()
-        here = F.struct("sheet", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
-
-        def is_contract_qty(x):
-            return F.coalesce(k.isNotNull() & (k != 0) & (F.abs(x - k) <= 1e-6 * F.greatest(F.lit(1.0), F.abs(k))), F.lit(False))
-
-        one = (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("one", F.lit(False))
-        scaled = (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("factor", F.lit(False))
-        plus = F.coalesce("plus", F.lit(False)) & (F.col("n_single") == F.col("n_refs")) & (F.col("n_refs") >= 2)
-        capped = F.col("away_ref").isNotNull() & F.coalesce(F.col("away_ref.num") > k + 1e-9, F.lit(False)) & is_contract_qty(v)
-        pick = F.when(capped, F.col("away_ref")).otherwise(F.coalesce("equal_ref", "away_ref", "any_ref"))
-        branch = F.coalesce("branch", F.lit(False)) & F.col("any_ref").isNotNull()
-        rate = F.coalesce(k.isNotNull() & (k != 0) & (v / F.when(k != 0, k) > 0) & (v / F.when(k != 0, k) < 1), F.lit(False))
-        cls = (F.when(~is_f & v.isNull() & F.col("v_str").isNull(), X.SRC_EMPTY).when(~is_f & v.isNotNull(), X.SRC_TYPED)
-               .when(~is_f | F.array_contains("passed", here), X.SRC_OTHER).when(F.col("has_ext"), X.SRC_EXTERNAL)
-               .when(one, F.when(is_contract_qty(v) & F.col("first_ref.known") & F.col("first_ref.is_contract"), X.SRC_EQUALS)
-                     .when(F.col("first_ref.off"), X.SRC_WRONG_ROW).when(~F.col("first_ref.known"), X.SRC_EMPTY))
-               .when(scaled, F.when(rate, X.SRC_RATE).otherwise(X.SRC_FACTOR))
-               .when(plus, F.when(F.col("sum_ref.off"), X.SRC_WRONG_ROW))
-               .when(branch, F.when(F.coalesce(F.col("away_ref.off"), F.lit(False)) | F.col("p.off"), X.SRC_WRONG_ROW))
-               .when(is_contract_qty(v) & (F.col("n_refs") == 1), X.SRC_EQUALS).otherwise(X.SRC_COMPUTED))
-        nxt = F.when(one, F.col("first_ref")).when(plus, F.col("sum_ref")).otherwise(F.col("p"))
-        flags = F.array_distinct(F.concat("flags", F.array_compact(F.array(
-            F.when(F.col("sheet_state") != "visible", "qua sheet ẩn"),
-            F.when(~is_f & is_contract_qty(v) & F.lit(hop > 0), "số gõ tay đúng bằng KL HĐ"),
-            F.when(is_f & ~one & ~scaled & plus, "cộng/trừ nhiều ô"), F.when(is_f & ~one & ~scaled & ~plus & F.coalesce("branch", F.lit(False)), "có IF/MIN/MAX"),
-            F.when(is_f & ~one & ~scaled & ~plus & branch & capped, "đang bị chặn về KL HĐ")))))
-        step = cut_lineage(j.withColumn("p", pick).withColumns({"nguon": cls, "nxt": nxt, "flags2": flags}).select(
-            "file", "item", "sheet", "row", "col", "kl_hd", "hops", F.col("flags2").alias("flags"), "nguon", "nxt", F.concat("passed", F.array(here)).alias("passed")))
-        end = step.filter("nguon is not null").select("file", "item", "nguon", "hops", "flags", "sheet", "row", "col")
-        done = end if done is None else done.unionByName(end)
-        cur = step.filter("nguon is null").select("file", "item", F.col("nxt.sheet").alias("sheet"), F.col("nxt.row").alias("row"), F.col("nxt.col").alias("col"),
-                                                  "kl_hd", (F.col("hops") + 1).alias("hops"), "flags", "passed")
+    nodes = cut_lineage(trace_nodes(cells, measure).withColumns(_shape()))
+    tables, cyclic = jump_tables(nodes)
+    start = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"))
+    ends = ["file", "item", "nguon", "hops", "flags", "sheet", "row", "col"]
+    round_trip = cyclic.distinct()
+    cur, done = start.join(round_trip, CELL, "left_anti"), []
+    loop = start.join(round_trip, CELL, "left_semi")
+    while True:
+        step = cut_lineage(_step(_lifted(cur, tables), nodes))
+        done.append(step.filter("nguon is not null").select(*ends))
+        cur = _moved(step)
         if cur.isEmpty():
             break
-    return done
+        loop = loop.unionByName(cur.join(round_trip, CELL, "left_semi"))
+        cur = cur.join(round_trip, CELL, "left_anti")
+    passed = F.array().cast("array<struct<sheet:string,row:bigint,col:bigint>>").alias("passed")
+    loop = cut_lineage(loop.select(*ITEM, passed))
+    while not loop.isEmpty():
+        step = cut_lineage(_step(loop, nodes, True))
+        done.append(step.filter("nguon is not null").select(*ends))
+        loop = _moved(step, "passed")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def source_strata(traced: DataFrame) -> DataFrame:
@@ -123,68 +203,108 @@ def source_strata(traced: DataFrame) -> DataFrame:
 
 
 # --- expansion tree --------------------------------------------------------------------------------------------
-def trace_tree(cells: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
+PATH = "array<struct<part:int,no:bigint>>"
+BOX = ["c1", "r1", "c2", "r2"]
+
+
+def _at(*steps):
+    """A piece of a path from (part, number) pairs; part 0 comes before part 1."""
+    return F.array(*(F.struct(F.lit(part).alias("part"), F.lit(no).cast("bigint").alias("no")) for part, no in steps)).cast(PATH)
+
+
+def _range_contents(ranges: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(typed, patterns) of ranges(file, sheet, c1, r1, c2, r2): number, sum and first place of the typed numbers; and per formula
+    pattern its number, its rank (most first, then the first in the range) and the cell that stands for it, that of the
+    greatest value."""
+    first = (F.min, F.struct("row", "col"))
+    typed = grid.range_aggregates(ranges, node.filter("formula is null and v_num is not null"), {"n": (F.sum, F.lit(1)), "value": (F.sum, F.col("v_num")), "first": first})
+    formulas = node.filter("formula is not null").withColumn("pattern", S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")))
+    high = F.struct(F.coalesce(F.abs("v_num"), F.lit(-1.0)).alias("v"), (-F.col("row")).alias("row"), (-F.col("col")).alias("col"))
+    found = grid.range_aggregates(ranges, formulas, {"n": (F.sum, F.lit(1)), "high": (F.max, high), "first": first}, ["pattern"])
+    rank = F.row_number().over(W.partitionBy("file", "sheet", *BOX).orderBy(F.desc("n"), "first"))
+    return typed, found.select("file", "sheet", *BOX, "n", rank.alias("rank"), (-F.col("high.row")).alias("rep_row"), (-F.col("high.col")).alias("rep_col"))
+
+
+def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
     """Expand each file's target cell into its inputs.
 
-    Rows: file, path (sortable), level, kind, sheet, row, col, text, value.  A cell is expanded once, at its
-    shallowest place (smallest path among equals); other places are marked as already expanded.  A range becomes one
-    node, one summed leaf for its typed cells and one representative per formula pattern.  The walk ends where nothing new is reached, or at max_depth where one is given.
+    Rows: file, path (sortable), level, kind, sheet, row, col, text, value.  A cell is expanded where a depth-first walk meets it
+    first; other places are marked as already expanded.  A range becomes one node, one summed leaf for its typed cells and one
+    representative per formula pattern.  The walk ends where nothing new is reached.
+
+    The place where a depth-first walk meets a cell first is the least path to it.  Rounds pass the least known path of each cell
+    that got a smaller one on to what it reads, until none gets smaller; the inputs of a cell, ranges included, are worked out
+    once, in the round that first reaches it.
     """
-    refs = cut_lineage(grid.references(cells))
+    refs = cut_lineage(grid.references(cells).select(*CELL, "ref_no", "r_sheet", *BOX, "ext"))
     known = cut_lineage(grid.sheets(cells).select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known")))
     node = cut_lineage(cells.select(*CELL, "formula", "v_num", "v_str"))
-    seg = lambda c, tag: F.concat(F.lpad(c.cast("string"), 5, "0"), F.lit(tag))
-    cur = targets.select(*CELL, F.array(F.lit("00000")).alias("path"))
-    out, seen = None, None
+    to = [F.col("t_sheet").alias("sheet"), F.col("t_row").alias("row"), F.col("t_col").alias("col")]
+    least = frontier = cut_lineage(targets.select(*CELL, F.array().cast(PATH).alias("path")).distinct())
+    new, read, typed, patterns, edges = least, [], [], [], []
+    while not frontier.isEmpty():
+        r = cut_lineage(refs.join(new.select(*CELL), CELL, "left_semi").join(known, ["file", "r_sheet"], "left"))
+        if not r.isEmpty():
+            inside = r.filter("ext is null and known")
+            single = F.expr("c1 = c2 and r1 = r2")
+            here = inside.filter(single).select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("r1").alias("t_row"), F.col("c1").alias("t_col"), _at((1, F.col("ref_no"))).alias("piece"))
+            ranges = inside.filter(~single).select("file", F.col("r_sheet").alias("sheet"), *BOX).distinct()
+            of_typed, of_formulas = (cut_lineage(d.withColumnRenamed("sheet", "r_sheet")) for d in _range_contents(ranges, node))
+            asked = inside.filter(~single).select(*CELL, "ref_no", "r_sheet", *BOX)
+            typed.append(asked.join(of_typed, ["file", "r_sheet", *BOX]))
+            patterns.append(asked.join(of_formulas, ["file", "r_sheet", *BOX]))
+            reps = patterns[-1].select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("rep_row").alias("t_row"), F.col("rep_col").alias("t_col"), _at((1, F.col("ref_no")), (1, F.col("rank")), (0, 0)).alias("piece"))
+            edges.append(cut_lineage(here.unionByName(reps)))
+            read.append(r)
+        offers = [e.join(frontier, CELL).select("file", *to, F.concat("path", "piece").alias("offer")) for e in edges]
+        if not offers:
+            break
+        offer = _union(offers).groupBy(*CELL).agg(F.min("offer").alias("offer"))
+        better = offer.join(least, CELL, "left").filter("path is null or offer < path")
+        frontier = cut_lineage(better.select(*CELL, F.col("offer").alias("path"), F.col("path").isNull().alias("fresh")))
+        new = frontier.filter("fresh")
+        frontier = frontier.drop("fresh")
+        least = cut_lineage(least.join(frontier.select(*CELL), CELL, "left_anti").unionByName(frontier))
+    return _tree_rows(least, targets, node, read, typed, patterns, edges)
+
+
+def _union(parts: list) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _tree_rows(least, targets, node, read, typed, patterns, edges) -> DataFrame:
+    """The rows of the tree from the least path of each cell and what its formula reads."""
     cols = ["file", "path", "kind", "sheet", "row", "col", "text", "value"]
+    none = F.lit(None).cast("double").alias("value")
+    row = lambda df, piece, kind, sheet, r, c, text, value: df.select("file", F.concat("path", piece).alias("path"), F.lit(kind).alias("kind"), F.col(sheet).alias("sheet"), F.col(r).alias("row"), F.col(c).alias("col"), text.alias("text"), value.alias("value"))
+    root = targets.select(*CELL, F.array().cast(PATH).alias("path")).distinct()
+    places = root
+    for e in edges:
+        places = places.unionByName(e.join(least, CELL).select("file", F.col("t_sheet").alias("sheet"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.concat("path", "piece").alias("path")))
+    met = places.join(node, CELL, "left").join(least.withColumnRenamed("path", "own"), CELL)
+    kind = (F.when(F.col("path") != F.col("own"), "Đã phân rã").when(F.col("formula").isNotNull(), "Công thức").when(F.col("v_num").isNotNull(), "Nhập tay")
+            .when(F.col("v_str").isNotNull(), "Chữ").otherwise("Trống"))
+    out = [met.withColumns({"kind": kind, "text": F.coalesce("formula", F.lit("")), "value": F.col("v_num")}).select(*cols)]
+    lit = least.join(node, CELL).select(*CELL, "path", F.posexplode(S.embedded_literals(F.col("formula"))).alias("i", "text"))
+    out.append(row(lit, _at((0, F.col("i"))), "Tham số gõ cứng", "sheet", "row", "col", F.col("text"), none))
+    if read:
+        r = _union(read).join(least, CELL)
+        piece = _at((1, F.col("ref_no")))
+        for kind, which in (("File ngoài", "ext is not null"), ("Lỗi tham chiếu", "ext is null and known is null"), ("Dải", "ext is null and known and (c1 <> c2 or r1 <> r2)")):
+            out.append(row(r.filter(which), piece, kind, "r_sheet", "r1", "c1", F.lit(""), none))
+        t = _union(typed).join(least, CELL).withColumns({"f_row": F.col("first.row"), "f_col": F.col("first.col")})
+        out.append(row(t, _at((1, F.col("ref_no")), (0, 0)), "Nhóm nhập tay", "r_sheet", "f_row", "f_col", F.col("n").cast("string"), F.col("value")))
+        p = _union(patterns).join(least, CELL)
+        out.append(row(p, _at((1, F.col("ref_no")), (1, F.col("rank"))), "Mẫu", "r_sheet", "rep_row", "rep_col", F.col("n").cast("string"), none))
+    return _union(out).withColumn("level", F.size("path"))
 
-    def emit(df):
-        nonlocal out
-        out = df.select(*cols) if out is None else out.unionByName(df.select(*cols))
-
-    for depth in count():
-        here = cur.join(node, CELL, "left")
-        first = cur.groupBy(*CELL).agg(F.min("path").alias("first_path"))
-        here = here.join(first, CELL)
-        if seen is not None:
-            here = here.join(seen.withColumn("old", F.lit(True)), CELL, "left")
-        else:
-            here = here.withColumn("old", F.lit(None).cast("boolean"))
-        again = F.coalesce("old", F.lit(False)) | (F.col("path") != F.col("first_path"))
-        kind = (F.when(again, "Đã phân rã").when(F.col("formula").isNotNull(), "Công thức").when(F.col("v_num").isNotNull(), "Nhập tay")
-                .when(F.col("v_str").isNotNull(), "Chữ").otherwise("Trống"))
-        here = cut_lineage(here.withColumn("kind", kind).withColumn("text", F.coalesce("formula", F.lit(""))).withColumn("value", F.col("v_num")))
-        emit(here)
-        fresh = here.filter("kind in ('Công thức', 'Nhập tay', 'Chữ', 'Trống')").select(*CELL)
-        seen = fresh if seen is None else cut_lineage(seen.unionByName(fresh))
-        open_ = here.filter("kind = 'Công thức'").select(*CELL, "path", "formula")
-        if depth == max_depth or open_.isEmpty():
-            break
-        lit = open_.select("file", "path", *CELL[1:], F.posexplode(S.embedded_literals(F.col("formula"))).alias("i", "text"))
-        emit(lit.withColumn("path", F.concat("path", F.array(seg(F.col("i"), "a")))).withColumn("kind", F.lit("Tham số gõ cứng")).withColumn("value", F.lit(None).cast("double")))
-        r = open_.select(*CELL, "path").join(refs.drop("formula", "v_num", "sheet_state"), CELL).join(known, ["file", "r_sheet"], "left")
-        r = cut_lineage(r.withColumn("path", F.concat("path", F.array(seg(F.col("ref_no"), "b")))))
-        to = lambda df, k: df.select("file", "path", F.lit(k).alias("kind"), F.col("r_sheet").alias("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.lit("").alias("text"), F.lit(None).cast("double").alias("value"))
-        emit(to(r.filter("ext is not null"), "File ngoài"))
-        emit(to(r.filter("ext is null and known is null"), "Lỗi tham chiếu"))
-        inside = r.filter("ext is null and known")
-        single = F.expr("c1 = c2 and r1 = r2")
-        nxt = inside.filter(single).select("file", F.col("r_sheet").alias("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), "path")
-        rng = inside.filter(~single)
-        emit(to(rng, "Dải"))
-        mem = grid.expand_ranges(rng.select("file", "sheet", "row", "col", F.lit(None).cast("int").alias("ext"), F.col("path").alias("ref_no"), "r_sheet", "c1", "r1", "c2", "r2"), node)
-        mem = cut_lineage(mem.withColumnRenamed("ref_no", "path"))
-        typed = mem.filter("formula is null and v_num is not null").groupBy("file", "path", "sheet").agg(F.count("*").alias("n"), F.sum("v_num").alias("value"), F.min(F.struct("row", "col")).alias("f"))
-        emit(typed.select("file", F.concat("path", F.array(F.lit("00000a"))).alias("path"), F.lit("Nhóm nhập tay").alias("kind"), "sheet", F.col("f.row").alias("row"), F.col("f.col").alias("col"),
-                          F.col("n").cast("string").alias("text"), "value"))
-        pat = (mem.filter("formula is not null").withColumn("pattern", S.formula_pattern(F.col("formula"), F.col("row"), F.col("col")))
-               .groupBy("file", "path", "sheet", "pattern").agg(F.count("*").alias("n"), F.max_by(F.struct("row", "col"), F.struct(F.coalesce(F.abs("v_num"), F.lit(-1.0)), -F.col("row"), -F.col("col"))).alias("rep")))
-        top = pat.withColumn("rank", F.row_number().over(W.partitionBy("file", "path").orderBy(F.desc("n"), "pattern")))
-        reps = top.select("file", "sheet", F.col("rep.row").alias("row"), F.col("rep.col").alias("col"), F.concat("path", F.array(seg(F.col("rank"), "b"))).alias("path"), "n")
-        emit(reps.select("file", "path", F.lit("Mẫu").alias("kind"), "sheet", "row", "col", F.col("n").cast("string").alias("text"), F.lit(None).cast("double").alias("value")))
-        nxt = nxt.unionByName(reps.select("file", "sheet", "row", "col", F.concat("path", F.array(F.lit("00000"))).alias("path")))
-        cur = cut_lineage(nxt)
-    return out.withColumn("level", F.size("path") - 1)
+
+def path_columns(tree: DataFrame) -> DataFrame:
+    """Columns that the target is made of: those of every row of the tree with an address in the file, of a range its first."""
+    return tree.filter("kind not in ('Mẫu', 'Nhóm nhập tay', 'File ngoài', 'Lỗi tham chiếu')").select("file", "sheet", "col").distinct()
 
 
 def k7_findings(tree: DataFrame, cells: DataFrame) -> DataFrame:

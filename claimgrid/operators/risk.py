@@ -127,16 +127,15 @@ def materiality(periods: DataFrame) -> DataFrame:
 def audit_sample(items: DataFrame, keys: list, value: str, threshold: Column, flagged: Column, coverage: float = 0.8, least: int = 25) -> DataFrame:
     """All items at or above the threshold or flagged, then by value until the coverage and the least number are reached.
 
-    The running order is chunked by magnitude, so that a large group is spread over many tasks.
+    The running order is cut at sampled bounds, so that a large group, also of equal values, is spread over many tasks.
     """
     must = F.when((F.col(value) >= threshold) | flagged, 1).otherwise(0)
     d = items.withColumn("must", must).withColumn("__v", F.col(value).cast("decimal(28,4)")).withColumn("__neg", -F.col(value))
-    chunk = F.struct((1 - F.col("must")).alias("m"), (-F.floor(F.log2(F.greatest(F.col(value), F.lit(1.0))) * 16)).alias("b"))
     tot = d.groupBy(*keys).agg(F.sum("__v").alias("total"), F.sum("must").alias("n_must"))
-    run = scan(d, keys, chunk, ["__neg", "item"], sums={"cum": F.col("__v"), "pos": F.lit(1)}).join(tot, keys)
+    run = scan(d.withColumn("__rest", 1 - F.col("must")), keys, None, ["__rest", "__neg", "item"], sums={"cum": F.col("__v"), "pos": F.lit(1)}).join(tot, keys)
     before = (F.col("cum") - F.col("__v")).cast("double")
     pick = (F.col("must") == 1) | (before < coverage * F.col("total").cast("double")) | (F.col("pos") <= least)
-    return run.filter(pick).drop("__v", "__neg", "n_must", "total")
+    return run.filter(pick).drop("__v", "__neg", "__rest", "n_must", "total")
 
 
 def deductions(periods: DataFrame) -> DataFrame:

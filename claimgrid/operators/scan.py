@@ -1,8 +1,9 @@
 """Ordered scans over groups of any size.
 
-A plain window over a key puts the whole key into one task.  Here the caller names a chunk column that rises with the
-order (a date, a block of row numbers): the window runs per (key, chunk), each chunk is reduced to one summary row,
-the summaries (few per key) are scanned, and the carry is joined back.  A hot key is so spread over its chunks.
+A plain window over a key puts the whole key into one task.  Here rows are dealt into chunks that rise with the order: the window
+runs per (key, chunk), each chunk is reduced to one summary row, the summaries (few per key) are scanned, and the carry is joined
+back.  A hot key is so spread over its chunks.  The caller names a chunk column (a date, a block of row numbers), or leaves the
+chunks to sampled bounds over key, order and a hash of the row, which also cut runs of equal values and sparse numbers evenly.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimgrid.session import cut_lineage
+
 BLOCK = 4096
 
 
@@ -19,17 +22,29 @@ def block(position: Column, size: int = BLOCK) -> Column:
     return F.floor(position / size)
 
 
-def scan(df: DataFrame, keys: list, chunk: Column, order: list, *, sums: dict | None = None,
+def ranged(df: DataFrame, keys: list, order: list, name: str) -> DataFrame:
+    """df with its chunk by sampled bounds, as many as shuffle partitions, written to the shared folder so that it stays what it
+    is.  Rows that agree in keys and order are told apart by a hash of the whole row."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ties = "__tie"
+    kinds = dict(df.dtypes)
+    hashed = df.withColumn(ties, F.xxhash64(*(F.to_json(c) if kinds[c].startswith("map") else c for c in df.columns)))
+    return cut_lineage(hashed.repartitionByRange(n, *keys, *order, ties).withColumn(name, F.spark_partition_id()).drop(ties))
+
+
+def scan(df: DataFrame, keys: list, chunk: Column | None, order: list, *, sums: dict | None = None,
          fills: dict | None = None, maxes: dict | None = None, before: dict | None = None,
          exclusive: bool = False) -> DataFrame:
     """Add running columns: sums (NULL counts as 0), fills (last non-NULL), maxes, before (last non-NULL of earlier rows).
 
-    Each dict maps a new column to a Column over df.  With exclusive=True the row itself is left out everywhere.
+    Each dict maps a new column to a Column over df.  With exclusive=True the row itself is left out everywhere.  chunk=None takes
+    chunks by sampled bounds (`ranged`); order is then a list of columns of df.
     """
     sums, fills, maxes, before = sums or {}, fills or {}, maxes or {}, before or {}
     lasts = {**fills, **before}
     ck = "__chunk"
-    base = df.withColumns({ck: chunk, **{"__v_" + n: c for n, c in {**sums, **lasts, **maxes}.items()}})
+    cut = ranged(df, keys, order, ck) if chunk is None else df.withColumn(ck, chunk)
+    base = cut.withColumns({**{"__v_" + n: c for n, c in {**sums, **lasts, **maxes}.items()}})
     ordered = W.partitionBy(*keys, ck).orderBy(*order)
     w = ordered.rowsBetween(W.unboundedPreceding, -1 if exclusive else 0)
     wb = ordered.rowsBetween(W.unboundedPreceding, -1)

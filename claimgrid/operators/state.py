@@ -177,32 +177,48 @@ def latest_period(periods: DataFrame) -> DataFrame:
 
 
 def prior_period(claims: DataFrame, periods: DataFrame) -> DataFrame:
-    """Last period before each claim: by number when known, else undated or dated before the claim."""
-    c = claims.select("ma_hd", F.col("dot").alias("claim_dot"), F.col("ngay").alias("claim_day"))
+    """Last period before each claim: by number when known, else undated or dated before the claim.
+
+    Claims and periods are merged in the order of number, or of date (undated first), a claim before periods equal to it; the
+    greatest period so far is carried along, so no claim meets all periods of its contract.
+    """
+    c = claims.select("ma_hd", F.col("dot").alias("claim_dot"), F.col("ngay").alias("claim_day")).distinct()
     p = periods.select("ma_hd", "dot", "ngay_nghiem_thu", "gt_luy_ke")
-    before = F.when(F.col("claim_dot").isNotNull(), F.col("dot") < F.col("claim_dot")).otherwise(
-        F.col("ngay_nghiem_thu").isNull() | (F.col("ngay_nghiem_thu") < F.col("claim_day")))
-    hit = (c.join(p, "ma_hd").filter(before).groupBy("ma_hd", "claim_dot", "claim_day")
-           .agg(F.max("dot").alias("dot_truoc"), F.max_by("gt_luy_ke", "dot").alias("gt_luy_ke_truoc")))
-    return hit
+
+    def merged(asked, at, p, of_period):
+        own = asked.select("ma_hd", at.alias("at"), F.lit(0).alias("side"), "claim_dot", "claim_day")
+        given = p.select("ma_hd", of_period.alias("at"), F.when(of_period.isNull(), 0).otherwise(1).alias("side"), F.struct("dot", "gt_luy_ke").alias("period"))
+        rows = own.unionByName(given, allowMissingColumns=True).withColumn("asks", F.col("period").isNull())
+        return scan(rows, ["ma_hd"], None, ["at", "side"], maxes={"last": F.col("period")}).filter("asks and last is not null")
+
+    known = merged(c.filter("claim_dot is not null"), F.col("claim_dot").cast("bigint"), p.filter("dot is not null"), F.col("dot").cast("bigint"))
+    day = lambda x: F.unix_date(F.to_date(x)).cast("bigint")
+    dated = merged(c.filter("claim_dot is null and claim_day is not null"), day("claim_day"), p, day("ngay_nghiem_thu"))
+    none = c.filter("claim_dot is null and claim_day is null").join(p.filter("ngay_nghiem_thu is null").groupBy("ma_hd").agg(F.max(F.struct("dot", "gt_luy_ke")).alias("last")), "ma_hd")
+    cols = ["ma_hd", "claim_dot", "claim_day", F.col("last.dot").alias("dot_truoc"), F.col("last.gt_luy_ke").alias("gt_luy_ke_truoc")]
+    return known.select(*cols).unionByName(dated.select(*cols)).unionByName(none.select(*cols))
 
 
 def gap_check(amendments: DataFrame) -> DataFrame:
     """Number of each live amendment against the largest earlier-loaded number plus one."""
     n = F.regexp_extract("so_pl", r"(\d+)", 1).try_cast("bigint")
     a = amendments.filter(F.col("trang_thai") != X.CANCELLED).withColumn("no", n).filter("no is not null")
-    # loading order is the id; blocks of ids keep a long list apart
-    run = scan(a, ["ma_hd"], F.floor(F.col("id") / 4096), ["id"], maxes={"prev": F.col("no")}, exclusive=True)
+    run = scan(a, ["ma_hd"], None, ["id"], maxes={"prev": F.col("no")}, exclusive=True)     # loading order is the id
     return run.withColumn("is_gap", F.col("no") != F.coalesce("prev", F.lit(0)) + 1)
 
 
 def later_amendments(amendments: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """Amendments after each cancelled one by (effective date, number), still standing."""
-    c = cancelled.select("ma_hd", F.col("id").alias("cancelled_id"), F.col("ngay_hieu_luc").alias("c_eff"),
-                         F.col("so_pl").alias("c_no"))
-    a = amendments.filter(F.col("trang_thai") != X.CANCELLED).select("ma_hd", "id", "so_pl", "ngay_hieu_luc")
-    return a.join(c, "ma_hd").filter((F.col("id") != F.col("cancelled_id")) & (
-        F.struct("ngay_hieu_luc", "so_pl") > F.struct(F.col("c_eff").alias("ngay_hieu_luc"), F.col("c_no").alias("so_pl"))))
+    """Amendments after each cancelled one by (effective date, number), still standing.
+
+    Both are merged in that order and the standing ones numbered; a cancelled one then takes the numbers from its own place to the
+    end, so only the rows of the result are formed.
+    """
+    a = amendments.filter(F.col("trang_thai") != X.CANCELLED).select("ma_hd", "id", "so_pl", "ngay_hieu_luc", F.lit(0).alias("side"))
+    c = cancelled.select("ma_hd", "id", "so_pl", "ngay_hieu_luc", F.lit(1).alias("side"))
+    run = scan(a.unionByName(c), ["ma_hd"], None, ["ngay_hieu_luc", "so_pl", "side", "id"], sums={"pos": 1 - F.col("side")})
+    total = a.groupBy("ma_hd").agg(F.count("*").alias("total"))
+    asked = run.filter("side = 1").join(total, "ma_hd").filter("pos < total").select("ma_hd", F.col("id").alias("cancelled_id"), F.explode(F.expr("sequence(pos + 1, total)")).alias("pos"))
+    return asked.join(run.filter("side = 0").drop("side"), ["ma_hd", "pos"]).filter("id <> cancelled_id").drop("pos")
 
 
 def count_later(amendments: DataFrame) -> DataFrame:

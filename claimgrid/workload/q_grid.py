@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from claimgrid import fixed as X
 from claimgrid.functions import classify as C
 from claimgrid.functions import formulas as S
-from claimgrid.operators import grid
+from claimgrid.operators import grid, lineage
 from claimgrid.operators.quality import collect_findings, order_findings
 from claimgrid.session import cut_lineage
 from claimgrid.workload.q_reconcile import sql_edit, sql_fold
@@ -107,15 +107,47 @@ def _(w):
 
 
 def on_path(w):
-    """Columns whose formulas the requested payment is made of, by the expansion tree of each file."""
+    """Columns that the requested payment is made of, by the expansion tree of each file."""
     from claimgrid.workload.q_lineage import tree
-    return tree(w).filter("kind = 'Công thức'").select("file", "sheet", "col").distinct()
-
-
-PATHCOL = "(sheet = 'Tong hop' OR (sheet = 'Chi tiet' AND col IN (6, 10)) OR (sheet = 'Dien giai' AND col = 4))"
-
-
-@query("A-16_literal_census", f"""WITH {LITS} SELECT file, literal, CASE literal WHEN '1.08' THEN 'Thuế suất?' WHEN '5%' THEN 'Tỷ lệ %' WHEN '0.5' THEN 'Tỷ lệ %' ELSE 'Hằng số khác (kích thước, hệ số kỹ thuật...)' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n_path FROM lt WHERE literal IS NOT NULL GROUP BY file, literal""")
+    return lineage.path_columns(tree(w))
+
+
+#: The tree by listing every simple path from the target and taking the least one to each cell; steps of a path are part * 10^9 + number.
+TREE = f"""WITH RECURSIVE fc AS (SELECT *, replace({_PAT_CASE}, ' ', '') AS pattern FROM cells WHERE formula IS NOT NULL),
+two AS (SELECT file, sheet, row, col, regexp_extract_all(formula, '{QP}') AS q, regexp_extract_all(regexp_replace(formula, '{QP}', ' ', 'g'), '{LP}') AS l FROM fc),
+ml AS (SELECT file, sheet, row, col, unnest(list_concat(q, list_transform(l, lambda x: sheet || '!' || x))) AS m, unnest(range(0, len(q) + len(l))) AS no FROM two),
+rf AS (SELECT file, sheet, row, col, no, nullif(regexp_extract(m, '^\\[(\\d+)\\]', 1), '') AS ext, replace(regexp_replace(regexp_extract(m, '^(.*)!', 1), '^\\[\\d+\\]', ''), '''', '') AS r_sheet, string_split(replace(regexp_extract(m, '!([^!]*)$', 1), '$', ''), ':') AS a FROM ml),
+refs AS (SELECT * EXCLUDE (a), ascii(a[1]) - 64 AS c1, CAST(a[1][2:] AS INT) AS r1, ascii(a[-1]) - 64 AS c2, CAST(a[-1][2:] AS INT) AS r2, len(a) = 1 AS single FROM rf),
+kn AS (SELECT DISTINCT file, sheet FROM cells),
+ok AS MATERIALIZED (SELECT r.* FROM refs r JOIN kn ON kn.file = r.file AND kn.sheet = r.r_sheet WHERE ext IS NULL),
+mem AS MATERIALIZED (SELECT o.file, o.sheet, o.row, o.col, o.no, c.sheet AS t_sheet, c.row AS t_row, c.col AS t_col, c.formula, c.v_num, p.pattern
+  FROM ok o JOIN cells c ON c.file = o.file AND c.sheet = o.r_sheet AND c.row BETWEEN o.r1 AND o.r2 AND c.col BETWEEN o.c1 AND o.c2 LEFT JOIN fc p ON p.file = c.file AND p.sheet = c.sheet AND p.row = c.row AND p.col = c.col WHERE NOT single),
+grp AS (SELECT file, sheet, row, col, no, t_sheet, pattern, count(*) AS n, min(t_row * 1000 + t_col) AS f, max(struct_pack(v := coalesce(abs(v_num), -1), r := -t_row, c := -t_col)) AS best FROM mem WHERE formula IS NOT NULL GROUP BY ALL),
+pat AS (SELECT *, row_number() OVER (PARTITION BY file, sheet, row, col, no ORDER BY n DESC, f) AS rank FROM grp),
+edges AS MATERIALIZED (SELECT file, sheet, row, col, r_sheet AS t_sheet, r1 AS t_row, c1 AS t_col, [1000000000 + no] AS piece FROM ok WHERE single
+  UNION ALL SELECT file, sheet, row, col, t_sheet, -best.r, -best.c, [1000000000 + no, 1000000000 + rank, 0] FROM pat),
+walk AS (SELECT DISTINCT file, 'Tong hop' AS sheet, 10 AS row, 4 AS col, CAST([] AS BIGINT[]) AS path, ['Tong hop!10!4'] AS passed FROM cells
+  UNION ALL SELECT e.file, e.t_sheet, e.t_row, e.t_col, list_concat(w.path, e.piece), list_append(w.passed, e.t_sheet || '!' || e.t_row || '!' || e.t_col) FROM walk w JOIN edges e ON e.file = w.file AND e.sheet = w.sheet AND e.row = w.row AND e.col = w.col
+   WHERE NOT list_contains(w.passed, e.t_sheet || '!' || e.t_row || '!' || e.t_col)),
+least AS MATERIALIZED (SELECT file, sheet, row, col, min(path) AS path FROM walk GROUP BY ALL),
+places AS (SELECT file, sheet, row, col, path FROM walk WHERE len(path) = 0 UNION ALL SELECT e.file, t_sheet, t_row, t_col, list_concat(l.path, e.piece) FROM edges e JOIN least l USING (file, sheet, row, col)),
+tree AS (
+  SELECT p.file, p.path, CASE WHEN p.path <> l.path THEN 'Đã phân rã' WHEN formula IS NOT NULL THEN 'Công thức' WHEN v_num IS NOT NULL THEN 'Nhập tay' WHEN v_str IS NOT NULL THEN 'Chữ' ELSE 'Trống' END AS kind, p.sheet, p.row, p.col, c.v_num AS value
+    FROM places p JOIN least l USING (file, sheet, row, col) LEFT JOIN cells c USING (file, sheet, row, col)
+  UNION ALL SELECT l.file, list_append(l.path, 0), 'Tham số gõ cứng', l.sheet, l.row, l.col, NULL FROM least l JOIN fc f USING (file, sheet, row, col)
+    WHERE ends_with(formula, '*1.08') OR contains(formula, '*1.08-') OR ends_with(formula, '*0.5') OR ends_with(formula, '*5%') OR formula = '=#REF!*2'
+  UNION ALL SELECT l.file, list_append(l.path, 1000000000 + r.no), CASE WHEN ext IS NOT NULL THEN 'File ngoài' WHEN kn.file IS NULL THEN 'Lỗi tham chiếu' ELSE 'Dải' END, r.r_sheet, r1, c1, NULL
+    FROM least l JOIN refs r USING (file, sheet, row, col) LEFT JOIN kn ON kn.file = r.file AND kn.sheet = r.r_sheet WHERE ext IS NOT NULL OR kn.file IS NULL OR NOT single
+  UNION ALL SELECT l.file, list_concat(l.path, [1000000000 + m.no, 0]), 'Nhóm nhập tay', m.t_sheet, min(t_row), CAST(min(t_row * 1000 + t_col) % 1000 AS INT), sum(m.v_num) FROM least l JOIN mem m USING (file, sheet, row, col) WHERE formula IS NULL AND v_num IS NOT NULL GROUP BY l.file, l.path, m.no, m.t_sheet
+  UNION ALL SELECT l.file, list_concat(l.path, [1000000000 + p.no, 1000000000 + p.rank]), 'Mẫu', p.t_sheet, -best.r, -best.c, NULL FROM least l JOIN pat p USING (file, sheet, row, col))"""
+
+
+#: Columns of every row of the tree with an address in the file.
+ON_PATH = f"""{TREE}, {LITS}, pcol AS (SELECT DISTINCT file, sheet, col FROM tree WHERE kind NOT IN ('Mẫu', 'Nhóm nhập tay', 'File ngoài', 'Lỗi tham chiếu')),
+lp AS (SELECT lt.*, p.file IS NOT NULL AS on_path FROM lt LEFT JOIN pcol p USING (file, sheet, col) WHERE literal IS NOT NULL)"""
+
+
+@query("A-16_literal_census", f"""{ON_PATH} SELECT file, literal, CASE literal WHEN '1.08' THEN 'Thuế suất?' WHEN '5%' THEN 'Tỷ lệ %' WHEN '0.5' THEN 'Tỷ lệ %' ELSE 'Hằng số khác (kích thước, hệ số kỹ thuật...)' END AS kind, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (on_path) AS BIGINT) AS n_path FROM lp GROUP BY file, literal""")
 def _(w):
     path = on_path(w)
     return grid.literal_census(w.cells, path).select("file", "literal", "kind", "n", "n_path")
@@ -160,8 +192,8 @@ def _(w):
 @query("J-15_expand_ranges", f"""WITH {REFS} SELECT r.file, r.sheet AS f_sheet, CAST(r.row AS BIGINT) AS f_row, CAST(count(*) AS BIGINT) AS n, sum(t.v_num) AS total FROM refs r JOIN cells t ON t.file = r.file AND t.sheet = r.r_sheet AND t.row BETWEEN r.r1 AND r.r2 AND t.col BETWEEN r.c1 AND r.c2
    WHERE r.ext IS NULL AND (r.c1 <> r.c2 OR r.r1 <> r.r2) GROUP BY r.file, r.sheet, r.row""")
 def _(w):
-    e = grid.expand_ranges(grid.references(w.cells), w.cells)
-    return e.groupBy("file", "f_sheet", F.col("f_row").cast("bigint").alias("f_row")).agg(F.count("*").alias("n"), F.sum("v_num").alias("total"))
+    t = grid.range_totals(grid.references(w.cells), w.cells)
+    return t.select("file", F.col("sheet").alias("f_sheet"), F.col("row").cast("bigint").alias("f_row"), "n", "total")
 
 
 WRONG = f"""{REFS}, {LABELS}, cr AS (SELECT * FROM refs WHERE r_sheet <> sheet AND ext IS NULL), pp AS (SELECT file, sheet, r_sheet, count(*) AS n FROM cr WHERE r1 = r2 GROUP BY ALL HAVING count(*) >= 20),
@@ -223,7 +255,7 @@ def _(w):
     return grid.text_numbers(w.cells).select("file", "sheet", *b("row", "col"), "v_str")
 
 
-@query("C-K6_literal_findings", f"""WITH {LITS} SELECT file || '!' || literal AS entity, CAST(count(*) FILTER ({PATHCOL}) AS BIGINT) AS n FROM lt WHERE literal IN ('1.08', '5%', '0.5') GROUP BY file, literal HAVING count(*) FILTER ({PATHCOL}) > 0""")
+@query("C-K6_literal_findings", f"""{ON_PATH} SELECT file || '!' || literal AS entity, CAST(count(*) FILTER (on_path) AS BIGINT) AS n FROM lp WHERE literal IN ('1.08', '5%', '0.5') GROUP BY file, literal HAVING count(*) FILTER (on_path) > 0""")
 def _(w):
     path = on_path(w)
     return grid.k6_findings(w.cells, path).select("entity", "n")

@@ -83,12 +83,18 @@ def form_cells(w):
     return out.unionByName(laid_out(b, F.col("form_id"), "PL", 1001 + F.col("n"), {1: F.lower("thao_tac"), 2: F.nullif("ma_hm", F.lit("")), 3: F.col("nhom"), 4: F.col("ten"), 5: F.col("dvt"), 6: (F.col("kl"),), 7: (F.col("don_gia"),)}))
 
 
-@query("SRC-11_read_form", """SELECT CAST(l.form_id AS VARCHAR) AS file, CAST(1001 + row_number() OVER (PARTITION BY l.form_id ORDER BY dong) AS BIGINT) AS dong, thao_tac, ma_hm, ten, dvt, kl, don_gia FROM form_lines l JOIN forms f ON f.form_id = l.form_id""")
+#: Lines of the forms as laid out above. Where the heading of section B is lost, it starts at the first known operation, and lines before stay in section A.
+FORM = """WITH l AS (SELECT form_lines.*, 1001 + row_number() OVER (PARTITION BY form_lines.form_id ORDER BY dong) AS place FROM form_lines JOIN forms ON forms.form_id = form_lines.form_id),
+b AS (SELECT *, form_id % 5 <> 0 OR coalesce(place >= min(place) FILTER (thao_tac IN ('THAY', 'THEM', 'BO')) OVER (PARTITION BY form_id), FALSE) AS in_b FROM l)"""
+
+
+@query("SRC-11_read_form", f"""{FORM} SELECT CAST(form_id AS VARCHAR) AS file, CAST(place AS BIGINT) AS dong, thao_tac, ma_hm, ten, dvt, kl, don_gia FROM b WHERE in_b""")
 def _(w):
     return sheets.read_form(form_cells(w))["b_rows"].select("file", "dong", "thao_tac", "ma_hm", "ten", "dvt", "kl", "don_gia")
 
 
-@query("SRC-11_form_params", """SELECT CAST(l.form_id AS VARCHAR) AS file, CAST(11 + row_number() OVER (PARTITION BY l.form_id ORDER BY dong) AS BIGINT) AS dong, upper(trim(ma_ts)) AS ma_ts, cu, moi FROM form_params l JOIN forms f ON f.form_id = l.form_id""")
+@query("SRC-11_form_params", f"""{FORM} SELECT CAST(l.form_id AS VARCHAR) AS file, CAST(11 + row_number() OVER (PARTITION BY l.form_id ORDER BY dong) AS BIGINT) AS dong, upper(trim(ma_ts)) AS ma_ts, cu, moi FROM form_params l JOIN forms f ON f.form_id = l.form_id
+  UNION ALL SELECT CAST(form_id AS VARCHAR), CAST(place AS BIGINT), thao_tac, nhom, ten FROM b WHERE NOT in_b""")
 def _(w):
     return sheets.read_form(form_cells(w))["a_rows"].select("file", "dong", "ma_ts", "cu", "moi")
 

@@ -62,3 +62,44 @@ def test_segments_equal_a_naive_fold(spark):
         got = state.effective_rows(spark.createDataFrame(lines, BOQ), spark.createDataFrame(am, AM)).collect()
         mine = {(r.ma_hm, r.state): ((r.ten, r.kl, r.don_gia), r.bo_boi if r.state == "removed" else None) for r in got}
         assert mine == naive(lines, am)
+
+
+def test_prior_period_matches_brute_force(spark):
+    """One contract holds most rows; numbered, dated and undated claims, undated periods."""
+    rnd = random.Random(3)
+    day = lambda: rnd.choice([None, dt.date(2026, 1, 1) + dt.timedelta(rnd.randrange(60))])
+    periods = [(rnd.choice(["A", "A", "A", "B"]), n, day(), float(rnd.randrange(99))) for n in range(1, 150)]
+    claims = [(rnd.choice("AABC"), rnd.choice([None, rnd.randrange(160)]), day()) for _ in range(150)]
+    got = state.prior_period(spark.createDataFrame(claims, "ma_hd string, dot int, ngay date"), spark.createDataFrame(periods, "ma_hd string, dot int, ngay_nghiem_thu date, gt_luy_ke double"))
+    want = set()
+    for c, dot, on in claims:
+        hit = [(p[1], p[3]) for p in periods if p[0] == c and (p[1] < dot if dot is not None else p[2] is None or (on is not None and p[2] < on))]
+        if hit:
+            want.add((c, dot, on, *max(hit)))
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_later_amendments_form_no_other_pairs(spark):
+    """A contract with many amendments of the same day and number; only rows of the result leave a join."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice(["A", "A", "B"]), f"PL{rnd.randrange(9)}", dt.date(2026, 1, rnd.randint(1, 5)), rnd.choice(["Đã ký", "Đã ký", "Đã hủy"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, ma_hd string, so_pl string, ngay_hieu_luc date, trang_thai string")
+    got = sorted((r.cancelled_id, r.id) for r in state.later_amendments(df, df.filter("trang_thai = 'Đã hủy'")).collect())
+    assert got == sorted((c[0], a[0]) for c in rows for a in rows if c[4] == "Đã hủy" != a[4] and c[1] == a[1] and (a[3], a[2]) > (c[3], c[2]))
+
+
+def test_range_bounded_chunks_split_a_hot_key(spark):
+    """Half of all rows have one key and one value, with sparse numbers; no chunk holds more than twice the median."""
+    from pyspark.sql import functions as F
+
+    from claimgrid.operators import scan
+    rows = [("hot", 5.0, 1000 * n) for n in range(4000)] + [(f"k{n % 900}", float(n % 3), n) for n in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v double, id long")
+    sizes = sorted(r[1] for r in scan.ranged(df, ["k"], ["v", "id"], "c").groupBy("c").count().collect())
+    assert len(sizes) >= 4 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    got = {(r.k, r.id): r.s for r in scan.scan(df, ["k"], None, ["v", "id"], sums={"s": F.lit(1)}).collect()}
+    want, count = {}, {}
+    for k, _, i in sorted(rows):
+        count[k] = count.get(k, 0) + 1
+        want[k, i] = count[k]
+    assert got == want
