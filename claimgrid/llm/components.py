@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars; every round is written to the shared folder.
 
-Nodes with very many edges (hubs) are split: a node with over max(`HUB`, edges / `HUB`) of them is one of at most `HUB`, whose
-least neighbours are broadcast, so their edges stay where they are; only the other nodes' edges are dealt by node.
+Links that lead to a least node are what a component ends as, so that node of a large component has very many edges (a hub). A
+node with over max(`HUB`, edges / `HUB`) edges from above is one of at most `HUB`; the least neighbours of such nodes are broadcast,
+so their edges stay where they are, and only the other nodes' edges are dealt by node.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from claimgrid.llm.common import stored
 HUB = 1000
 
 
-def _with_least(edges: DataFrame, by: str, counts: DataFrame, least: DataFrame, most: int) -> DataFrame:
-    """edges(u, v) with the column m of least(node, m) for the node in column `by`, null where it has none. counts(node, n): edges
-    by that node."""
-    hubs = counts.where(F.col("n") > most).select("node").join(least, "node", "left").select(F.col("node").alias(by), F.col("m").alias("hub_m"), F.lit(True).alias("hub"))
-    dealt = edges.join(F.broadcast(hubs), by, "left")
-    rest = dealt.where("hub is null").select("u", "v").join(least.withColumnRenamed("node", by), by, "left").select("u", "v", "m")
-    return rest.union(dealt.where("hub").select("u", "v", F.col("hub_m").alias("m")))
+def _large_star(edges: DataFrame, most: int) -> DataFrame:
+    """What lies above a node goes to the node's least neighbour, or to the node itself where that is the least."""
+    least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    to = lambda df, m: df.select("u", F.coalesce(m, "v").alias("v"))
+    hubs = stored(edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("node"))
+    if hubs.isEmpty():
+        return to(edges.join(least.withColumnRenamed("node", "v"), "v", "left"), "m").distinct()
+    own = hubs.join(least, "node", "left").select(F.col("node").alias("v"), F.col("m").alias("hub_m"), F.lit(True).alias("hub"))
+    dealt = edges.join(F.broadcast(own), "v", "left")
+    rest = dealt.where("hub is null").select("u", "v").join(least.withColumnRenamed("node", "v"), "v", "left")
+    return to(dealt.where("hub"), "hub_m").union(to(rest, "m")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,12 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state or now[0] == 0:
             return edges
-        state, most = now, max(HUB, now[0] // HUB)
-        # large star: what lies above a node goes to the node's least neighbour, or to the node itself where that is the least
-        least = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        above = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n"))
-        large = _with_least(edges, "v", above, least, most).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        state = now
+        large = _large_star(edges, max(HUB, now[0] // HUB))
         # small star: what lies below a node, and the node, go to the least of it
-        below = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, "u", below, below.select("node", "m"), most).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(below.select("node", "m")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
+        edges = stored(small.distinct())

@@ -175,7 +175,7 @@ def joined(sets: DataFrame, alike: float) -> DataFrame:
     wide = dealt.where("n > 1").join(_blocks(outside, "k"), "root").withColumn("far", each("k"))
     out = outside.join(_blocks(outside, "k"), "root").join(_blocks(sets, "n"), "root").withColumn("far", place("k")).withColumn("own", each("n"))
     more = stored(compare(wide.select("root", "own", "far", "tid", "set").unionByName(out.select("root", "own", "far", "tid", "set")), "own", "far"))
-    return known if more.isEmpty() else components(known.select("u", "v").union(more))
+    return known if more.isEmpty() else components(known.toDF("a", "b").union(more))
 
 
 def verified(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, bits: int, words: int, alike: float) -> DataFrame:
