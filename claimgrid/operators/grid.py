@@ -85,17 +85,19 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return sheets(cells).select("file", "sheet").join(best, KEY, "left").withColumn("h", F.coalesce("h", F.lit(1)))
 
 
-def merged_anchors(merged: DataFrame) -> DataFrame:
-    """Member cells of merged ranges with the cell that holds their value."""
-    return (merged.select("file", "sheet", F.col("r1").alias("a_row"), F.col("c1").alias("a_col"), "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
-            .select("file", "sheet", "row", F.explode(F.sequence("c1", "c2")).alias("col"), "a_row", "a_col"))
+def merged_members(ranges: DataFrame) -> DataFrame:
+    """Member cells of ranges(file, sheet, r1, c1, r2, c2, a_row, a_col) with the cell that holds their value."""
+    rows = ranges.select("file", "sheet", "a_row", "a_col", "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
+    return rows.select("file", "sheet", "row", F.explode(F.sequence("c1", "c2")).alias("col"), "a_row", "a_col")
 
 
 def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFrame:
-    """Header text of each column: distinct texts of the rows around the header row (seven rows at most)."""
+    """Header text of each column: distinct texts of the rows around the header row (seven rows at most). With merged ranges a
+    text counts for all columns and rows of its range; only the part of a range near the header row is spread."""
     top = cells.filter(F.col("v_str").isNotNull() & (F.trim("v_str") != "")).select("file", "sheet", "row", "col", "v_str")
     if merged is not None:
-        a = merged_anchors(merged)
+        near = merged.join(header_rows(cells), KEY).withColumns({"a_row": F.col("r1"), "a_col": F.col("c1"), "r1": F.greatest("r1", F.col("h") - 3), "r2": F.least("r2", F.col("h") + 3)}).filter("r1 <= r2")
+        a = merged_members(near)
         spread = (a.join(top.select("file", "sheet", F.col("row").alias("a_row"), F.col("col").alias("a_col"), "v_str"), KEY + ["a_row", "a_col"])
                   .select("file", "sheet", "row", "col", "v_str"))
         texts = top.unionByName(spread.join(top.select(*KEY, "row", "col"), KEY + ["row", "col"], "left_anti"))
@@ -415,15 +417,24 @@ def _where(*parts) -> Column:
     return F.concat_ws("!", *parts)
 
 
-def k1_findings(cells: DataFrame) -> DataFrame:
+def k1_findings(cells: DataFrame, links: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Overview of each workbook. links (file, ext, target) and names (file, name, refers_to) of its parts, where known, add links
+    that no formula uses and names that lost their reference."""
     p = sheet_profile(cells)
     shown = F.col("sheet_state") == "visible"
     ent = _where("file", "sheet")
     ref = p.filter("n_ref_errors > 0").select(*finding("K1", F.when(shown, X.MEDIUM).otherwise(X.CONTROL), ent, "formulas lost a reference", F.col("n_ref_errors")))
     err = p.filter("n_error_values > 0").select(*finding("K1", F.when(shown, X.HIGH).otherwise(X.CONTROL), ent, "formulas show an error", F.col("n_error_values")))
     unc = p.filter("n_uncached > 0.5 * n_formulas").select(*finding("K1", X.CONTROL, ent, "formulas without a cached value", F.col("n_uncached")))
-    ext = external_usage(cells).select(*finding("K1", X.HIGH, _where("file", F.col("ext").cast("string")), "formulas read an external file", F.col("n")))
-    return collect_findings(ref, err, unc, ext)
+    usage = external_usage(cells)
+    ext = usage.select(*finding("K1", X.HIGH, _where("file", F.col("ext").cast("string")), "formulas read an external file", F.col("n")))
+    out = [ref, err, unc, ext]
+    per_file = lambda df, message: df.groupBy("file").agg(F.count("*").alias("n")).select(*finding("K1", X.CONTROL, F.col("file"), message, F.col("n")))
+    if links is not None:
+        out.append(per_file(unused_links(links, usage), "external links that no formula uses"))
+    if names is not None:
+        out.append(per_file(names.filter(F.col("refers_to").contains("#REF!")), "defined names lost a reference"))
+    return collect_findings(*out)
 
 
 def unused_links(links: DataFrame, usage: DataFrame) -> DataFrame:

@@ -51,6 +51,7 @@ def store_schema(table: str) -> T.StructType:
 
 CELLS = _parse("file string,sheet string,sheet_idx int,sheet_state string,row int,col int,formula string,"
                "v_num double,v_str string,is_bool boolean")
+PARTS = _parse("file string,kind string,sheet string,r1 int,c1 int,r2 int,c2 int,no int,name string,text string")
 PARAGRAPHS = _parse("doc_id string,pos long,section string,text string")
 DOCUMENT_TEXT = _parse("file string,kind string,pages int,text string,note string,needs_ocr boolean")
 

@@ -6,7 +6,7 @@ import importlib
 
 from claimgrid.workload.registry import ORACLES, QUERIES
 
-MODULES = ["q_state", "q_reconcile", "q_amend", "q_text", "q_documents", "q_grid", "q_lineage", "q_risk", "q_store", "q_flows"]
+MODULES = ["q_state", "q_reconcile", "q_amend", "q_text", "q_documents", "q_grid", "q_lineage", "q_risk", "q_store", "q_sources", "q_flows"]
 
 
 def _load():
