@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared as lower-case words with single spaces. An item of m characters may differ from a passage by
-k = floor(rate * m) edits; cut into k + 1 pieces, at least one piece stands in such a passage unchanged. All pieces are searched at
+k = floor(rate * m) edits, but by at most floor(m / shortest) - 1, so that its pieces keep `shortest` characters: short items stand
+as whole words without an edit or not at all. Cut into k + 1 pieces, at least one piece stands in such a passage unchanged. All pieces are searched at
 once with an Aho-Corasick automaton, and around each hit the item is verified with Myers' bit-parallel edit distance, the
 passage's ends being free. The items are the stated query set: they are sent to the executors in blocks of bounded size, each
 matched against all documents; documents are never shuffled.
@@ -141,11 +142,12 @@ class _Sent:
         return self.broadcast.value
 
 
-def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, shortest: int = 12, min_chars: int = 24, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, edits): every pair of a document and an item that stands in it with at most floor(rate * m) edits.
+def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, shortest: int = 12, min_chars: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, edits): every pair of a document and an item that stands in it within `budget` edits: floor(rate * m) for an
+    item of m characters, but at most floor(m / shortest) - 1.
 
-    Items of fewer than min_chars characters in plain form are no evidence and left out, null and empty ones among them; null and
-    empty texts have no match. Repeated rows give repeated results, ids may be null, an empty table gives none.
+    Items of fewer than min_chars characters in plain form (a single short word) are no evidence and left out, null and empty ones
+    among them; null and empty texts have no match. Repeated rows give repeated results, ids may be null, an empty table gives none.
     """
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema[item_id].dataType), T.StructField("edits", T.IntegerType())])
     out = None
@@ -166,7 +168,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, shortest
     return out
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, shortest: int = 12, min_chars: int = 24, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, rate: float = 0.06, shortest: int = 12, min_chars: int = 8, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no item stands (see contaminated)."""
     for block in blocks(items, item_id, item_text, rate, shortest, min_chars):
         sent = _Sent(block)

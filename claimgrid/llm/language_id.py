@@ -14,6 +14,7 @@ and lies nearer to that of characters drawn evenly. The second condition keeps t
 
 from __future__ import annotations
 
+import warnings
 from functools import lru_cache
 
 import numpy as np
@@ -207,8 +208,10 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
 
 
 def train(docs: DataFrame, rows_per_lang: int = 500, max_chars: int = 20_000, max_langs: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from labelled rows that are not held out. Ids, languages or texts that are null give no training row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
+    """Learn from labelled rows that are not held out. Ids, languages or texts that are null give no training row; of a text longer
+    than max_chars the first max_chars code points are learned from. A labelled language without enough text for a model is
+    warned of and left out."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
     if len(sizes) > max_langs:
         raise ValueError(f"more than max_langs={max_langs} languages")
@@ -217,7 +220,7 @@ def train(docs: DataFrame, rows_per_lang: int = 500, max_chars: int = 20_000, ma
     langs = sorted(sizes)
     unit = (F.xxhash64("id").bitwiseAND((1 << 30) - 1)) / float(1 << 30)
     share = F.create_map([x for k in langs for x in (F.lit(k), F.lit(min(1.0, 1.5 * rows_per_lang / sizes[k])))])
-    drawn = rows.where((unit < share[F.col("lang")]) & F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    drawn = rows.where(unit < share[F.col("lang")]).withColumn("text", F.substring("text", 1, max_chars))
     drawn = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).where(F.col("k") <= rows_per_lang)
     every = 5                                             # one row in five calibrates
 
@@ -235,7 +238,9 @@ def train(docs: DataFrame, rows_per_lang: int = 500, max_chars: int = 20_000, ma
     found = drawn.where(F.col("k") % every != 0).select("text", "lang").mapInArrow(grams, "lang string, gram binary, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     kinds = np.frombuffer(b"".join(found.column("gram").to_pylist()), np.uint32).reshape(-1, ORDER)
     lang, n = np.array(found.column("lang").to_pylist(), object), found.column("n").to_numpy()
-    langs = [x for x in langs if (lang == x).any()]
+    if lost := [x for x in langs if not (lang == x).any()]:
+        warnings.warn(f"no model for the labelled languages {lost}: too little text", stacklevel=2)
+    langs = [x for x in langs if x not in lost]
     model = Model(langs, [(kinds[lang == x], n[lang == x]) for x in langs])
     if langs:
         held = drawn.where(F.col("k") % every == 0).select("text", "lang").where(F.col("lang").isin(langs)).toArrow()

@@ -73,3 +73,10 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     one = sorted(map(tuple, D.contaminated(d, b).collect()))
     monkeypatch.setattr(D, "BLOCK_BYTES", 100)
     assert sorted(map(tuple, D.contaminated(d, b).collect())) == one
+
+
+def test_short_items_stand_as_whole_words(spark):
+    """Under two pieces of letters: no edit, whole words; a single short word is no evidence."""
+    d = spark.createDataFrame([(1, "Is it 7 or 8, then?"), (2, "is it 7 or 88"), (3, "this it 7 or 8"), (4, "ab"), (5, "首都是哪里呢 问"), (6, "x 法国的首都是哪里呢 y")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "it 7 or 8"), (2, "ab"), (3, "法国的首都是哪里呢")], "item_id long, text string")
+    assert sorted(map(tuple, D.contaminated(d, b).collect())) == [(1, 1, 0), (3, 1, 0), (6, 3, 0)]
