@@ -324,8 +324,40 @@ def leaf_summary(tree: DataFrame) -> DataFrame:
     return tree.filter("kind in ('Nhập tay', 'Nhóm nhập tay', 'File ngoài', 'Tham số gõ cứng')").groupBy("file", "kind").agg(F.count("*").alias("n"))
 
 
-def k8_findings(traced: DataFrame) -> DataFrame:
-    """Source strata that call for proof, and capped quantities."""
+THIS, PRIOR, NO_PRIOR = "luy ke", "ky truoc", "0 / không có"
+
+
+def trace_quantities(cells: DataFrame, measure: str = "ratio") -> tuple[DataFrame, DataFrame]:
+    """(cumulative, prior) sources of every priced line of the detail tables, all cells traced in one walk.
+
+    cumulative: file, item, nguon, hops, flags, gt_kn, gt_lk of the cumulative quantity (this period's where a table has none).
+    prior: file, item, nguon of the prior periods' quantity, with a mark where it comes through a hidden sheet; lines without a
+    prior quantity have a class of their own.
+    """
+    rows = cut_lineage(grid.detail_table(cells).filter("dvt <> ''"))
+    where = grid.detail_layouts(cells).select("file", "sheet", F.coalesce("kl_lk", "kl_kn").alias("lk_col"), F.col("kl_kt").alias("kt_col"))
+    at = cut_lineage(rows.join(where, ["file", "sheet"]))
+    root = lambda which, col: at.select("file", F.struct(F.col("dong"), F.lit(which).alias("which")).alias("item"), "sheet", F.col("dong").alias("row"), F.col(col).alias("col"), "kl_hd")
+    has_prior = F.col("kt_col").isNotNull() & (F.coalesce("kl_kt", F.lit(0.0)) != 0)
+    priors = at.filter(has_prior).select("file", F.struct(F.col("dong"), F.lit(PRIOR).alias("which")).alias("item"), "sheet", F.col("dong").alias("row"), F.col("kt_col").alias("col"), "kl_hd")
+    found = cut_lineage(trace_sources(root(THIS, "lk_col").unionByName(priors), cells, measure).select("file", "item.dong", "item.which", "nguon", "hops", "flags"))
+    price = F.coalesce("don_gia", F.lit(0.0))
+    value = lambda gt, kl: F.coalesce(gt, F.coalesce(kl, F.lit(0.0)) * price).alias(gt)
+    values = at.select("file", F.col("dong"), value("gt_kn", "kl_kn"), value("gt_lk", "kl_lk"))
+    of = lambda which: found.filter(F.col("which") == which).drop("which")
+    cumulative = of(THIS).join(values, ["file", "dong"]).withColumnRenamed("dong", "item")
+    marked = F.concat("nguon", F.when(F.array_contains("flags", "qua sheet ẩn"), " (qua sheet ẩn)").otherwise(""))
+    prior = of(PRIOR).select("file", F.col("dong").alias("item"), marked.alias("nguon")).unionByName(at.filter(~has_prior).select("file", F.col("dong").alias("item"), F.lit(NO_PRIOR).alias("nguon")))
+    return cumulative, prior
+
+
+def prior_strata(prior: DataFrame) -> DataFrame:
+    """Lines per source of the prior quantity."""
+    return prior.filter(F.col("nguon") != NO_PRIOR).groupBy("file", "nguon").agg(F.count("*").alias("n"))
+
+
+def k8_findings(traced: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Source strata that call for proof, and capped quantities; with prior, the sources of prior quantities as well."""
     from claimgrid.operators.quality import collect_findings, finding
     st = source_strata(traced)
     high = [X.SRC_TYPED, X.SRC_EQUALS, X.SRC_EMPTY, X.SRC_WRONG_ROW, X.SRC_EXTERNAL]
@@ -333,7 +365,13 @@ def k8_findings(traced: DataFrame) -> DataFrame:
     b = st.filter(F.col("nguon") == X.SRC_RATE).select(*finding("K8", X.MEDIUM, F.col("file"), F.col("nguon"), F.col("n"), F.col("gt_lk")))
     c = (traced.filter(F.array_contains("flags", "đang bị chặn về KL HĐ")).groupBy("file").agg(F.count("*").alias("n"))
          .select(*finding("K8", X.MEDIUM, F.col("file"), "capped at the contract quantity", F.col("n"))))
-    return collect_findings(a, b, c)
+    out = [a, b, c]
+    if prior is not None:
+        k = F.col("nguon")
+        grave = k.contains(X.SRC_TYPED) | k.contains("sheet ẩn")
+        asks = k.startswith(X.SRC_TYPED) | k.startswith("Tỷ lệ") | k.contains("sheet ẩn")
+        out.append(prior_strata(prior).filter(asks).select(*finding("K8", F.when(grave, X.HIGH).otherwise(X.MEDIUM), F.col("file"), F.concat(F.lit("prior: "), k), F.col("n"))))
+    return collect_findings(*out)
 
 
 def source_grouped_range(items: DataFrame, measure: str, source: str) -> DataFrame:

@@ -202,3 +202,18 @@ def test_ranges_match_their_members(spark):
             if own:
                 want[a, b, x, y, kind] = (len(own), min(own))
     assert {k: (n, tuple(low)) for k, (n, low) in found.items()} == want
+
+
+def test_prior_quantities_through_a_hidden_sheet(spark):
+    """Two lines: a typed prior quantity, and one that comes from a hidden sheet; a third has none."""
+    head = ["STT", "Tên công việc", "Đơn vị", "Khối lượng hợp đồng", "Khối lượng kỳ trước", "Khối lượng kỳ này", "Khối lượng lũy kế đến hết kỳ này", "Đơn giá", "Giá trị hợp đồng", "Giá trị kỳ này", "Giá trị lũy kế đến hết kỳ này"]
+    rows = [("f", "C", 0, "visible", 5, i + 1, None, None, h) for i, h in enumerate(head)]
+    for r, prior in ((6, None), (7, "=H!A1"), (8, 0.0)):
+        rows += [("f", "C", 0, "visible", r, 1, None, float(r), None), ("f", "C", 0, "visible", r, 2, None, None, f"Đào đất số {r}"), ("f", "C", 0, "visible", r, 3, None, None, "m3"), ("f", "C", 0, "visible", r, 4, None, 50.0, None),
+                 ("f", "C", 0, "visible", r, 5, prior if isinstance(prior, str) else None, 0.0 if prior == 0.0 else 3.0, None), ("f", "C", 0, "visible", r, 7, None, 9.0, None), ("f", "C", 0, "visible", r, 8, None, 10.0, None)]
+    rows.append(("f", "H", 1, "hidden", 1, 1, None, 3.0, None))
+    done, prior = lineage.trace_quantities(spark.createDataFrame(rows, CELLS), "edit")
+    assert {r["item"]: r.nguon for r in prior.collect()} == {6: X.SRC_TYPED, 7: f"{X.SRC_TYPED} (qua sheet ẩn)", 8: lineage.NO_PRIOR}
+    assert {r["item"]: (r.nguon, r.gt_lk) for r in done.collect()} == {n: (X.SRC_TYPED, 90.0) for n in (6, 7, 8)}
+    found = {(r.message, r.level, r.n) for r in lineage.k8_findings(done, prior).collect()}
+    assert {(f"prior: {X.SRC_TYPED}", X.HIGH, 1), (f"prior: {X.SRC_TYPED} (qua sheet ẩn)", X.HIGH, 1)} < found
