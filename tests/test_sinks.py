@@ -58,3 +58,33 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
         shared_dir(Session())
     assert shared_dir(spark)
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_actions_are_logged_once(spark, tmp_path):
+    at = str(tmp_path / "actions")
+    rows = lambda ids: spark.createDataFrame([(i, "ghi", f"HD{i % 3}", "x") for i in ids], "action_id long, thao_tac string, ma_hd string, chi_tiet string")
+    tables.append_actions(rows([1, 2, 2]), at, buckets=4)
+    for _ in range(2):
+        tables.append_actions(rows([2, 3]), at, buckets=4)
+    tables.append_actions(rows([]), at, buckets=4)
+    assert sorted(r.action_id for r in spark.read.parquet(at).collect()) == [1, 2, 3]
+
+
+def test_a_run_is_seen_by_its_manifest(spark, tmp_path):
+    import shutil
+
+    from claimgrid.sinks import base_set
+    at = str(tmp_path)
+    assert base_set.committed(spark, at, "1") == {}
+    base_set.commit_tables({"BOQ tong": spark.range(3), "Nhat ky": spark.range(1)}, at, "1")
+    base_set.commit_tables({"BOQ tong": spark.range(2), "Nhat ky": spark.range(1)}, at, "1")        # repeated
+    assert {n: d.count() for n, d in base_set.committed(spark, at, "1").items()} == {"BOQ tong": 2, "Nhat ky": 1}
+    shutil.rmtree(tmp_path / "1" / base_set.MANIFEST)
+    assert base_set.committed(spark, at, "1") == {}                                                 # cut off
+
+
+def test_totals_in_one_pass(spark):
+    from claimgrid.sinks import base_set
+    lines = spark.createDataFrame([("A", "g", "1", 2.0), ("A", "g", "2", 3.0), ("A", "h", "3", 4.0), ("B", "g", "1", 5.0)], "ma_hd string, nhom string, ma_hm string, v double")
+    got = {(r.ma_hd, r.nhom, r.ma_hm, r.level): r.thanh_tien for r in base_set.with_totals(lines, ["ma_hd", "nhom", "ma_hm"], F.col("v")).collect()}
+    assert got[("A", None, None, 1)] == 9.0 and got[("A", "g", None, 2)] == 5.0 and got[("B", "g", "1", 3)] == 5.0 and len(got) == 4 + 3 + 2
