@@ -212,7 +212,7 @@ def _at(*steps):
     return F.array(*(F.struct(F.lit(part).alias("part"), F.lit(no).cast("bigint").alias("no")) for part, no in steps)).cast(PATH)
 
 
-def _range_contents(ranges: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
+def range_contents(ranges: DataFrame, node: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(typed, patterns) of ranges(file, sheet, c1, r1, c2, r2): number, sum and first place of the typed numbers; and per formula
     pattern its number, its rank (most first, then the first in the range) and the cell that stands for it, that of the
     greatest value."""
@@ -249,7 +249,7 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
             single = F.expr("c1 = c2 and r1 = r2")
             here = inside.filter(single).select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("r1").alias("t_row"), F.col("c1").alias("t_col"), _at((1, F.col("ref_no"))).alias("piece"))
             ranges = inside.filter(~single).select("file", F.col("r_sheet").alias("sheet"), *BOX).distinct()
-            of_typed, of_formulas = (cut_lineage(d.withColumnRenamed("sheet", "r_sheet")) for d in _range_contents(ranges, node))
+            of_typed, of_formulas = (cut_lineage(d.withColumnRenamed("sheet", "r_sheet")) for d in range_contents(ranges, node))
             asked = inside.filter(~single).select(*CELL, "ref_no", "r_sheet", *BOX)
             typed.append(asked.join(of_typed, ["file", "r_sheet", *BOX]))
             patterns.append(asked.join(of_formulas, ["file", "r_sheet", *BOX]))

@@ -142,14 +142,27 @@ def _(w):
     return checked(w)["findings"].groupBy("check", "level").agg(F.count("*").alias("n"))
 
 
-@query("C-DQ_store_rules", """SELECT 'DQ-UQ amendment' AS "check", ma_hd || '/' || so_pl AS entity, CAST(count(*) AS BIGINT) AS n FROM amendments WHERE trang_thai <> 'Đã hủy' GROUP BY ma_hd, so_pl HAVING count(*) > 1
-   UNION ALL SELECT 'DQ-FK line', CAST(pl_id AS VARCHAR), CAST(count(*) AS BIGINT) FROM boq_changes WHERE pl_id % 50 = 0 GROUP BY pl_id""")
+#: A store with violations of every rule: contracts that repeat or are missing, lines of missing amendments or with an unknown operation, repeated lines, periods and quantities.
+SPOILT = """hd AS (SELECT ma_hd, so_hd FROM contracts WHERE cust % 30 <> 7 UNION ALL SELECT ma_hd, so_hd FROM contracts WHERE cust % 20 = 0),
+pl AS (SELECT id, ma_hd, so_pl, trang_thai FROM amendments WHERE id % 50 <> 0),
+bl AS (SELECT id, ma_hd, pl_id, ma_hm, CASE WHEN id % 97 = 0 THEN 'XOA' ELSE thao_tac END AS thao_tac FROM boq_log UNION ALL SELECT id, ma_hd, pl_id, ma_hm, thao_tac FROM boq_log WHERE id % 89 = 0),
+dt AS (SELECT ma_hd, dot FROM periods UNION ALL SELECT ma_hd, dot FROM periods WHERE dot = 3),
+kl AS (SELECT ma_hd, dot, ma_hm FROM period_items UNION ALL SELECT ma_hd, dot, ma_hm FROM period_items WHERE dot = 3)"""
+
+
+@query("C-DQ_store_rules", f"""WITH {SPOILT} SELECT 'DQ-PK contract' AS "check", ma_hd AS entity, CAST(count(*) AS BIGINT) AS n FROM hd GROUP BY ma_hd HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-UQ contract', so_hd, CAST(count(*) AS BIGINT) FROM hd GROUP BY so_hd HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-UQ amendment', ma_hd || '/' || so_pl, CAST(count(*) AS BIGINT) FROM pl WHERE trang_thai <> 'Đã hủy' GROUP BY ma_hd, so_pl HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-UQ line', ma_hd || '/' || coalesce(CAST(pl_id AS VARCHAR), '-') || '/' || ma_hm, CAST(count(*) AS BIGINT) FROM bl GROUP BY ma_hd, pl_id, ma_hm HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-PK period', ma_hd || '/' || dot, CAST(count(*) AS BIGINT) FROM dt GROUP BY ma_hd, dot HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-PK quantity', ma_hd || '/' || dot || '/' || ma_hm, CAST(count(*) AS BIGINT) FROM kl GROUP BY ma_hd, dot, ma_hm HAVING count(*) > 1
+   UNION ALL SELECT 'DQ-FK amendment', ma_hd, CAST(count(*) AS BIGINT) FROM pl WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.ma_hd = pl.ma_hd) GROUP BY ma_hd
+   UNION ALL SELECT 'DQ-FK line', CAST(pl_id AS VARCHAR), CAST(count(*) AS BIGINT) FROM bl WHERE pl_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pl WHERE pl.id = bl.pl_id) GROUP BY pl_id
+   UNION ALL SELECT 'DQ-CK line', CAST(id AS VARCHAR), 1 FROM bl WHERE thao_tac NOT IN ('GOC', 'THAY', 'THEM', 'BO')""")
 def _(w):
-    am = w.amendments
-    parent = am.filter("id % 50 <> 0")
-    v = quality.collect_findings(
-        quality.duplicate_keys(w.contracts, ["ma_hd"], "DQ-PK contract"),
-        quality.duplicate_keys(am, ["ma_hd", "so_pl"], "DQ-UQ amendment", F.col("trang_thai") != "Đã hủy"),
-        quality.orphans(w.boq_changes, "pl_id", parent, "id", "DQ-FK line"),
-        quality.not_in_domain(w.boq_log, "thao_tac", ["GOC", "THAY", "THEM", "BO"], "id", "DQ-CK line"))
-    return v.select("check", "entity", "n")
+    """All nine rules over the store with its planted violations."""
+    hd = w.contracts.filter("cust % 30 <> 7").unionByName(w.contracts.filter("cust % 20 = 0"))
+    spoilt = w.boq_log.withColumn("thao_tac", F.when(F.col("id") % 97 == 0, "XOA").otherwise(F.col("thao_tac")))
+    bl = spoilt.unionByName(w.boq_log.filter("id % 89 = 0"))
+    twice = lambda df: df.unionByName(df.filter("dot = 3"))
+    return quality.store_violations(hd, w.amendments.filter("id % 50 <> 0"), bl, twice(w.periods), twice(w.period_items)).select("check", "entity", "n")
