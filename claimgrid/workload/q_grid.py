@@ -196,6 +196,14 @@ def _(w):
     return t.select("file", F.col("sheet").alias("f_sheet"), F.col("row").cast("bigint").alias("f_row"), "n", "total")
 
 
+@query("J-15_range_members", f"""WITH {REFS} SELECT r.file, r.sheet AS f_sheet, CAST(r.row AS BIGINT) AS f_row, t.sheet, CAST(t.row AS BIGINT) AS row, CAST(t.col AS BIGINT) AS col, t.v_num FROM refs r JOIN cells t ON t.file = r.file AND t.sheet = r.r_sheet AND t.row BETWEEN r.r1 AND r.r2 AND t.col BETWEEN r.c1 AND r.c2
+   WHERE r.ext IS NULL AND (r.c1 <> r.c2 OR r.r1 <> r.r2)""")
+def _(w):
+    """The members themselves, for whoever asks for them."""
+    e = grid.expand_ranges(grid.references(w.cells), w.cells)
+    return e.select("file", "f_sheet", F.col("f_row").cast("bigint").alias("f_row"), "sheet", *b("row", "col"), "v_num")
+
+
 WRONG = f"""{REFS}, {LABELS}, cr AS (SELECT * FROM refs WHERE r_sheet <> sheet AND ext IS NULL), pp AS (SELECT file, sheet, r_sheet, count(*) AS n FROM cr WHERE r1 = r2 GROUP BY ALL HAVING count(*) >= 20),
 wl AS (SELECT c.*, a.label AS a, z.label AS b FROM cr c JOIN pp ON pp.file = c.file AND pp.sheet = c.sheet AND pp.r_sheet = c.r_sheet JOIN lab a ON a.file = c.file AND a.sheet = c.sheet AND a.row = c.row LEFT JOIN lab z ON z.file = c.file AND z.sheet = c.r_sheet AND z.row = c.r1
    WHERE c.sheet_state = 'visible' AND c.c1 = c.c2 AND c.r1 = c.r2 AND EXISTS (SELECT 1 FROM cells k WHERE k.file = c.file AND k.sheet = c.r_sheet) AND length(a.label) >= 6 AND NOT coalesce(regexp_matches({sql_fold('z.label')}, '^(tong|cong|thue|vat|gia tri)'), FALSE)),
