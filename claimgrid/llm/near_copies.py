@@ -100,7 +100,9 @@ def proposed(rows: DataFrame, bits: int) -> DataFrame:
         ends = ends.join(lead.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_tid")), c)
     keyed = texts.select("tid", F.explode("bands").alias("key"))
     met = keyed.groupBy("key").agg(F.min("tid").alias("b"), F.max("tid").alias("top")).where("b <> top").drop("top")
-    met = keyed.join(met, "key").select(F.col("tid").alias("a"), "b")
+    # of a text's minima, one a band at most, the least is linked to the text and to the others: texts of a group share them
+    minima = keyed.join(met, "key").groupBy("tid").agg(F.collect_set("b").alias("b")).withColumn("b_least", F.array_min("b"))
+    met = minima.select("tid", "b_least").union(minima.select(F.explode("b"), "b_least").distinct()).toDF("a", "b")
     star = stored(components(same.union(ends.select("a_tid", "b_tid")).union(met).where("a <> b").distinct()).select(F.col("u").alias("tid"), F.col("v").alias("root")))
     return star.union(star.select(F.col("root").alias("tid"), "root").distinct())
 
