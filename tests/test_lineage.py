@@ -211,7 +211,7 @@ def test_prior_quantities_through_a_hidden_sheet(spark):
     for r, prior in ((6, None), (7, "=H!A1"), (8, 0.0)):
         rows += [("f", "C", 0, "visible", r, 1, None, float(r), None), ("f", "C", 0, "visible", r, 2, None, None, f"Đào đất số {r}"), ("f", "C", 0, "visible", r, 3, None, None, "m3"), ("f", "C", 0, "visible", r, 4, None, 50.0, None),
                  ("f", "C", 0, "visible", r, 5, prior if isinstance(prior, str) else None, 0.0 if prior == 0.0 else 3.0, None), ("f", "C", 0, "visible", r, 7, None, 9.0, None), ("f", "C", 0, "visible", r, 8, None, 10.0, None)]
-    rows.append(("f", "H", 1, "hidden", 1, 1, None, 3.0, None))
+    rows += [("f", "H", 1, "hidden", 1, 1, None, 3.0, None), ("f", "H", 1, "hidden", 1, 2, None, None, "Đào đất số 7")]
     done, prior = lineage.trace_quantities(spark.createDataFrame(rows, CELLS), "edit")
     assert {r["item"]: r.nguon for r in prior.collect()} == {6: X.SRC_TYPED, 7: f"{X.SRC_TYPED} (qua sheet ẩn)", 8: lineage.NO_PRIOR}
     assert {r["item"]: (r.nguon, r.gt_lk) for r in done.collect()} == {n: (X.SRC_TYPED, 90.0) for n in (6, 7, 8)}
