@@ -248,13 +248,16 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
             inside = r.filter("ext is null and known")
             single = F.expr("c1 = c2 and r1 = r2")
             here = inside.filter(single).select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("r1").alias("t_row"), F.col("c1").alias("t_col"), _at((1, F.col("ref_no"))).alias("piece"))
-            ranges = inside.filter(~single).select("file", F.col("r_sheet").alias("sheet"), *BOX).distinct()
-            of_typed, of_formulas = (cut_lineage(d.withColumnRenamed("sheet", "r_sheet")) for d in range_contents(ranges, node))
             asked = inside.filter(~single).select(*CELL, "ref_no", "r_sheet", *BOX)
-            typed.append(asked.join(of_typed, ["file", "r_sheet", *BOX]))
-            patterns.append(asked.join(of_formulas, ["file", "r_sheet", *BOX]))
-            reps = patterns[-1].select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("rep_row").alias("t_row"), F.col("rep_col").alias("t_col"), _at((1, F.col("ref_no")), (1, F.col("rank")), (0, 0)).alias("piece"))
-            edges.append(cut_lineage(here.unionByName(reps)))
+            if not asked.isEmpty():
+                ranges = asked.select("file", F.col("r_sheet").alias("sheet"), *BOX).distinct()
+                of_typed, of_formulas = (d.withColumnRenamed("sheet", "r_sheet") for d in range_contents(ranges, node))
+                typed.append(cut_lineage(asked.join(of_typed, ["file", "r_sheet", *BOX])))
+                patterns.append(cut_lineage(asked.join(of_formulas, ["file", "r_sheet", *BOX])))
+                here = here.unionByName(patterns[-1].select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("rep_row").alias("t_row"), F.col("rep_col").alias("t_col"), _at((1, F.col("ref_no")), (1, F.col("rank")), (0, 0)).alias("piece")))
+            edges.append(cut_lineage(here))
+            if len(edges) > 4:                              # few tables to read in a round
+                edges = [cut_lineage(_union(edges))]
             read.append(r)
         offers = [e.join(frontier, CELL).select("file", *to, F.concat("path", "piece").alias("offer")) for e in edges]
         if not offers:
@@ -295,6 +298,7 @@ def _tree_rows(least, targets, node, read, typed, patterns, edges) -> DataFrame:
         piece = _at((1, F.col("ref_no")))
         for kind, which in (("File ngoài", "ext is not null"), ("Lỗi tham chiếu", "ext is null and known is null"), ("Dải", "ext is null and known and (c1 <> c2 or r1 <> r2)")):
             out.append(row(r.filter(which), piece, kind, "r_sheet", "r1", "c1", F.lit(""), none))
+    if typed:
         t = _union(typed).join(least, CELL).withColumns({"f_row": F.col("first.row"), "f_col": F.col("first.col")})
         out.append(row(t, _at((1, F.col("ref_no")), (0, 0)), "Nhóm nhập tay", "r_sheet", "f_row", "f_col", F.col("n").cast("string"), F.col("value")))
         p = _union(patterns).join(least, CELL)
