@@ -26,3 +26,25 @@ def test_formulas_are_parsed_by_one_function(spark):
     got = [(r.p, None if r.r is None else [tuple(x) for x in r.r]) for r in out.collect()]
     assert got == [("=<It''s[a]>!C2R3:C[0]R[2]+C[-2]R[-1]*<[12]Xy>!C[24]R[8]", [("It's [a]", 2, 3, 3, 4, None), ("X y", 27, 10, 27, 10, 12), ("S", 1, 1, 1, 1, None)]),
                    ('=""&C[0]R[1]&""', [("S", 3, 3, 3, 3, None)]), (None, None)]
+
+
+def test_exploded_tables_are_not_dealt_out_again(spark, monkeypatch):
+    class Table:
+        spread, write = False, None
+
+        def __init__(self):
+            self.write = self
+
+        def repartition(self, n):
+            self.spread = True
+            return self
+
+        def parquet(self, path):
+            pass
+
+    made = {}
+    monkeypatch.setattr(World, "_table", lambda self, name: made.setdefault(name, Table()))
+    w = World(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr("claimgrid.workload.world._WRITTEN", {})
+    w._stored("cells"), w._stored("lines")
+    assert not made["cells"].spread and made["lines"].spread
