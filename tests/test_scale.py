@@ -48,3 +48,13 @@ def test_exploded_tables_are_not_dealt_out_again(spark, monkeypatch):
     monkeypatch.setattr("claimgrid.workload.world._WRITTEN", {})
     w._stored("cells"), w._stored("lines")
     assert not made["cells"].spread and made["lines"].spread
+
+
+def test_texts_and_answers_are_not_broadcast(spark):
+    docs = spark.createDataFrame([("A", "Bên giao thầu Công ty Một")], "doc_id string, text string")
+    rows = spark.createDataFrame([("A", "TC-06", "", None, "Công ty Một", "Tự động", "", "")], "doc_id string, ma string, don_vi string, v_num double, v_str string, cach string, dieu string, trich string")
+    answers = spark.createDataFrame([("A", "TC-06", "Công ty Một", "", "", "công ty một", "")], "doc_id string, ma string, gia_tri string, don_vi string, dieu_khoan string, trich_dan string, ghi_chu string")
+    full = extract.folded_documents(docs, extract.parties_of(rows))
+    found = extract.compare_extractors(rows, answers, full)
+    assert "BroadcastHashJoin" not in plan(found) and "BroadcastHashJoin" not in plan(extract.fill_from_ai(rows, answers))
+    assert [(r.khop, r.that) for r in found.collect()] == [("Khớp", "Có")]
