@@ -58,3 +58,13 @@ def test_texts_and_answers_are_not_broadcast(spark):
     found = extract.compare_extractors(rows, answers, full)
     assert "BroadcastHashJoin" not in plan(found) and "BroadcastHashJoin" not in plan(extract.fill_from_ai(rows, answers))
     assert [(r.khop, r.that) for r in found.collect()] == [("Khớp", "Có")]
+
+
+def test_fragments_are_not_broadcast(spark):
+    contracts = spark.createDataFrame([("HD1", "Hop dong 0001"), ("HD2", "Hop dong 0001"), ("HD3", "Hop dong 0003")], "ma_hd string, so_hd string")
+    refs = spark.createDataFrame([("dong 0003",), ("dong 0001",), ("hd2",), ("Hop dong 0001",), ("zzzz",)], "ref string")
+    out = state.resolve_reference(refs, contracts)
+    joins = [line for line in plan(out).splitlines() if "BroadcastHashJoin" in line and ("[g#" in line or "so_hd" in line or "ma_hd" in line)]
+    assert not joins
+    assert {r.ref: (r.ma_hd, r.status) for r in out.collect()} == {
+        "dong 0003": ("HD3", "unique"), "dong 0001": (None, "ambiguous"), "hd2": ("HD2", "unique"), "Hop dong 0001": ("HD1", "unique"), "zzzz": (None, "none")}
