@@ -5,10 +5,13 @@ from __future__ import annotations
 import contextlib
 import io
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from claimgrid.functions import formulas as S
 from claimgrid.operators import extract, state
+from claimgrid.sinks import workbooks
+from claimgrid.sources import files
 from claimgrid.workload.world import World
 
 
@@ -68,3 +71,26 @@ def test_fragments_are_not_broadcast(spark):
     assert not joins
     assert {r.ref: (r.ma_hd, r.status) for r in out.collect()} == {
         "dong 0003": ("HD3", "unique"), "dong 0001": (None, "ambiguous"), "hd2": ("HD2", "unique"), "Hop dong 0001": ("HD1", "unique"), "zzzz": (None, "none")}
+
+
+def workbook(cells=3, bad=None):
+    c = pd.DataFrame({"sheet": "S", "sheet_idx": 0, "sheet_state": "visible", "row": range(1, cells + 1), "col": 2, "formula": None, "v_num": [float(i) for i in range(cells)], "v_str": None})
+    if bad is not None:
+        c.loc[bad, ["formula", "v_str"]] = ["=A1", "#REF!"]
+    parts = pd.DataFrame({"kind": ["merged", "link"], "sheet": ["S", None], "r1": [1, None], "c1": [1, None], "r2": [2, None], "c2": [3, None], "no": [None, 1], "name": None, "text": [None, "x.xlsx"]})
+    return workbooks._encode(c, parts)
+
+
+def test_a_workbook_is_parsed_once_for_its_parts(monkeypatch):
+    parsed, parse = [], files.ET.iterparse
+    monkeypatch.setattr(files.ET, "iterparse", lambda f: parsed.append(f) or parse(f))
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)                 # no frame a row of the sheet
+    content = workbook(bad=1)
+    assert [r[1:7] for r in files._parts_of("b", content)] == [("merged", "S", 1, 1, 2, 3), ("link", None, None, None, None, None)]
+    assert len(parsed) == 1
+    assert [c[4:9] for c in files._cells_of("b", content)] == [(1, 2, None, 0.0, None), (2, 2, "=A1", None, "#REF!"), (3, 2, None, 2.0, None)]
+
+
+def test_a_broken_workbook_still_gives_its_other_parts(monkeypatch):
+    monkeypatch.setattr(workbooks, "_cell", lambda row, col, *v: f'<c r="B{row}"><v>{"x" if row == 2 else 1}</v></c>')
+    assert [r[1] for r in files._parts_of("b", workbook())] == ["merged", "link", "broken"]
