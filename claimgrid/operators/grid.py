@@ -379,10 +379,14 @@ def detail_table(cells: DataFrame) -> DataFrame:
 def boq_layouts(cells: DataFrame) -> DataFrame:
     """Header of a plain bill of quantities: two header rows read together, quantity column chosen by its words."""
     text = fold(F.coalesce("v_str", F.col("v_num").cast("string")))
-    a = cells.select("file", "sheet", "row", "col", text.alias("t"))
-    up = a.select("file", "sheet", (F.col("row") - 1).alias("row"), "col", F.col("t").alias("u"))
-    h = (a.join(up, KEY + ["row", "col"], "full_outer").filter("row >= 1")
-         .select("file", "sheet", F.col("row").alias("hdr"), "col", F.concat(F.coalesce("t", F.lit("")), F.lit(" "), F.coalesce("u", F.lit(""))).alias("t")))
+    # the price column's upper cell starts the words read together: only its row and the next are looked at
+    own = cut_lineage(cells.filter(F.col("v_str").isNotNull() & text.rlike(X.BOQ_HDR_START)).select(*KEY, F.col("row").alias("hdr")).distinct())
+    near = own.select("*", F.posexplode(F.array("hdr", F.col("hdr") + 1)).alias("below", "row"))
+    upper = F.col("below") == 0
+    h = (cells.join(near, KEY + ["row"]).select(*KEY, "hdr", "col", "below", text.alias("t")).filter("hdr >= 1")
+         .groupBy(*KEY, "hdr", "col").agg(F.max(F.when(upper, F.col("t"))).alias("t"), F.max(F.when(~upper, F.col("t"))).alias("u"))
+         .select(*KEY, "hdr", "col", F.concat(F.coalesce("t", F.lit("")), F.lit(" "), F.coalesce("u", F.lit(""))).alias("t")))
+    h = cut_lineage(h)
     t, c = F.col("t"), F.col("col")
     g = h.groupBy("file", "sheet", "hdr").agg(F.min(F.when(t.rlike(X.BOQ_HDR_NAME), c)).alias("ten"), F.min(F.when(t.rlike(X.HDR_PRICE), c)).alias("dg"), F.min(F.when(t.rlike(X.BOQ_HDR_UNIT), c)).alias("dvt"))
     g = g.filter("ten is not null and dg is not null and dvt is not null")
@@ -399,11 +403,11 @@ def boq_layouts(cells: DataFrame) -> DataFrame:
 
 def boq_table(cells: DataFrame) -> DataFrame:
     """Rows of a plain bill of quantities with the group carried down."""
-    j = cells.join(boq_layouts(cells), KEY).filter(F.col("row") > F.col("hdr"))
+    j = cells.join(cut_lineage(boq_layouts(cells)), KEY).filter(F.col("row") > F.col("hdr"))
     txt = F.coalesce("v_str", F.regexp_replace(F.col("v_num").cast("string"), r"\.0$", ""))
     at = lambda role, v: F.max(F.when(F.col("col") == F.col(role), v)).alias("x_" + role)
     v = F.col("v_num")
-    r = j.groupBy("file", "sheet", "row").agg(at("ten", txt), at("dvt", txt), at("stt", txt), at("ma", txt), at("kl", v), at("dg", v), at("tt", v))
+    r = cut_lineage(j.groupBy("file", "sheet", "row").agg(at("ten", txt), at("dvt", txt), at("stt", txt), at("ma", txt), at("kl", v), at("dg", v), at("tt", v)))
     blank = F.coalesce(F.col("x_dvt") == "", F.lit(True))
     r = cut_at_total(r, blank & F.lower(F.trim("x_ten")).rlike(X.BOQ_TOTAL_ROW))
     r = r.filter((F.coalesce("x_ten", F.lit("")) != "") & ~F.col("x_ten").rlike(r"^[\[\]\-\d\s()]+$")).withColumn("blank", F.coalesce(F.col("x_dvt") == "", F.lit(True)))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from claimgrid.functions import formulas as S
-from claimgrid.operators import extract, state
+from claimgrid.operators import extract, grid, state
 from claimgrid.sinks import workbooks
 from claimgrid.sources import files
 from claimgrid.workload.world import World
@@ -94,3 +94,14 @@ def test_a_workbook_is_parsed_once_for_its_parts(monkeypatch):
 def test_a_broken_workbook_still_gives_its_other_parts(monkeypatch):
     monkeypatch.setattr(workbooks, "_cell", lambda row, col, *v: f'<c r="B{row}"><v>{"x" if row == 2 else 1}</v></c>')
     assert [r[1] for r in files._parts_of("b", workbook())] == ["merged", "link", "broken"]
+
+
+def test_bill_headers_are_sought_in_few_rows(spark):
+    head = {1: "STT", 2: "Tên công việc", 3: "Đơn vị", 4: "Khối lượng", 5: "Đơn"}
+    cells = [("f", "S", 0, 4, c, None, None, v) for c, v in head.items()] + [("f", "S", 0, 5, 5, None, None, "giá"), ("f", "S", 0, 6, 2, None, None, "Đào đất"), ("f", "S", 0, 6, 3, None, None, "m3"),
+             ("f", "S", 0, 6, 4, None, 2.0, None), ("f", "S", 0, 6, 5, None, 7.0, None)]
+    cells = spark.createDataFrame(cells, "file string, sheet string, sheet_idx int, row int, col int, formula string, v_num double, v_str string")
+    layout = grid.boq_layouts(cells)
+    assert "SortMergeJoin" not in plan(layout) and "FullOuter" not in plan(layout)
+    assert [(r.hdr, r.ten, r.dg, r.dvt, r.kl, r.stt) for r in layout.collect()] == [(4, 2, 5, 3, 4, 1)]
+    assert [(r.dong, r.ten, r.kl, r.don_gia) for r in grid.boq_table(cells).collect()] == [(6, "Đào đất", 2.0, 7.0)]
