@@ -105,3 +105,11 @@ def test_bill_headers_are_sought_in_few_rows(spark):
     assert "SortMergeJoin" not in plan(layout) and "FullOuter" not in plan(layout)
     assert [(r.hdr, r.ten, r.dg, r.dvt, r.kl, r.stt) for r in layout.collect()] == [(4, 2, 5, 3, 4, 1)]
     assert [(r.dong, r.ten, r.kl, r.don_gia) for r in grid.boq_table(cells).collect()] == [(6, "Đào đất", 2.0, 7.0)]
+
+
+def test_detail_layouts_are_read_back_with_their_size(spark):
+    head = {1: "STT", 2: "Tên công việc", 3: "Đơn vị", 4: "Khối lượng hợp đồng", 5: "Đơn giá"}
+    cells = spark.createDataFrame([("f", "S", 0, 4, c, None, None, v) for c, v in head.items()], "file string, sheet string, sheet_idx int, row int, col int, formula string, v_num double, v_str string")
+    layout = grid.detail_layouts(cells)
+    assert "FileScan parquet" in plan(layout) and "Window" not in plan(layout)
+    assert [(r.hdr, r.ten, r.dg, r.dvt, r.kl_hd) for r in layout.collect()] == [(4, 2, 5, 3, 4)]
