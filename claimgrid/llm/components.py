@@ -28,18 +28,22 @@ def _large_star(edges: DataFrame, most: int) -> DataFrame:
     return to(dealt.where("hub"), "hub_m").union(to(rest, "m")).distinct()
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """What lies below a node, and the node, go to the least of it."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(u, v): each node that is not the least of its component, with that least one. links: (a, b) pairs of nodes, in any
-    order, with repetitions. No neighbourhood is gathered: a round only takes minima by node and joins them back."""
+    order, with repetitions. No neighbourhood is gathered: a round only takes minima by node and joins them back. Nodes of a
+    dense group share most of their lesser neighbours, so a small star before the first round leaves few edges a node."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    edges, state = stored(_small_star(edges)), None
     while True:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state or now[0] == 0:
             return edges
         state = now
-        large = _large_star(edges, max(HUB, now[0] // HUB))
-        # small star: what lies below a node, and the node, go to the least of it
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        edges = stored(small.distinct())
+        large = stored(_large_star(edges, max(HUB, now[0] // HUB)))       # read twice, so its joins run once
+        edges = stored(_small_star(large))
