@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from claimgrid.functions import formulas as S
-from claimgrid.operators import extract, grid, state
+from claimgrid.operators import extract, grid, match, state
 from claimgrid.sinks import workbooks
 from claimgrid.sources import files
 from claimgrid.workload.world import World
@@ -113,3 +113,16 @@ def test_detail_layouts_are_read_back_with_their_size(spark):
     layout = grid.detail_layouts(cells)
     assert "FileScan parquet" in plan(layout) and "Window" not in plan(layout)
     assert [(r.hdr, r.ten, r.dg, r.dvt, r.kl_hd) for r in layout.collect()] == [(4, 2, 5, 3, 4)]
+
+
+def test_only_names_of_large_groups_that_may_pair_are_cut_into_pieces(spark, monkeypatch):
+    """Two unmatched lines in two of 40 contracts: none of the few names of a contract is cut into pieces; where pieces are
+    asked for, those of the 38 other contracts are left out."""
+    cut, index = [], match._prefix_index
+    monkeypatch.setattr(match, "_prefix_index", lambda names, keys, freq, threshold: cut.append(names.count()) or index(names, keys, freq, threshold))
+    lines = spark.createDataFrame([(f"HD{c}", f"HM{i}", name, "m2") for c in range(40) for i, name in enumerate(["Xây tường gạch", "Lát nền gạch men"])], "ma_hd string, ma_hm string, ten string, dvt string")
+    items = spark.createDataFrame([("HD7", 1, "Xây tường gạch đặc", "m2"), ("HD8", 2, "Xây tường gạch", "bộ")], "ma_hd string, dong long, ten string, dvt string")
+    for few, pieces in ((match.FEW, []), (1, [1, 2])):
+        monkeypatch.setattr(match, "FEW", few)
+        found = {(r.ma_hd, r.dong, r.goi_y) for r in match.fuzzy_suggest(items, lines, threshold=0.7, measure="edit").collect()}
+        assert found == {("HD7", 1, "HM0"), ("HD8", 2, None)} and cut == pieces
