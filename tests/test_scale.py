@@ -126,3 +126,12 @@ def test_only_names_of_large_groups_that_may_pair_are_cut_into_pieces(spark, mon
         monkeypatch.setattr(match, "FEW", few)
         found = {(r.ma_hd, r.dong, r.goi_y) for r in match.fuzzy_suggest(items, lines, threshold=0.7, measure="edit").collect()}
         assert found == {("HD7", 1, "HM0"), ("HD8", 2, None)} and cut == pieces
+
+
+def test_change_log_is_read_from_its_two_tables(spark):
+    """The log of base and changed lines is not written once more, neither when read itself nor below the claim lines."""
+    from claimgrid.workload import world as WD
+    w = World(spark, "/root/testdata/sf0.001")
+    assert w.boq_log.count() == w.boq_base.count() + w.boq_changes.count() and w.claim_items.columns
+    written = {name for _, path, name in WD._WRITTEN if path == w.path}
+    assert "boq_log" not in written and {"boq_base", "boq_changes", "claim_items"} <= written
