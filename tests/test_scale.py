@@ -12,6 +12,7 @@ from claimgrid.functions import formulas as S
 from claimgrid.operators import extract, grid, match, state
 from claimgrid.sinks import workbooks
 from claimgrid.sources import files
+from claimgrid.workload import world
 from claimgrid.workload.world import World
 
 
@@ -53,6 +54,17 @@ def test_exploded_tables_are_not_dealt_out_again(spark, monkeypatch):
     assert not made["cells"].spread and made["lines"].spread
 
 
+def test_cells_keep_to_their_workbook_and_heads_are_made_once(spark, monkeypatch):
+    limit, path = "spark.sql.codegen.hugeMethodLimit", "/root/testdata/sf0.001"
+    monkeypatch.setattr(world, "_WRITTEN", {})
+    before, w = spark.conf.get(limit), World(spark, path)
+    assert "rangepartitioning(o_orderkey" in plan(w._table("cells"))
+    at = w.cells.select("file", F.input_file_name().alias("at")).distinct().groupBy("file").count()
+    assert at.agg(F.max("count")).first()[0] < 16 and spark.conf.get(limit) == before
+    orders, heads = world._render("cells", "spark", path).split(" UNION ALL ")
+    assert "WHERE o_orderkey % 400 = 0" in heads and "WHERE o_orderkey" not in orders and orders.count("struct(") < 30
+
+
 def test_texts_and_answers_are_not_broadcast(spark):
     docs = spark.createDataFrame([("A", "Bên giao thầu Công ty Một")], "doc_id string, text string")
     rows = spark.createDataFrame([("A", "TC-06", "", None, "Công ty Một", "Tự động", "", "")], "doc_id string, ma string, don_vi string, v_num double, v_str string, cach string, dieu string, trich string")
