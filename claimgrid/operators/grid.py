@@ -175,18 +175,23 @@ def range_aggregates(ranges: DataFrame, points: DataFrame, aggs: dict, by: list
 
     ranges: file, sheet, c1, r1, c2, r2, each range once; points: file, sheet, row, col and what aggs and by read.
     aggs: name -> (F.sum, F.min or F.max, Column over points); by: further columns of points to group by.  Each column of cells
-    is summed up in blocks of 1, 8, 64 ... rows, and a range is put together from the few largest blocks that fill it (under 14
+    that several ranges read is summed up in blocks of 1, 8, 64 ... rows, and a range is put together from the few largest blocks that fill it (under 14
     a level), so running totals over a long column cost n log n rows and not n * n, and sums lose nothing to subtraction.
     Ranges without a point give no row.
     """
     by = by or []
     cols = ranges.withColumn("col", F.explode(F.sequence("c1", "c2")))
-    used = cols.select(*KEY, "col").distinct()
-    at = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    # a column that one range reads needs no blocks, its cells are summed up as they are (level -1); elsewhere blocks taller than
+    # the tallest range are asked for by none
+    tall = sum((F.expr(f"int(r2 - r1 + 1 >= {FAN ** k})") for k in range(1, LEVELS)), F.lit(0))
+    used = cols.groupBy(*KEY, "col").agg(F.max(tall).alias("top"), (F.count("*") == 1).alias("alone"), F.min("r1").alias("lo"), F.max("r2").alias("hi"))
+    at = F.explode(F.when(F.col("alone"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("top")))).alias("level")
     width = F.element_at(F.array(*(F.lit(FAN ** k) for k in range(LEVELS))), F.col("level") + 1)
     block_key = [*KEY, "col", "level", "block"]
-    values = points.join(used, [*KEY, "col"], "left_semi").select(*KEY, "col", "row", *by, *(v.alias(n) for n, (_, v) in aggs.items()))
-    blocks = values.select("*", at).withColumn("block", F.floor(F.col("row") / width)).groupBy(*block_key, *by).agg(*(f(n).alias(n) for n, (f, _) in aggs.items()))
+    values = (points.join(used, [*KEY, "col"]).filter("row between lo and hi")
+              .select(*KEY, "col", "row", "top", "alone", *by, *(v.alias(n) for n, (_, v) in aggs.items())))
+    block_no = F.when(F.col("level") < 0, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("row") / width))
+    blocks = values.select("*", at).withColumn("block", block_no).groupBy(*block_key, *by).agg(*(f(n).alias(n) for n, (f, _) in aggs.items()))
 
     def filled(k):
         """Blocks of a level inside the range that no block of the next level covers."""
@@ -197,7 +202,9 @@ def range_aggregates(ranges: DataFrame, points: DataFrame, aggs: dict, by: list
         found = F.when(inner, F.concat(seq(a, up_a * FAN), seq(up_z * FAN, z))).otherwise(seq(a, z))
         return F.transform(found, lambda b: F.struct(F.lit(k).alias("level"), b.alias("block")))
 
-    asked = cols.select(*KEY, "c1", "r1", "c2", "r2", "col", F.explode(F.concat(*(filled(k) for k in range(LEVELS)))).alias("at")).select("*", "at.level", "at.block").drop("at")
+    whole = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("block")))
+    parts = F.when(F.col("alone"), whole).otherwise(F.concat(*(filled(k) for k in range(LEVELS))))
+    asked = cols.join(used.select(*KEY, "col", "alone"), [*KEY, "col"]).select(*KEY, "c1", "r1", "c2", "r2", "col", F.explode(parts).alias("at")).select("*", "at.level", "at.block").drop("at")
     return asked.join(blocks, block_key).groupBy(*KEY, "c1", "r1", "c2", "r2", *by).agg(*(f(n).alias(n) for n, (f, _) in aggs.items()))
 
 
@@ -285,12 +292,15 @@ def literal_census(cells: DataFrame, path_columns: DataFrame | None = None) -> D
 
 def labelled_totals(cells: DataFrame) -> DataFrame:
     """Summary figures found by their labels on the visible sheets: the first number to the right of the label."""
-    t = fold(F.col("v_str"))
+    t = F.col("t")
     hits = F.array_compact(F.array(*[F.when(t.rlike(p) & (~t.contains("luy ke") if k == "gt_hd" else F.lit(True)), F.lit(k)) for k, p in X.SUMMARY_LABELS]))
-    right = W.partitionBy(*KEY, "row").orderBy("col").rowsBetween(1, W.unboundedFollowing)
-    number = F.first(F.when(F.abs("v_num") > 1, F.struct("col", "v_num")), ignorenulls=True).over(right)
-    lab = (cells.withColumn("__n", number).filter(visible() & F.col("formula").isNull() & (t != "") & F.col("__n").isNotNull())
-           .select("file", "sheet", "sheet_idx", "row", F.col("col").alias("l_col"), F.col("v_str").alias("nhan"), F.explode(hits).alias("label"), F.col("__n.col").alias("col"), F.col("__n.v_num").alias("v_num")))
+    # folded once, below the generator; few rows are left: read back with their real size, so that cells stay in place
+    texts = (cells.filter(visible() & F.col("formula").isNull() & (F.trim("v_str") != ""))
+             .select(*KEY, "sheet_idx", "row", F.col("col").alias("l_col"), F.col("v_str").alias("nhan"), fold(F.col("v_str")).alias("t")))
+    lab = cut_lineage(texts.select(*KEY, "sheet_idx", "row", "l_col", "nhan", F.explode(hits).alias("label")))
+    numbers = cells.filter(F.abs("v_num") > 1).select(*KEY, "row", "col", "v_num")
+    lab = (lab.join(numbers, [*KEY, "row"]).filter("col > l_col").groupBy(*KEY, "sheet_idx", "row", "l_col", "nhan", "label")
+           .agg(F.min("col").alias("col"), F.min_by("v_num", "col").alias("v_num")))
     return first_per(lab, ["file", "label"], ["sheet_idx", "row", "l_col"])
 
 

@@ -234,16 +234,17 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
     The place where a depth-first walk meets a cell first is the least path to it.  Rounds pass the least known path of each cell
     that got a smaller one on to what it reads, until none gets smaller; the inputs of a cell, ranges included, are worked out
-    once, in the round that first reaches it.
+    once, in the round that first reaches it: only formulas that the walk meets are parsed.  Cells are read in every round, so
+    they should be a stored table.
     """
-    refs = cut_lineage(grid.references(cells).select(*CELL, "ref_no", "r_sheet", *BOX, "ext"))
     known = cut_lineage(grid.sheets(cells).select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known")))
-    node = cut_lineage(cells.select(*CELL, "formula", "v_num", "v_str"))
+    targets = cut_lineage(targets.select(*CELL).distinct())
     to = [F.col("t_sheet").alias("sheet"), F.col("t_row").alias("row"), F.col("t_col").alias("col")]
-    least = frontier = cut_lineage(targets.select(*CELL, F.array().cast(PATH).alias("path")).distinct())
+    least = frontier = cut_lineage(targets.select(*CELL, F.array().cast(PATH).alias("path")))
     new, read, typed, patterns, edges = least, [], [], [], []
     while not frontier.isEmpty():
-        r = cut_lineage(refs.join(new.select(*CELL), CELL, "left_semi").join(known, ["file", "r_sheet"], "left"))
+        met = grid.formulas(cells).join(new.select(*CELL), CELL, "left_semi")
+        r = cut_lineage(grid.references(met).select(*CELL, "ref_no", "r_sheet", *BOX, "ext").join(known, ["file", "r_sheet"], "left"))
         if not r.isEmpty():
             inside = r.filter("ext is null and known")
             single = F.expr("c1 = c2 and r1 = r2")
@@ -251,7 +252,7 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
             asked = inside.filter(~single).select(*CELL, "ref_no", "r_sheet", *BOX)
             if not asked.isEmpty():
                 ranges = asked.select("file", F.col("r_sheet").alias("sheet"), *BOX).distinct()
-                of_typed, of_formulas = (d.withColumnRenamed("sheet", "r_sheet") for d in range_contents(ranges, node))
+                of_typed, of_formulas = (d.withColumnRenamed("sheet", "r_sheet") for d in range_contents(ranges, cells))
                 typed.append(cut_lineage(asked.join(of_typed, ["file", "r_sheet", *BOX])))
                 patterns.append(cut_lineage(asked.join(of_formulas, ["file", "r_sheet", *BOX])))
                 here = here.unionByName(patterns[-1].select(*CELL, F.col("r_sheet").alias("t_sheet"), F.col("rep_row").alias("t_row"), F.col("rep_col").alias("t_col"), _at((1, F.col("ref_no")), (1, F.col("rank")), (0, 0)).alias("piece")))
@@ -268,6 +269,7 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
         new = frontier.filter("fresh")
         frontier = frontier.drop("fresh")
         least = cut_lineage(least.join(frontier.select(*CELL), CELL, "left_anti").unionByName(frontier))
+    node = cut_lineage(cells.select(*CELL, "formula", "v_num", "v_str").join(least.select(*CELL), CELL, "left_semi"))
     return _tree_rows(least, targets, node, read, typed, patterns, edges)
 
 
@@ -279,11 +281,11 @@ def _union(parts: list) -> DataFrame:
 
 
 def _tree_rows(least, targets, node, read, typed, patterns, edges) -> DataFrame:
-    """The rows of the tree from the least path of each cell and what its formula reads."""
+    """The rows of the tree from the least path of each cell and what its formula reads. node: the cells that have one."""
     cols = ["file", "path", "kind", "sheet", "row", "col", "text", "value"]
     none = F.lit(None).cast("double").alias("value")
     row = lambda df, piece, kind, sheet, r, c, text, value: df.select("file", F.concat("path", piece).alias("path"), F.lit(kind).alias("kind"), F.col(sheet).alias("sheet"), F.col(r).alias("row"), F.col(c).alias("col"), text.alias("text"), value.alias("value"))
-    root = targets.select(*CELL, F.array().cast(PATH).alias("path")).distinct()
+    root = targets.select(*CELL, F.array().cast(PATH).alias("path"))
     places = root
     for e in edges:
         places = places.unionByName(e.join(least, CELL).select("file", F.col("t_sheet").alias("sheet"), F.col("t_row").alias("row"), F.col("t_col").alias("col"), F.concat("path", "piece").alias("path")))

@@ -31,6 +31,29 @@ def test_tree_reaches_the_deepest_input(spark):
     assert sum(r.kind == "Đã phân rã" for r in cyclic) == 1 and len(cyclic) == 3
 
 
+def test_tree_parses_only_formulas_it_meets(spark, monkeypatch):
+    cells = spark.createDataFrame(chain(4, None) + [("f", "T", 1, "visible", r, 1, "=A1", 5.0, None) for r in range(1, 30)], CELLS)
+    target = spark.createDataFrame([("f", "S", 1, 2)], "file string, sheet string, row int, col int")
+    parsed, references = [], lineage.grid.references
+    monkeypatch.setattr(lineage.grid, "references", lambda c: parsed.append(lineage.grid.formulas(c).count()) or references(c))
+    assert len(lineage.trace_tree(cells, target).collect()) == 4
+    assert sum(parsed) == 3
+
+
+def test_columns_that_one_range_reads_need_no_blocks(spark):
+    box = "file string, sheet string, c1 int, r1 int, c2 int, r2 int"
+    rng = spark.createDataFrame([("f", "S", 1, 3, 2, 70), ("f", "S", 2, 60, 3, 900), ("f", "S", 3, 1, 3, 600), ("f", "S", 5, 9, 4, 2)], box)
+    cells = spark.createDataFrame([("f", "S", r, c, float(r * c)) for r in range(1, 800, 3) for c in range(1, 6)], "file string, sheet string, row int, col int, v double")
+    found = lineage.grid.range_aggregates(rng, cells, {"n": (F.sum, F.lit(1)), "total": (F.sum, F.col("v")), "low": (F.min, F.struct("row", "col"))})
+    got = {(r.c1, r.r1): (r.n, r.total, tuple(r.low)) for r in found.collect()}
+    points = [(r, c) for r in range(1, 800, 3) for c in range(1, 6)]
+    want = {}
+    for c1, r1, c2, r2 in ((1, 3, 2, 70), (2, 60, 3, 900), (3, 1, 3, 600)):
+        inside = [(r, c) for r, c in points if c1 <= c <= c2 and r1 <= r <= r2]
+        want[(c1, r1)] = (len(inside), float(sum(r * c for r, c in inside)), min(inside))
+    assert {k: v for k, v in got.items() if k != (5, 9)} == want
+
+
 def test_literals_count_on_the_columns_the_tree_reaches(spark, monkeypatch):
     """A payment made of columns that the fixed list lacks, beside a listed sheet that it does not reach."""
     import re

@@ -65,6 +65,15 @@ def test_cells_keep_to_their_workbook_and_heads_are_made_once(spark, monkeypatch
     assert "WHERE o_orderkey % 400 = 0" in heads and "WHERE o_orderkey" not in orders and orders.count("struct(") < 30
 
 
+def test_labels_are_sought_without_ordering_all_cells(spark):
+    row = "file string, sheet string, sheet_idx int, sheet_state string, row int, col int, formula string, v_num double, v_str string"
+    cells = spark.createDataFrame([("f", "S", 0, "visible", 1, 2, None, None, "Giá trị hợp đồng"), ("f", "S", 0, "visible", 1, 1, None, 9.0, None), ("f", "S", 0, "visible", 1, 3, None, 1.0, None),
+                                   ("f", "S", 0, "visible", 1, 5, "=A1", 7.0, None), ("f", "S", 0, "visible", 1, 6, None, 8.0, None), ("f", "S", 0, "visible", 2, 2, None, None, "Giữ lại")], row)
+    out = grid.labelled_totals(cells)
+    assert [(r.label, r.row, r.col, r.v_num) for r in out.collect()] == [("gt_hd", 1, 5, 7.0)]
+    assert "unboundedfollowing" not in plan(out)
+
+
 def test_texts_and_answers_are_not_broadcast(spark):
     docs = spark.createDataFrame([("A", "Bên giao thầu Công ty Một")], "doc_id string, text string")
     rows = spark.createDataFrame([("A", "TC-06", "", None, "Công ty Một", "Tự động", "", "")], "doc_id string, ma string, don_vi string, v_num double, v_str string, cach string, dieu string, trich string")
