@@ -156,3 +156,23 @@ def test_change_log_is_read_from_its_two_tables(spark):
     assert w.boq_log.count() == w.boq_base.count() + w.boq_changes.count() and w.claim_items.columns
     written = {name for _, path, name in WD._WRITTEN if path == w.path}
     assert "boq_log" not in written and {"boq_base", "boq_changes", "claim_items"} <= written
+
+
+def test_listed_documents_take_one_exchange_and_no_other_parameter(spark, monkeypatch):
+    """The lists of documents are those of the whole extraction, two kinds and clauses included, without any rule of it."""
+    text = {"a": ["Điều 3. Thanh toán", "Hồ sơ thanh toán gồm các tài liệu sau:", "Tất cả bản chính.", "+ Biên bản nghiệm thu;", "+ Số lượng hồ sơ: 05 bộ", "+ Hóa đơn.", "Hết.", "+ Không tính",
+                  "Hồ sơ quyết toán bao gồm", "+ Bản vẽ"], "b": ["Hồ sơ thanh toán gồm", "Không có gì"], "c": ["Hồ sơ thanh toán gồm", "+ Đơn"]}
+    paras = spark.createDataFrame([(d, n, t) for d, ts in text.items() for n, t in enumerate(ts)], "doc_id string, pos long, text string")
+    shown = lambda df: sorted((r.doc_id, r.loai, r.tai_lieu, r.dieu_khoan) for r in df.collect())
+    want = shown(extract.required_documents(extract.extract_params(paras)))
+    monkeypatch.setattr(extract, "rule_hits", None)
+    found = extract.listed_documents(paras)
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    assert shown(found) == want and {(d, k) for d, k, *_ in want} == {("a", "Mỗi đợt"), ("a", "Quyết toán"), ("c", "Mỗi đợt")}
+
+
+def test_base_sets_do_not_extract_all_parameters(spark, monkeypatch):
+    from claimgrid.workload import all_queries
+    monkeypatch.setattr(extract, "extract_params", None)
+    out = all_queries()["SNK-12_write_master"](spark, "/root/testdata/sf0.001")
+    assert out.filter("table = 'Ho so TT theo HD'").count() > 0
