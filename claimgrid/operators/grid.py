@@ -6,6 +6,8 @@ formula).  Every step is keyed by file and sheet; rows of a sheet are bounded by
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,12 +81,33 @@ def row_labels(cells: DataFrame, names: DataFrame | None = None) -> DataFrame:
 
 class Views:
     """Tables that several checks derive from the same cells: sheets, references, name columns, row labels and column headers.
-    With stored, each is worked out once and written; else they are plans that every reader works out."""
+    With stored, each is worked out once and written; else they are plans that every reader works out, apart from the name columns:
+    a row a sheet, read back with their real size, so that cells stay in place."""
 
     def __init__(self, cells: DataFrame, stored: bool = False):
-        kept = cut_lineage if stored else (lambda df: df)
-        self.sheets, self.refs, self.names = kept(sheets(cells)), kept(references(cells)), kept(name_column(cells))
-        self.labels, self.headers = kept(row_labels(cells, self.names)), kept(column_headers(cells))
+        self.cells, self.kept = cells, cut_lineage if stored else (lambda df: df)
+        if stored:
+            _ = self.sheets, self.refs, self.labels, self.headers
+
+    @functools.cached_property
+    def sheets(self) -> DataFrame:
+        return self.kept(sheets(self.cells))
+
+    @functools.cached_property
+    def refs(self) -> DataFrame:
+        return self.kept(references(self.cells))
+
+    @functools.cached_property
+    def names(self) -> DataFrame:
+        return cut_lineage(name_column(self.cells))
+
+    @functools.cached_property
+    def labels(self) -> DataFrame:
+        return self.kept(row_labels(self.cells, self.names))
+
+    @functools.cached_property
+    def headers(self) -> DataFrame:
+        return self.kept(column_headers(self.cells))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
@@ -105,16 +128,18 @@ def column_headers(cells: DataFrame, merged: DataFrame | None = None) -> DataFra
     """Header text of each column: distinct texts of the rows around the header row (seven rows at most). With merged ranges a
     text counts for all columns and rows of its range; only the part of a range near the header row is spread."""
     top = cells.filter(F.col("v_str").isNotNull() & (F.trim("v_str") != "")).select("file", "sheet", "row", "col", "v_str")
+    heads = cut_lineage(header_rows(cells))                 # a row a sheet: read back with their real size, so that cells stay in place
+    by_head = lambda df: df.join(heads, KEY).filter(F.col("row").between(F.col("h") - 3, F.col("h") + 3))
     if merged is not None:
-        near = merged.join(header_rows(cells), KEY).withColumns({"a_row": F.col("r1"), "a_col": F.col("c1"), "r1": F.greatest("r1", F.col("h") - 3), "r2": F.least("r2", F.col("h") + 3)}).filter("r1 <= r2")
+        near = merged.join(heads, KEY).withColumns({"a_row": F.col("r1"), "a_col": F.col("c1"), "r1": F.greatest("r1", F.col("h") - 3), "r2": F.least("r2", F.col("h") + 3)}).filter("r1 <= r2")
         a = merged_members(near)
         spread = (a.join(top.select("file", "sheet", F.col("row").alias("a_row"), F.col("col").alias("a_col"), "v_str"), KEY + ["a_row", "a_col"])
                   .select("file", "sheet", "row", "col", "v_str"))
         texts = top.unionByName(spread.join(top.select(*KEY, "row", "col"), KEY + ["row", "col"], "left_anti"))
     else:
         texts = top
-    own = top.groupBy("file", "sheet", "row").agg(F.count("*").alias("n_text"))
-    j = (texts.join(header_rows(cells), KEY).filter(F.col("row").between(F.col("h") - 3, F.col("h") + 3)).join(own, KEY + ["row"], "left"))
+    own = by_head(top).groupBy("file", "sheet", "row").agg(F.count("*").alias("n_text"))
+    j = by_head(texts).join(own, KEY + ["row"], "left")
     good = ((F.col("row") == F.col("h")) | (F.coalesce("n_text", F.lit(0)) >= 2)) & ~F.trim("v_str").rlike(r"^[\[\(]?\d+[\]\)]?$")
     g = (j.filter(good).groupBy("file", "sheet", "col").agg(F.array_sort(F.collect_list(F.struct("row", squeeze(F.col("v_str")).alias("t")))).alias("ts")))
     return g.select("file", "sheet", "col", F.array_join(F.array_distinct(F.transform("ts", lambda x: x["t"])), " / ").alias("header"))
@@ -322,7 +347,7 @@ def detail_layouts(cells: DataFrame) -> DataFrame:
     """Header row and column roles of each sheet that holds a quantity-price table."""
     top, text = cells, fold(F.coalesce("v_str", F.col("v_num").cast("string")))
     name, price = F.col("t").rlike(X.HDR_NAME), F.col("t").rlike(X.HDR_PRICE)
-    cand = (top.select(*KEY, "row", "col", text.alias("t")).groupBy("file", "sheet", "row").agg(F.max(F.when(name, F.col("col"))).alias("ten"), F.max(F.when(~name & price, F.col("col"))).alias("dg"))
+    cand = (top.select(*KEY, "row", "col", text.alias("t")).filter(name | price).groupBy("file", "sheet", "row").agg(F.max(F.when(name, F.col("col"))).alias("ten"), F.max(F.when(~name & price, F.col("col"))).alias("dg"))
             .filter("ten is not null and dg is not null").withColumnRenamed("row", "hdr"))
     cand = cut_lineage(cand)                                # few rows: read back with their real size, so that cells stay in place
     span = cand.withColumn("row", F.explode(F.sequence("hdr", F.col("hdr") + 3)))

@@ -16,7 +16,7 @@ from claimgrid.functions.classify import proof_of_group, root_data_group
 from claimgrid.functions.similarity import folded_similarity
 from claimgrid.functions.text import fold
 from claimgrid.operators import grid
-from claimgrid.session import cut_lineage
+from claimgrid.session import cut_lineage, one_exchange
 
 CELL = ["file", "sheet", "row", "col"]
 
@@ -27,46 +27,66 @@ def auto_target(cells: DataFrame, label: str = "tt_ky_nay") -> DataFrame:
 
 
 # --- source tracing --------------------------------------------------------------------------------------------
+# References stay inside a workbook. Tables are dealt out by workbook (`by_file`) and joined as they lie, without an exchange for every
+# join on sheets, rows and columns, and never broadcast: their files are many times smaller than they are in memory.
+def by_file(df: DataFrame) -> DataFrame:
+    return df.repartition("file").hint("merge")
+
+
 def trace_nodes(cells: DataFrame, measure: str = "ratio", views: grid.Views | None = None) -> DataFrame:
-    """One row per cell with all that a trace step needs to know about it and about where it may go next."""
+    """One row per formula with what a trace step needs to know about it and about where it may go next: `ref` is the cell read by
+    its shape, `away` that of another sheet, where the traced quantity may decide for it."""
     views = views or grid.Views(cells)
-    lab = views.labels
-    head = views.headers.select("file", F.col("sheet").alias("r_sheet"), F.col("col").alias("c1"), fold(F.col("header")).alias("t_head"))
+    h = F.coalesce(fold(F.col("header")), F.lit(""))
+    pri = F.when(h.contains("luy ke") & ~h.contains("truoc"), 0).when(h.rlike("k[iy] nay"), 1).otherwise(2)
+    head = views.headers.select("file", F.col("sheet").alias("r_sheet"), F.col("col").alias("c1"), pri.alias("pri"), h.rlike(r"hop dong|\bhd\b").alias("is_contract"))
     known = views.sheets.select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known"))
-    refs = views.refs
-    tgt = cells.filter("v_num is not null").select("file", F.col("sheet").alias("r_sheet"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("v_num").alias("t_num"))
     single = F.expr("c1 = c2 and r1 = r2 and ext is null")
-    d = (refs.join(known, ["file", "r_sheet"], "left").join(head, ["file", "r_sheet", "c1"], "left").join(tgt, ["file", "r_sheet", "r1", "c1"], "left")
-         .join(lab.select(*grid.KEY, "row", F.length("label").alias("a_len"), F.col("folded").alias("a")), ["file", "sheet", "row"], "left")
-         .join(lab.select("file", F.col("sheet").alias("r_sheet"), F.col("row").alias("r1"), F.col("folded").alias("b")), ["file", "r_sheet", "r1"], "left"))
-    a, b = F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))
-    cross = single & (F.col("r_sheet") != F.col("sheet")) & (F.coalesce("a_len", F.lit(0)) >= 6)
+    refs = views.refs.select(*CELL, "v_num", "ref_no", "r_sheet", "r1", "c1", single.alias("single"), F.col("ext").isNotNull().alias("ext"))
+    tgt = cells.filter("v_num is not null").select("file", F.col("sheet").alias("r_sheet"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("v_num").alias("t_num"))
+    # both ends of a reference read the same exchange of the labels: one column with the mark of a long label before the folded text
+    lab = by_file(views.labels.select(*grid.KEY, "row", F.concat(F.when(F.length("label") >= 6, "+").otherwise("-"), "folded").alias("lab")))
+    d = (by_file(refs).join(by_file(known), ["file", "r_sheet"], "left").join(by_file(head), ["file", "r_sheet", "c1"], "left").join(by_file(tgt), ["file", "r_sheet", "r1", "c1"], "left")
+         .join(lab.withColumnRenamed("lab", "a"), ["file", "sheet", "row"], "left")
+         .join(lab.select("file", F.col("sheet").alias("r_sheet"), F.col("row").alias("r1"), F.col("lab").alias("b")), ["file", "r_sheet", "r1"], "left"))
+    text = lambda c: F.coalesce(F.substring(c, 2, 2 ** 31 - 1), F.lit(""))
+    a, b, single = text("a"), text("b"), F.col("single")
+    cross = single & (F.col("r_sheet") != F.col("sheet")) & F.coalesce(F.col("a").startswith("+"), F.lit(False))
     same = a == b
     # only pairs that are not plainly equal reach the similarity
     sim = folded_similarity(F.when(cross & ~same, a).otherwise(""), F.when(cross & ~same, b).otherwise(""), measure)
     off = cross & ~same & F.coalesce(sim < 0.6, F.lit(True))
-    h = F.coalesce("t_head", F.lit(""))
-    pri = F.when(h.contains("luy ke") & ~h.contains("truoc"), 0).when(h.rlike("k[iy] nay"), 1).otherwise(2)
     to = F.struct(F.col("r_sheet").alias("sheet"), F.col("r1").alias("row"), F.col("c1").alias("col"), F.coalesce("known", F.lit(False)).alias("known"),
-                  off.alias("off"), h.rlike(r"hop dong|\bhd\b").alias("is_contract"), F.col("t_num").alias("num"))
+                  off.alias("off"), F.coalesce("is_contract", F.lit(False)).alias("is_contract"), F.col("t_num").alias("num"))
     elsewhere = F.col("r_sheet") != F.col("sheet")
     equal = F.coalesce(F.abs(F.col("t_num") - F.col("v_num")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("v_num")), F.lit(False))
     kn = single & F.coalesce("known", F.lit(False))
     g = d.groupBy(*CELL).agg(
-        F.count("*").alias("n_refs"), F.count(F.when(single, 1)).alias("n_single"), F.max(F.col("ext").isNotNull()).alias("has_ext"),
-        F.min_by(to, F.when(single, F.col("ref_no"))).alias("first_ref"), F.min_by(to, F.when(single, F.struct(pri.alias("p"), "ref_no"))).alias("sum_ref"),
+        F.count("*").alias("n_refs"), F.count(F.when(single, 1)).alias("n_single"), F.max("ext").alias("has_ext"),
+        F.min_by(to, F.when(single, F.col("ref_no"))).alias("first_ref"), F.min_by(to, F.when(single, F.struct(F.coalesce("pri", F.lit(2)).alias("p"), "ref_no"))).alias("sum_ref"),
         F.min_by(to, F.when(kn & elsewhere, F.col("ref_no"))).alias("away_ref"),
         F.min_by(to, F.when(kn & equal, F.struct((~elsewhere).alias("s"), "ref_no"))).alias("equal_ref"), F.min_by(to, F.when(kn, F.col("ref_no"))).alias("any_ref"))
     f = F.col("formula")
-    plain = ["sheet_state", "formula", "v_num", "v_str"]
     alone = (F.col("n_refs") == 1) & (F.col("n_single") == 1)
     # a pattern is sought only where the number of references leaves it open
-    n = grid.formulas(cells).select(*CELL, *plain).join(g, CELL, "left").withColumns({
+    n = by_file(grid.formulas(cells).select(*CELL, "sheet_state", "formula", "v_num")).join(g.hint("merge"), CELL, "left").withColumns({
         "n_refs": F.coalesce("n_refs", F.lit(0)), "n_single": F.coalesce("n_single", F.lit(0)), "has_ext": F.coalesce("has_ext", F.lit(False))})
     n = n.withColumns({"one": F.when(alone, S.is_single_ref(f)), "plus": F.when((F.col("n_refs") >= 2) & (F.col("n_single") == F.col("n_refs")), S.is_sum_of_refs(f)),
-                       "branch": S.is_branching(f), "factor": F.when(alone, F.size(S.embedded_literals(f)) > 0)})
-    # cells without a formula read nothing: they meet no reference and stay in place
-    return n.unionByName(cells.filter("formula is null").select(*CELL, *plain, *(F.lit(0).cast("bigint").alias(c) for c in ("n_refs", "n_single")), F.lit(False).alias("has_ext")), allowMissingColumns=True)
+                       "branch": S.is_branching(f), "factor": F.when(alone, F.size(S.embedded_literals(f)) > 0)}).withColumns(_shape())
+    other = F.coalesce("equal_ref", "away_ref", "any_ref")
+    open_ = F.col("is_branch") & ~F.col("is_one") & ~F.col("is_scaled") & ~F.col("is_plus")
+    ref = F.when(F.col("is_one"), F.col("first_ref")).when(F.col("is_plus"), F.col("sum_ref")).when(F.col("is_branch"), other)
+    return n.select(*CELL, "sheet_state", F.lit(True).alias("is_f"), "v_num", F.lit(False).alias("is_text"), "has_ext", (F.col("n_refs") == 1).alias("lone"),
+                    "is_one", "is_scaled", "is_plus", "is_branch", ref.alias("ref"), F.when(open_, F.col("away_ref")).alias("away"))
+
+
+def met_nodes(starts: DataFrame, cells: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The cells that a trace may come to, formulas (`nodes`) and plain cells, which read nothing: starts and what formulas lead to."""
+    at = lambda c: nodes.filter(F.col(c).isNotNull()).select("file", f"{c}.sheet", f"{c}.row", f"{c}.col")
+    met = by_file(starts.select(*CELL).unionByName(at("ref")).unionByName(at("away")))
+    plain = cells.filter("formula is null").select(*CELL, "sheet_state", F.lit(False).alias("is_f"), "v_num", F.col("v_str").isNotNull().alias("is_text"),
+                                                   *(F.lit(False).alias(c) for c in ("has_ext", "lone", "is_one", "is_scaled", "is_plus", "is_branch")))
+    return by_file(nodes.unionByName(plain, allowMissingColumns=True)).join(met, CELL, "left_semi")
 
 
 ITEM = ["file", "item", "sheet", "row", "col", "kl_hd", "hops", "flags"]
@@ -78,42 +98,41 @@ def _near(x, k):
 
 
 def _shape() -> dict:
-    """Columns over a node that tell how a trace leaves it."""
+    """Columns over a formula that tell how a trace leaves it."""
     one = (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("one", F.lit(False))
     return {"is_one": one, "is_scaled": ~one & (F.col("n_refs") == 1) & (F.col("n_single") == 1) & F.coalesce("factor", F.lit(False)),
             "is_plus": F.coalesce("plus", F.lit(False)) & (F.col("n_single") == F.col("n_refs")) & (F.col("n_refs") >= 2),
             "is_branch": F.coalesce("branch", F.lit(False))}
 
 
-def _passing_flags(is_f):
-    plain = is_f & ~F.col("is_one") & ~F.col("is_scaled")
+def _passing_flags():
+    plain = F.col("is_f") & ~F.col("is_one") & ~F.col("is_scaled")
     return [F.when(F.col("sheet_state") != "visible", "qua sheet ẩn"), F.when(plain & F.col("is_plus"), "cộng/trừ nhiều ô"), F.when(plain & ~F.col("is_plus") & F.col("is_branch"), "có IF/MIN/MAX")]
 
 
 def _step(cur: DataFrame, nodes: DataFrame, cyclic: bool = False) -> DataFrame:
     """One hop of every item: its source class where the trace ends (nguon), else the next cell (nxt). cyclic: cur carries the
     cells it has passed, and a trace that comes back to one ends there."""
-    j = cur.join(nodes, CELL, "left")
-    v, k = F.col("v_num"), F.col("kl_hd")
-    is_f = F.col("formula").isNotNull()
-    capped = F.col("away_ref").isNotNull() & F.coalesce(F.col("away_ref.num") > k + 1e-9, F.lit(False)) & _near(v, k)
-    j = j.withColumn("p", F.when(capped, F.col("away_ref")).otherwise(F.coalesce("equal_ref", "away_ref", "any_ref")))
-    branch = F.col("is_branch") & F.col("any_ref").isNotNull()
+    j = cur.join(nodes.hint("merge"), CELL, "left").withColumn("is_f", F.coalesce("is_f", F.lit(False)))
+    v, k, is_f = F.col("v_num"), F.col("kl_hd"), F.col("is_f")
+    capped = F.col("away").isNotNull() & F.coalesce(F.col("away.num") > k + 1e-9, F.lit(False)) & _near(v, k)
+    to = F.when(capped, F.col("away")).otherwise(F.col("ref"))
+    branch = F.col("is_branch") & F.col("ref").isNotNull()
     rate = F.coalesce(k.isNotNull() & (k != 0) & (v / F.when(k != 0, k) > 0) & (v / F.when(k != 0, k) < 1), F.lit(False))
     here = F.struct("sheet", F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"))
     again = F.array_contains("passed", here) if cyclic else F.lit(False)
-    cls = (F.when(~is_f & v.isNull() & F.col("v_str").isNull(), X.SRC_EMPTY).when(~is_f & v.isNotNull(), X.SRC_TYPED)
+    cls = (F.when(~is_f & v.isNull() & ~F.coalesce("is_text", F.lit(False)), X.SRC_EMPTY).when(~is_f & v.isNotNull(), X.SRC_TYPED)
            .when(~is_f | again, X.SRC_OTHER).when(F.col("has_ext"), X.SRC_EXTERNAL)
-           .when(F.col("is_one"), F.when(_near(v, k) & F.col("first_ref.known") & F.col("first_ref.is_contract"), X.SRC_EQUALS)
-                 .when(F.col("first_ref.off"), X.SRC_WRONG_ROW).when(~F.col("first_ref.known"), X.SRC_EMPTY))
+           .when(F.col("is_one"), F.when(_near(v, k) & F.col("ref.known") & F.col("ref.is_contract"), X.SRC_EQUALS)
+                 .when(F.col("ref.off"), X.SRC_WRONG_ROW).when(~F.col("ref.known"), X.SRC_EMPTY))
            .when(F.col("is_scaled"), F.when(rate, X.SRC_RATE).otherwise(X.SRC_FACTOR))
-           .when(F.col("is_plus"), F.when(F.col("sum_ref.off"), X.SRC_WRONG_ROW))
-           .when(branch, F.when(F.coalesce(F.col("away_ref.off"), F.lit(False)) | F.col("p.off"), X.SRC_WRONG_ROW))
-           .when(_near(v, k) & (F.col("n_refs") == 1), X.SRC_EQUALS).otherwise(X.SRC_COMPUTED))
-    nxt = F.when(F.col("is_one"), F.col("first_ref")).when(F.col("is_plus"), F.col("sum_ref")).otherwise(F.col("p"))
-    hidden, plus, cond = _passing_flags(is_f)
+           .when(F.col("is_plus"), F.when(F.col("ref.off"), X.SRC_WRONG_ROW))
+           .when(branch, F.when(F.coalesce(F.col("away.off"), F.lit(False)) | to["off"], X.SRC_WRONG_ROW))
+           .when(_near(v, k) & F.col("lone"), X.SRC_EQUALS).otherwise(X.SRC_COMPUTED))
+    hidden, plus, cond = _passing_flags()
     flags = [hidden, F.when(~is_f & _near(v, k) & (F.col("hops") > 0), "số gõ tay đúng bằng KL HĐ"), plus, cond, F.when(cond.isNotNull() & branch & capped, "đang bị chặn về KL HĐ")]
     passed = [F.concat("passed", F.array(here)).alias("passed")] if cyclic else []
+    nxt = F.struct(*(to[c].alias(c) for c in ("sheet", "row", "col")))
     return j.withColumns({"nguon": cls, "nxt": nxt, "flags": F.array_distinct(F.concat("flags", F.array_compact(F.array(*flags))))}).select(*ITEM, "nguon", "nxt", *passed)
 
 
@@ -131,16 +150,13 @@ def jump_tables(nodes: DataFrame) -> tuple[list, DataFrame]:
     for it, where it equals their value. Tables end where no trace is that long; cells of longer traces than there are cells run
     into a cycle and are given as `cyclic`.
     """
-    is_f = F.col("formula").isNotNull()
-    branch = F.col("is_branch") & F.col("any_ref").isNotNull()
-    p = F.coalesce("equal_ref", "away_ref", "any_ref")
-    to = (F.when(~is_f | F.col("has_ext"), None)
-          .when(F.col("is_one"), F.when(~F.col("first_ref.off") & F.col("first_ref.known"), F.col("first_ref"))).when(F.col("is_scaled"), None)
-          .when(F.col("is_plus"), F.when(~F.col("sum_ref.off"), F.col("sum_ref")))
-          .when(branch, F.when(~F.coalesce(F.col("away_ref.off"), F.lit(False)) & ~p["off"], p)))
-    watch = F.when((F.col("is_one") & F.col("first_ref.is_contract")) | (~F.col("is_one") & ~F.col("is_plus") & branch & F.col("away_ref").isNotNull()), F.col("v_num"))
+    branch = F.col("is_branch") & F.col("ref").isNotNull()
+    to = (F.when(~F.col("is_f") | F.col("has_ext") | F.col("is_scaled"), None)
+          .when(F.col("is_one"), F.when(~F.col("ref.off") & F.col("ref.known"), F.col("ref")))
+          .when(F.col("is_plus") | branch, F.when(~F.coalesce(F.col("away.off"), F.lit(False)) & ~F.col("ref.off"), F.col("ref"))))
+    watch = F.when((F.col("is_one") & F.col("ref.is_contract")) | F.col("away").isNotNull(), F.col("v_num"))
     one = nodes.withColumn("to", to).filter("to is not null").select(
-        *CELL, F.col("to.sheet").alias("t_sheet"), F.col("to.row").alias("t_row"), F.col("to.col").alias("t_col"), F.array_compact(F.array(*_passing_flags(is_f))).alias("met"), watch.alias("low"), watch.alias("high"))
+        *CELL, F.col("to.sheet").alias("t_sheet"), F.col("to.row").alias("t_row"), F.col("to.col").alias("t_col"), F.array_compact(F.array(*_passing_flags())).alias("met"), watch.alias("low"), watch.alias("high"))
     tables = [cut_lineage(one)]
     longest = tables[0].count().bit_length()
     while not tables[-1].isEmpty():
@@ -148,7 +164,7 @@ def jump_tables(nodes: DataFrame) -> tuple[list, DataFrame]:
             return tables[:-1], tables[-1].select(*CELL)
         half = tables[-1]
         then = half.select("file", F.col("sheet").alias("t_sheet"), F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.struct("t_sheet", "t_row", "t_col", "met", "low", "high").alias("n"))
-        tables.append(cut_lineage(half.join(then, ["file", "t_sheet", "t_row", "t_col"]).select(
+        tables.append(cut_lineage(by_file(half).join(then.hint("merge"), ["file", "t_sheet", "t_row", "t_col"]).select(
             *CELL, "n.t_sheet", "n.t_row", "n.t_col", F.array_distinct(F.concat("met", "n.met")).alias("met"), F.least("low", "n.low").alias("low"), F.greatest("high", "n.high").alias("high"))))
     return tables[:-1], tables[-1].select(*CELL)
 
@@ -158,7 +174,7 @@ def _lifted(cur: DataFrame, tables: list) -> DataFrame:
     k = F.col("kl_hd")
     slack = 2e-6 * F.greatest(F.lit(1.0), F.abs(k))          # wider than the test itself: a hop is only taken where it is sure
     for j, table in reversed(list(enumerate(tables))):
-        met = cur.join(table, CELL, "left")
+        met = cur.join(table.hint("merge"), CELL, "left")
         turns = F.coalesce((k != 0) & (F.col("low") <= k + slack) & (F.col("high") >= k - slack), F.lit(False))
         go = F.col("t_sheet").isNotNull() & ~turns
         to = {c: F.when(go, F.col(f"t_{c}")).otherwise(F.col(c)) for c in ("sheet", "row", "col")}
@@ -175,31 +191,32 @@ def trace_sources(items: DataFrame, cells: DataFrame, measure: str = "ratio", vi
     chain of n hops takes some log2(n) rounds, plus one for each cell at which the item's own contract quantity decides; only
     traces into a cycle are walked hop by hop.
     """
-    nodes = cut_lineage(trace_nodes(cells, measure, views).withColumns(_shape()).drop("one", "plus", "branch", "factor"))
-    tables, cyclic = jump_tables(nodes)
-    start = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"))
-    ends = ["file", "item", "nguon", "hops", "flags", "sheet", "row", "col"]
-    round_trip = cyclic.distinct()
-    cur, done = start.join(round_trip, CELL, "left_anti"), []
-    loop = start.join(round_trip, CELL, "left_semi")
-    while True:
-        step = cut_lineage(_step(_lifted(cur, tables), nodes))
-        done.append(step.filter("nguon is not null").select(*ends))
-        cur = _moved(step)
-        if cur.isEmpty():
-            break
-        loop = loop.unionByName(cur.join(round_trip, CELL, "left_semi"))
-        cur = cur.join(round_trip, CELL, "left_anti")
-    passed = F.array().cast("array<struct<sheet:string,row:bigint,col:bigint>>").alias("passed")
-    loop = cut_lineage(loop.select(*ITEM, passed))
-    while not loop.isEmpty():
-        step = cut_lineage(_step(loop, nodes, True))
-        done.append(step.filter("nguon is not null").select(*ends))
-        loop = _moved(step, "passed")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    with one_exchange(cells.sparkSession):
+        nodes = cut_lineage(met_nodes(items, cells, cut_lineage(trace_nodes(cells, measure, views))))
+        tables, cyclic = jump_tables(nodes)
+        start = items.select("file", "item", "sheet", "row", "col", "kl_hd", F.lit(0).alias("hops"), F.array().cast("array<string>").alias("flags"))
+        ends = ["file", "item", "nguon", "hops", "flags", "sheet", "row", "col"]
+        round_trip = cyclic.distinct()
+        cur, done = start.join(round_trip, CELL, "left_anti"), []
+        loop = start.join(round_trip, CELL, "left_semi")
+        while True:
+            step = cut_lineage(_step(_lifted(by_file(cur), tables), nodes))
+            done.append(step.filter("nguon is not null").select(*ends))
+            cur = _moved(step)
+            if cur.isEmpty():
+                break
+            loop = loop.unionByName(cur.join(round_trip, CELL, "left_semi"))
+            cur = cur.join(round_trip, CELL, "left_anti")
+        passed = F.array().cast("array<struct<sheet:string,row:bigint,col:bigint>>").alias("passed")
+        loop = loop.select(*ITEM, passed)
+        while not loop.isEmpty():
+            step = cut_lineage(_step(by_file(loop), nodes, True))
+            done.append(step.filter("nguon is not null").select(*ends))
+            loop = _moved(step, "passed")
+        out = done[0]
+        for d in done[1:]:
+            out = out.unionByName(d)
+        return out
 
 
 def source_strata(traced: DataFrame) -> DataFrame:

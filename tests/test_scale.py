@@ -176,3 +176,51 @@ def test_base_sets_do_not_extract_all_parameters(spark, monkeypatch):
     monkeypatch.setattr(extract, "extract_params", None)
     out = all_queries()["SNK-12_write_master"](spark, "/root/testdata/sf0.001")
     assert out.filter("table = 'Ho so TT theo HD'").count() > 0
+
+
+def test_shuffle_files_go_with_the_table_they_were_for(spark):
+    import time
+    from pathlib import Path
+
+    from claimgrid import session
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {p for d in disk.localDirs() for p in Path(d.getPath()).rglob("shuffle_*")}
+    before, held = kept(), spark.conf.get(conf, None)
+    table = session.cut_lineage(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 10
+    while kept() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not kept() - before and spark.conf.get(conf, None) == held
+    assert table.count() == 1000
+
+
+def test_settings_of_nested_blocks_come_back(spark):
+    from claimgrid import session
+    conf = "spark.sql.requireAllClusterKeysForCoPartition"
+    held = spark.conf.get(conf)
+    with session.one_exchange(spark):
+        with session.one_exchange(spark):
+            pass
+        assert spark.conf.get(conf) == "false"
+    assert spark.conf.get(conf) == held == "true"
+
+
+def test_references_are_dealt_out_once_by_workbook(spark):
+    """No table of a trace is broadcast, and none is exchanged by sheets, rows or columns but the small ones of headers and sheets."""
+    import re
+
+    from claimgrid.operators import lineage
+    from claimgrid.session import cut_lineage, one_exchange
+    rows = [("f", "S", 0, "visible", 3, 2, "=T!B2", 5.0, None), ("f", "T", 1, "visible", 2, 2, None, 5.0, None), ("f", "T", 1, "visible", 2, 1, None, None, "Đào đất số 7")]
+    cells = cut_lineage(spark.createDataFrame(rows, "file string, sheet string, sheet_idx int, sheet_state string, row int, col int, formula string, v_num double, v_str string"))
+    with one_exchange(spark):
+        nodes = re.sub(r"#\d+L?", "", plan(lineage.trace_nodes(cells, "edit")))
+        joins = [x for x in nodes.splitlines() if "SortMergeJoin" in x and "LeftOuter" in x]
+        assert not re.search(r"hashpartitioning\(file, (r_sheet|sheet, row, col)", nodes) and len(joins) >= 6
+        cur = spark.createDataFrame([("f", 1, "S", 3, 2, 9.0, 0, [])], "file string, item int, sheet string, row int, col int, kl_hd double, hops int, flags array<string>")
+        kept = cut_lineage(lineage.met_nodes(cur, cells, cut_lineage(lineage.trace_nodes(cells, "edit"))))
+        tables, _ = lineage.jump_tables(kept)
+        step = re.sub(r"#\d+L?", "", plan(lineage._step(lineage._lifted(lineage.by_file(cur), tables), kept)))
+    assert "BroadcastHashJoin" not in step and not re.search(r"hashpartitioning\(file, sheet", step)
+    assert sorted((r.sheet, r.col, r.is_f) for r in kept.collect()) == [("S", 2, True), ("T", 2, False)]
