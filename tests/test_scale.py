@@ -224,3 +224,40 @@ def test_references_are_dealt_out_once_by_workbook(spark):
         step = re.sub(r"#\d+L?", "", plan(lineage._step(lineage._lifted(lineage.by_file(cur), tables), kept)))
     assert "BroadcastHashJoin" not in step and not re.search(r"hashpartitioning\(file, sheet", step)
     assert sorted((r.sheet, r.col, r.is_f) for r in kept.collect()) == [("S", 2, True), ("T", 2, False)]
+
+
+CELLS = "file string, sheet string, sheet_idx int, sheet_state string, row int, col int, formula string, v_num double, v_str string"
+
+
+def test_tables_of_few_rows_are_broadcast_and_others_merged(spark, monkeypatch):
+    from claimgrid import session
+    monkeypatch.setattr(session, "FEW", 2)
+    for n, broadcast in ((2, True), (3, False)):
+        assert ("BroadcastHashJoin" in plan(spark.range(9).join(session.sized(spark.range(n)), "id"))) == broadcast
+
+
+def test_cells_and_labels_are_not_broadcast_to_checks(spark):
+    import re
+
+    from claimgrid.session import cut_lineage
+    rows = [("f", s, i, state, r, 2, None, 5.0, f"Đào đất {r}") for s, i, state in (("S", 0, "visible"), ("S (2)", 1, "hidden")) for r in range(1, 4)]
+    cells = cut_lineage(spark.createDataFrame(rows, CELLS))
+    assert "BuildLeft" not in plan(grid.diff_grids(cells)) and "BuildRight" in plan(grid.diff_grids(cells))
+    typed = plan(grid.typed_between(cells, grid.dominant_patterns(grid.patterned(cells))))
+    links = plan(grid.wrong_row_links(cells, "edit"))
+    for p in (typed, links):
+        assert not re.search(r"BroadcastHashJoin \[file, (r_)?sheet, r(ow|1)\]", re.sub(r"#\d+L?", "", p))
+
+
+def test_a_tree_of_many_cells_is_merged(spark, monkeypatch):
+    """With no row counted as few, the walk broadcasts no cells and gives the same tree."""
+    from claimgrid import session
+    from claimgrid.operators import lineage
+    rows = [("f", "S", 0, "visible", 1, 2, "=B2+SUM(B3:B5)*2", 9.0, None), ("f", "S", 0, "visible", 2, 2, "=[1]T!B2", 9.0, None)] + [("f", "S", 0, "visible", r, 2, None, 1.0, None) for r in range(3, 6)]
+    cells = session.cut_lineage(spark.createDataFrame(rows, CELLS))
+    target = spark.createDataFrame([("f", "S", 1, 2)], "file string, sheet string, row int, col int")
+    read = lambda t: sorted((str(r.path), r.kind, r.row, r.value) for r in t.collect())
+    want = read(lineage.trace_tree(cells, target))
+    monkeypatch.setattr(session, "FEW", 0)
+    tree = lineage.trace_tree(cells, target)
+    assert "BroadcastHashJoin" not in plan(tree) and read(tree) == want and len(want) == 6
