@@ -16,7 +16,7 @@ from claimgrid.functions.classify import proof_of_group, root_data_group
 from claimgrid.functions.similarity import folded_similarity
 from claimgrid.functions.text import fold
 from claimgrid.operators import grid
-from claimgrid.session import cut_lineage, one_exchange
+from claimgrid.session import cut_lineage, one_exchange, sized
 
 CELL = ["file", "sheet", "row", "col"]
 
@@ -259,10 +259,10 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
     once, in the round that first reaches it: only formulas that the walk meets are parsed.  Cells are read in every round, so
     they should be a stored table.
     """
-    known = cut_lineage(grid.sheets(cells).select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known")))
+    known = sized(grid.sheets(cells).select("file", F.col("sheet").alias("r_sheet"), F.lit(True).alias("known")))
     targets = cut_lineage(targets.select(*CELL).distinct())
     to = [F.col("t_sheet").alias("sheet"), F.col("t_row").alias("row"), F.col("t_col").alias("col")]
-    least = frontier = cut_lineage(targets.select(*CELL, F.array().cast(PATH).alias("path")))
+    least = frontier = sized(targets.select(*CELL, F.array().cast(PATH).alias("path")))
     new, read, typed, patterns, edges = least, [], [], [], []
     while not frontier.isEmpty():
         met = grid.formulas(cells).join(new.select(*CELL), CELL, "left_semi")
@@ -287,11 +287,11 @@ def trace_tree(cells: DataFrame, targets: DataFrame) -> DataFrame:
             break
         offer = _union(offers).groupBy(*CELL).agg(F.min("offer").alias("offer"))
         better = offer.join(least, CELL, "left").filter("path is null or offer < path")
-        frontier = cut_lineage(better.select(*CELL, F.col("offer").alias("path"), F.col("path").isNull().alias("fresh")))
+        frontier = sized(better.select(*CELL, F.col("offer").alias("path"), F.col("path").isNull().alias("fresh")))
         new = frontier.filter("fresh")
         frontier = frontier.drop("fresh")
-        least = cut_lineage(least.join(frontier.select(*CELL), CELL, "left_anti").unionByName(frontier))
-    node = cut_lineage(cells.select(*CELL, "formula", "v_num", "v_str").join(least.select(*CELL), CELL, "left_semi"))
+        least = sized(least.join(frontier.select(*CELL), CELL, "left_anti").unionByName(frontier))
+    node = sized(cells.select(*CELL, "formula", "v_num", "v_str").join(least.select(*CELL), CELL, "left_semi"))
     return _tree_rows(least, targets, node, read, typed, patterns, edges)
 
 
@@ -339,7 +339,7 @@ def k7_findings(tree: DataFrame, cells: DataFrame, views: grid.Views | None = No
     """Typed inputs outside the seven groups, and external leaves, per file."""
     from claimgrid.operators.quality import collect_findings, finding
     views = views or grid.Views(cells)
-    head, lab = views.headers, views.labels
+    head, lab = views.headers, views.labels.hint("merge")
     leaf = tree.filter("kind in ('Nhập tay', 'Nhóm nhập tay')").join(head, ["file", "sheet", "col"], "left").join(lab, ["file", "sheet", "row"], "left")
     grp = root_data_group(F.col("header"), F.when(F.col("kind") == "Nhập tay", F.col("label")).otherwise(""), F.col("sheet"))
     leaf = leaf.withColumn("nhom", grp)
@@ -374,7 +374,7 @@ def trace_quantities(cells: DataFrame, measure: str = "ratio", views: grid.Views
     value = lambda gt, kl: F.coalesce(gt, F.coalesce(kl, F.lit(0.0)) * price).alias(gt)
     values = at.select("file", F.col("dong"), value("gt_kn", "kl_kn"), value("gt_lk", "kl_lk"))
     of = lambda which: found.filter(F.col("which") == which).drop("which")
-    cumulative = of(THIS).join(values, ["file", "dong"]).withColumnRenamed("dong", "item")
+    cumulative = of(THIS).join(values.hint("merge"), ["file", "dong"]).withColumnRenamed("dong", "item")
     marked = F.concat("nguon", F.when(F.array_contains("flags", "qua sheet ẩn"), " (qua sheet ẩn)").otherwise(""))
     prior = of(PRIOR).select("file", F.col("dong").alias("item"), marked.alias("nguon")).unionByName(at.filter(~has_prior).select("file", F.col("dong").alias("item"), F.lit(NO_PRIOR).alias("nguon")))
     return cumulative, prior
