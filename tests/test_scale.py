@@ -261,3 +261,15 @@ def test_a_tree_of_many_cells_is_merged(spark, monkeypatch):
     monkeypatch.setattr(session, "FEW", 0)
     tree = lineage.trace_tree(cells, target)
     assert "BroadcastHashJoin" not in plan(tree) and read(tree) == want and len(want) == 6
+
+
+def test_parts_of_the_amendment_check_are_stored_when_read(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from claimgrid.workload import q_amend
+    made, stored = [], []
+    monkeypatch.setattr(q_amend, "_checked", lambda w: made.append(1) or {n: n for n in ("lines", "findings", "forms", "params")})
+    monkeypatch.setattr(q_amend, "Checked", type("Checked", (getattr(q_amend, "Checked", dict),), {"_set_up": {}}), raising=False)
+    w = SimpleNamespace(spark=spark, path="/none", memo=lambda name, make: stored.append(name) or make())
+    assert q_amend.checked(w)["forms"] == "forms" and q_amend.checked(w)["findings"] == "findings"
+    assert stored == ["amend-forms", "amend-findings"] and made == [1]
