@@ -273,3 +273,19 @@ def test_parts_of_the_amendment_check_are_stored_when_read(spark, monkeypatch):
     w = SimpleNamespace(spark=spark, path="/none", memo=lambda name, make: stored.append(name) or make())
     assert q_amend.checked(w)["forms"] == "forms" and q_amend.checked(w)["findings"] == "findings"
     assert stored == ["amend-forms", "amend-findings"] and made == [1]
+
+
+def test_one_pass_over_a_workbook_gives_its_cells_and_parts(spark, monkeypatch):
+    good, bad = workbook(bad=1), b"no workbook"
+    monkeypatch.setattr(workbooks, "_cell", lambda row, col, *v: f'<c r="B{row}"><v>{"x" if row == 2 else 1}</v></c>')
+    half = workbook()
+    monkeypatch.undo()
+    books = spark.createDataFrame([("good", good), ("half", half), ("bad", bad)], "path string, content binary")
+    cells, parts = files.decode_books(books)
+    read = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert read(cells) == read(files.decode_cells(books)) and read(parts) == read(files.decode_parts(books))
+    assert sorted((c.file, c.row) for c in cells.collect()) == [("good", 1), ("good", 2), ("good", 3), ("half", 1)]
+    assert sorted((p.file, p.kind) for p in parts.collect()) == [("bad", "broken"), ("good", "link"), ("good", "merged"), ("half", "broken"), ("half", "link"), ("half", "merged")]
+    parsed, parse = [], files.ET.iterparse
+    monkeypatch.setattr(files.ET, "iterparse", lambda f: parsed.append(f) or parse(f))
+    assert [c is None for c, _ in files._book_of("good", good)] == [False] * 3 + [True] * 2 and len(parsed) == 1
